@@ -128,11 +128,15 @@ def with_candidates(plans: DataFrame, limit: int = MAX_COMMUNITIES) -> DataFrame
 
 
 def passing_profile(candidates: DataFrame, profiles: DataFrame, minimum: int = fixed.MIN_SUBSCRIBERS) -> DataFrame:
-    """Candidates with a known profile that is not over-18 and large enough."""
-    known = candidates.join(profiles.select("community", "over18", "subscribers"), "community")
-    return known.where(~F.coalesce("over18", F.lit(False)) & (F.coalesce("subscribers", F.lit(0)) >= minimum)).select(
-        "plan_id", "pos", "community"
-    )
+    """Candidates with a known profile that is not over-18 and large enough, under the profile's spelling."""
+
+    def name(column: str) -> Column:
+        return F.lower(F.replace(column, F.lit("r/"), F.lit("")))
+
+    fit = profiles.where(~F.coalesce("over18", F.lit(False)) & (F.coalesce("subscribers", F.lit(0)) >= minimum))
+    fit = fit.select(name("community").alias("_name"), "community")
+    asked = candidates.select("plan_id", "pos", name("community").alias("_name"))
+    return asked.join(fit, "_name").select("plan_id", "pos", "community")
 
 
 def without_blocked(candidates: DataFrame, blocked: DataFrame, case_sensitive: bool = False,
