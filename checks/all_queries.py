@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks import registry
-from checks import text_queries  # noqa: F401
+from checks import post_queries, term_queries, text_queries  # noqa: F401
 
 
 def queries():

@@ -166,12 +166,12 @@ class Inputs:
             F.filter(F.split("communities", "[, ]+"), lambda x: x != "").alias("communities"),
             F.struct(F.lit(1).alias("months"), F.lit(20).alias("min_upvotes"), F.lit(100).alias("limit")).alias("params"),
             F.struct(
-                F.filter(F.split("keywords", " "), lambda x: x != "").alias("keywords"),
+                F.filter(F.split(F.replace("keywords", F.lit('"'), F.lit("")), " "), lambda x: x != "").alias("keywords"),
                 text_list("must_terms").alias("must_include"), text_list("should_terms").alias("should_include"),
                 text_list("exclude_terms").alias("exclude"), F.array(F.lit("en")).alias("languages"),
             ).alias("filters"),
             "report_type",
-            F.filter(F.split("keywords", " "), lambda x: x != "").alias("keywords"),
+            F.filter(F.split(F.replace("keywords", F.lit('"'), F.lit("")), " "), lambda x: x != "").alias("keywords"),
             text_list("warnings").alias("warnings"), text_list("seed_warnings").alias("seed_warnings"),
             F.when(F.col("pains") != "", F.array(theme, theme)).alias("topic_themes"),
         )

@@ -115,6 +115,11 @@ def complaints(text: Column, limit: int = 5) -> Column:
     return F.transform(F.slice(found, 1, limit), lambda phrase: F.trim(phrase))
 
 
+def two_places(value: Column) -> Column:
+    """Two decimals, half-even on the exact binary value; a format string would round 0.125 up."""
+    return F.call_function("format_number", value, F.lit("0.00"))
+
+
 def window_start(as_of: Column, months: Column) -> Column:
     """Start of the time window in epoch seconds; a month is 30 days, at least one."""
     return as_of - F.greatest(F.lit(1), months).cast("long") * fixed.SECONDS_PER_MONTH

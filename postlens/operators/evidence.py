@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
 from postlens.functions.lists import dedupe, join_or, or_empty
+from postlens.functions.text import two_places
 from postlens.operators.termjoin import group_posts
 from postlens.operators.terms import filter_lists, focus_terms
 from postlens.operators.topn import top_n
@@ -52,7 +53,7 @@ def sample_line(title: Column, url: Column, pain: Column) -> Column:
     linked = F.when(F.coalesce(url, F.lit("")) != "", F.format_string("- [%s](%s)", name, url)).otherwise(
         F.concat(F.lit("- "), name)
     )
-    return F.concat(linked, F.when(pain.isNotNull(), F.format_string(" (pain %.2f)", pain)).otherwise(""))
+    return F.concat(linked, F.when(pain.isNotNull(), F.concat(F.lit(" (pain "), two_places(pain), F.lit(")"))).otherwise(""))
 
 
 def matches(posts: DataFrame, focus: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.text import complaints
+from postlens.functions.text import complaints, two_places
 from postlens.operators.features import unigrams
 from postlens.operators.topn import top_n
 
@@ -117,7 +117,7 @@ def report_lines(summaries: DataFrame, posts: DataFrame, k: int, title: str = "P
     body = summaries.select(
         F.col(by).cast("int").alias("section"),
         F.concat(
-            F.array(F.format_string("## Cluster %d — size %d — avg pain %.2f", F.col(by), F.col("size"), F.col("avg_pain"))),
+            F.array(F.format_string("## Cluster %d — size %d — avg pain %s", F.col(by), F.col("size"), two_places(F.col("avg_pain")))),
             F.when(
                 F.size("top_terms") > 0,
                 F.array(F.concat(F.lit("**Top terms:** "), F.array_join("top_terms", ", "))),
