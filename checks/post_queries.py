@@ -78,7 +78,12 @@ def i2(c: Inputs):
 # --- search for a table of plans ---------------------------------------------------------------------
 
 def _rows(rows) -> str:
-    return ", ".join("(" + ", ".join(_quoted([v]) if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+    """Literal rows; whole numbers are 64-bit, as plan ids are."""
+
+    def literal(v) -> str:
+        return _quoted([v]) if isinstance(v, str) else f"{v}::bigint"
+
+    return ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
 
 
 _SELECTION = f"""
