@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side table is turned into literals or broadcast only up to these bounds.
 MAX_INLINE_ROWS = 20_000
@@ -41,12 +43,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash out a table too small for its scan to occupy all cores.
 
     Such a table is read by a few tasks only, so the text work after it would run on a few cores.
-    Shuffling it is cheap by the same check; larger tables are left as they are.
+    Shuffling it is cheap by the same check; larger tables are left as they are, with filters going down to
+    the scan. The observed row count keeps filters above the shuffle here, where the cores are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if plan_bytes(df) >= cores * SMALL_SCAN_BYTES_PER_CORE:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(cores, *keys).observe(f"spread_{uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def small_rows(df: DataFrame, limit: int = MAX_INLINE_ROWS):

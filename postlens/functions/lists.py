@@ -34,14 +34,16 @@ def drop_blank(items: Column) -> Column:
 
 
 def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
-    """The elements whose ``key`` has not occurred before, in order."""
-    return bind(
-        F.struct(items.alias("items"), F.transform(items, key).alias("keys")),
-        lambda both: F.filter(
-            both["items"],
-            lambda x, i: F.array_position(both["keys"], F.get(both["keys"], i)) == i + 1,
-        ),
-    )
+    """The elements whose ``key`` has not occurred before, in order. Lists without repeats are only hashed."""
+
+    def without_repeats(both: Column) -> Column:
+        items, keys = both["items"], both["keys"]
+        firsts = F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), items).otherwise(firsts)
+
+    return bind(items, lambda own: bind(
+        F.struct(own.alias("items"), F.transform(own, key).alias("keys")), without_repeats
+    ))
 
 
 def dedupe(items: Column) -> Column:

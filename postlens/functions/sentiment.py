@@ -42,76 +42,79 @@ def lexicon_sentiment(text: Column, lexicon: dict[str, float]) -> Column:
     return bind(total, compound)
 
 
-def marked_words(tokens: Column, valences=None, lookup=None) -> Column:
-    """Per word: lower form, valence, booster step, negation and capital marks."""
+def _is_capital(word: Column) -> Column:
+    return (F.upper(word) == word) & (F.lower(word) != word)
 
-    def mark(word: Column, value) -> Column:
-        low = F.lower(word)
-        step = F.when(low.isin(*fixed.AMPLIFIERS), fixed.BOOST).when(
-            low.isin(*fixed.DAMPENERS), -fixed.BOOST
-        )
-        return F.struct(
-            low.alias("low"),
-            (lookup(low) if value is None else value).alias("valence"),
-            step.alias("step"),
-            low.isin(*fixed.NEGATIONS).alias("negates"),
-            ((F.upper(word) == word) & (low != word)).alias("capital"),
-        )
 
-    if valences is None:
-        return F.transform(tokens, lambda w: mark(w, None))
-    return F.transform(F.arrays_zip(tokens.alias("word"), valences.alias("value")),
-                       lambda p: mark(p["word"], p["value"]))
+def _booster(low: Column) -> Column:
+    return F.when(low.isin(*fixed.AMPLIFIERS), fixed.BOOST).when(low.isin(*fixed.DAMPENERS), -fixed.BOOST)
+
+
+def rule_total(spoken: Column) -> Column:
+    """Valence sum after boosters, negation, capitals and the word "but".
+
+    ``spoken`` has the words of a text, their lower forms and their valences (null outside the lexicon).
+    Only words with a valence, and the three before each, are looked at any further.
+    """
 
+    def score(text: Column) -> Column:
+        said, low, valences = text["words"], text["low"], text["valences"]
+        # Capitals count only in a text that is not all capitals; looked up when a capital word asks for it.
+        mixed = F.exists(said, _is_capital) & F.exists(said, lambda w: ~_is_capital(w))
 
-def rule_total(marked: Column) -> Column:
-    """Valence sum of marked words after boosters, negation, capitals and the word "but"."""
+        def shout(word: Column, sign: Column) -> Column:
+            return F.when(_is_capital(word) & mixed, sign * fixed.CAPITALS_BOOST).otherwise(0.0)
 
-    def score(m: Column) -> Column:
-        def adjusted(hit: Column) -> Column:
-            own = hit["word"]["valence"] + F.when(
-                hit["word"]["capital"] & m["mixed"],
-                F.when(hit["word"]["valence"] > 0, fixed.CAPITALS_BOOST).otherwise(-fixed.CAPITALS_BOOST),
-            ).otherwise(0.0)
+        def up(value: Column) -> Column:
+            return F.when(value > 0, 1.0).otherwise(-1.0)
+
+        def adjusted(pos: Column) -> Column:
+            own = bind(F.get(valences, pos), lambda v: v + shout(F.get(said, pos), up(v)))
 
             def look_back(value: Column, distance: Column) -> Column:
-                before = F.get(m["words"], hit["pos"] - distance)
-                sign = F.when(value < 0, -1.0).otherwise(1.0)
-                capital_sign = F.when(value > 0, 1.0).otherwise(-1.0)
-                step = F.when(
-                    before["step"].isNotNull(),
-                    before["step"] * sign
-                    + F.when(before["capital"] & m["mixed"], capital_sign * fixed.CAPITALS_BOOST).otherwise(0.0),
-                ).otherwise(0.0)
-                decay = F.get(F.array(*[F.lit(d) for d in fixed.BOOST_DECAY]), distance - 1)
-                factor = F.when(before["negates"], fixed.NEGATION_FACTOR).otherwise(1.0)
-                skip = before.isNull() | before["valence"].isNotNull()
-                return F.when(skip, value).otherwise((value + step * decay) * factor)
+                before = F.get(low, pos - distance)
+
+                def apply(step: Column) -> Column:
+                    boost = F.when(
+                        step.isNotNull(),
+                        step * F.when(value < 0, -1.0).otherwise(1.0)
+                        + shout(F.get(said, pos - distance), up(value)),
+                    ).otherwise(0.0)
+                    decay = F.get(F.array(*[F.lit(d) for d in fixed.BOOST_DECAY]), distance - 1)
+                    factor = F.when(before.isin(*fixed.NEGATIONS), fixed.NEGATION_FACTOR).otherwise(1.0)
+                    return (value + boost * decay) * factor
+
+                skip = before.isNull() | F.get(valences, pos - distance).isNotNull()
+                return F.when(skip, value).otherwise(bind(_booster(before), apply))
 
             final = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), own, look_back)
-            weight = (
-                F.when(m["but"] == 0, 1.0)
-                .when(hit["pos"] + 1 < m["but"], fixed.BEFORE_BUT)
-                .when(hit["pos"] + 1 > m["but"], fixed.AFTER_BUT)
-                .otherwise(1.0)
-            )
-            return final * weight
-
-        hits = F.filter(
-            F.transform(m["words"], lambda w, i: F.struct(i.alias("pos"), w.alias("word"))),
-            lambda h: h["word"]["valence"].isNotNull() & h["word"]["step"].isNull(),
+
+            def weight(but: Column) -> Column:
+                return (
+                    F.when((but == 0) | (pos + 1 == but), 1.0)
+                    .when(pos + 1 < but, fixed.BEFORE_BUT)
+                    .otherwise(fixed.AFTER_BUT)
+                )
+
+            return final * bind(F.array_position(low, "but").cast("int"), weight)
+
+        valued = F.filter(
+            F.transform(valences, lambda v, i: F.when(v.isNotNull(), i)),
+            lambda i: i.isNotNull() & _booster(F.get(low, i)).isNull(),
         )
-        return F.aggregate(F.transform(hits, adjusted), F.lit(0.0), lambda a, v: a + v)
-
-    context = bind(
-        marked,
-        lambda w: F.struct(
-            w.alias("words"),
-            (F.exists(w, lambda x: x["capital"]) & F.exists(w, lambda x: ~x["capital"])).alias("mixed"),
-            F.array_position(F.transform(w, lambda x: x["low"]), "but").cast("int").alias("but"),
-        ),
-    )
-    return bind(context, score)
+        return F.aggregate(F.transform(valued, adjusted), F.lit(0.0), lambda a, v: a + v)
+
+    return bind(spoken, score)
+
+
+def spoken_words(said: Column, valences: Column | None = None, lookup=None) -> Column:
+    """Words, lower forms and valences; the valences are looked up unless they are given."""
+
+    def with_values(both: Column) -> Column:
+        values = F.transform(both["low"], lookup) if valences is None else valences
+        return F.struct(both["words"].alias("words"), both["low"].alias("low"), values.alias("valences"))
+
+    return bind(said, lambda w: bind(F.struct(w.alias("words"), F.transform(w, F.lower).alias("low")), with_values))
 
 
 def emphasis(text: Column) -> Column:
@@ -123,14 +126,14 @@ def emphasis(text: Column) -> Column:
     )
 
 
-def rule_compound(text: Column, marked: Column) -> Column:
+def rule_compound(text: Column, spoken: Column) -> Column:
     def finish(b: Column) -> Column:
         signed = F.when(b["total"] > 0, b["extra"]).when(b["total"] < 0, -b["extra"]).otherwise(0.0)
         return bind(b["total"] + signed, compound)
 
-    return bind(F.struct(rule_total(marked).alias("total"), emphasis(text).alias("extra")), finish)
+    return bind(F.struct(rule_total(spoken).alias("total"), emphasis(text).alias("extra")), finish)
 
 
 def rule_sentiment(text: Column, lexicon: dict[str, float]) -> Column:
     """Rule-based score with a lexicon small enough to be part of the expression."""
-    return rule_compound(text, marked_words(words(text), lookup=lexicon_lookup(lexicon)))
+    return rule_compound(text, spoken_words(words(text), lookup=lexicon_lookup(lexicon)))

@@ -9,7 +9,7 @@ from postlens import fixed_values as fixed
 from postlens.functions.lists import bind, first_of_each, or_empty
 
 _LETTERS = fixed.TURKISH_LETTERS
-_NOT_TOKEN = "[^0-9A-Za-z" + _LETTERS + fixed.TOKEN_PUNCTUATION.replace("-", "\\-") + "]+"
+_TOKEN_CLASS = "0-9A-Za-z" + _LETTERS + fixed.TOKEN_PUNCTUATION.replace("-", "\\-")
 _QUOTED = "\"[^\"]*\"|'[^']*'"
 #: A word with inner apostrophes ("can't") counts as one.
 WORD = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"
@@ -45,7 +45,7 @@ def prompt_words(text: Column) -> Column:
 
 
 def lookup_key(term: Column) -> Column:
-    cleaned = F.regexp_replace(F.coalesce(term, F.lit("")), _NOT_TOKEN, " ")
+    cleaned = F.regexp_replace(F.coalesce(term, F.lit("")), f"[^{_TOKEN_CLASS}]", " ")
     return ascii_form(fold(F.trim(cleaned)))
 
 
@@ -131,15 +131,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def shell_words(text: Column) -> Column:
-    """Quote-aware split. Unbalanced quotes turn quoting off, so the text is split at whitespace."""
-    balanced = ~F.regexp_replace(text, _QUOTED, "").rlike("[\"']")
-    quoted = F.transform(
+def has_quotes(text: Column) -> Column:
+    """Whether quoting applies. Without quotes it has nothing to do; unbalanced quotes turn it off."""
+    return text.rlike("[\"']") & ~F.regexp_replace(text, _QUOTED, "").rlike("[\"']")
+
+
+def quoted_parts(text: Column) -> Column:
+    """Whitespace-separated parts, quoted stretches kept together and their quotes removed."""
+    return F.transform(
         F.regexp_extract_all(text, F.lit(f"(?:[^\\s\"']+|{_QUOTED})+"), F.lit(0)),
-        lambda part: F.regexp_replace(part, "\"([^\"]*)\"|'([^']*)'", "$1$2"),
+        lambda part: F.when(
+            part.rlike("[\"']"), F.regexp_replace(part, "\"([^\"]*)\"|'([^']*)'", "$1$2")
+        ).otherwise(part),
     )
-    plain = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
-    return F.when(balanced, quoted).otherwise(plain)
+
+
+def plain_parts(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+
+
+def shell_words(text: Column) -> Column:
+    """Quote-aware split."""
+    return F.when(has_quotes(text), quoted_parts(text)).otherwise(plain_parts(text))
 
 
 def keyword_list(text: Column) -> Column:
@@ -148,22 +161,26 @@ def keyword_list(text: Column) -> Column:
     return first_of_each(F.filter(parts, lambda p: p != ""), F.lower)
 
 
-def part_tokens(part: Column) -> Column:
-    """Tokens of one part: with a space it is a phrase, else it splits where characters are dropped."""
-    chunks = F.regexp_extract_all(
-        fold(F.regexp_replace(part, _NOT_TOKEN, " ")), F.lit(r"\S+"), F.lit(0)
-    )
-    return F.when(part.contains(" "), F.array(F.array_join(chunks, " "))).otherwise(chunks)
+def token_chunks(text: Column) -> Column:
+    """Stretches of token characters, folded (for these characters lower case is all there is to it)."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"[{_TOKEN_CLASS}]+"), F.lit(0)), F.lower)
 
 
 def list_tokens(parts: Column) -> Column:
-    """Tokens of a keyword list; an element with a space stays one phrase."""
+    """Tokens of a keyword list; an element with a space stays one phrase, others split at dropped characters."""
+
+    def part_tokens(part: Column) -> Column:
+        return F.when(part.contains(" "), F.array(F.array_join(token_chunks(part), " "))).otherwise(
+            token_chunks(part)
+        )
+
     return F.filter(F.flatten(F.transform(or_empty(parts), part_tokens)), lambda x: x != "")
 
 
 def tokens(text: Column) -> Column:
-    """Search tokens of a text; a quoted phrase is one token."""
-    return list_tokens(shell_words(F.coalesce(text, F.lit(""))))
+    """Search tokens of a text; a quoted phrase is one token. Text without quoting is split in one go."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(has_quotes(text), list_tokens(quoted_parts(text))).otherwise(token_chunks(text))
 
 
 def drop_stop_words(items: Column, stop_words=fixed.STOP_WORDS, min_length: int = 3) -> Column:
@@ -173,14 +190,15 @@ def drop_stop_words(items: Column, stop_words=fixed.STOP_WORDS, min_length: int
 def stems(key: Column, suffixes=fixed.SUFFIXES) -> Column:
     """What remains of a lookup key after one suffix, longest stem first."""
     ordered = sorted(dict.fromkeys(suffixes), key=len)
-    cut = [
-        F.when(
-            key.endswith(s) & (F.length(key) - len(s) >= 3),
-            F.left(key, F.length(key) - F.lit(len(s))),
-        )
-        for s in ordered
-    ]
-    return F.array_distinct(F.array_compact(F.array(*cut)))
+
+    def cut(key: Column) -> Column:
+        rest = [
+            F.when(key.endswith(s) & (F.length(key) - len(s) >= 3), F.left(key, F.length(key) - F.lit(len(s))))
+            for s in ordered
+        ]
+        return F.array_compact(F.array(*rest))
+
+    return bind(key, cut)
 
 
 def lookup_keys(term: Column, suffixes=fixed.SUFFIXES) -> Column:

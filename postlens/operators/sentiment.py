@@ -42,11 +42,11 @@ def _joined(posts: DataFrame, lexicon: DataFrame, rules: bool, text: str) -> Dat
     sentences = valued.groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "word", "valence"))).alias("spoken")
     )
-    marked = s.marked_words(F.transform("spoken", lambda w: w["word"]), F.transform("spoken", lambda w: w["valence"]))
+    spoken = s.spoken_words(F.transform("spoken", lambda w: w["word"]), F.transform("spoken", lambda w: w["valence"]))
     scored = posts.join(sentences, "id", "left").withColumn(
         "spoken", F.coalesce("spoken", F.array().cast("array<struct<pos:int,word:string,valence:double>>"))
     )
-    return scored.withColumn("sentiment", s.rule_compound(F.col(text), marked)).drop("spoken")
+    return scored.withColumn("sentiment", s.rule_compound(F.col(text), spoken)).drop("spoken")
 
 
 def prepared(posts: DataFrame) -> DataFrame:

@@ -28,12 +28,17 @@ def top_posts(posts: DataFrame, by: str = "cluster", n: int = TOP_POSTS) -> Data
     return top_n(narrow, [by], [F.desc("pain_score"), F.asc("id")], n, salt_on="id")
 
 
-def gap_examples(posts: DataFrame, by: str = "cluster", read: int = POSTS_READ_FOR_GAPS, n: int = GAPS) -> DataFrame:
-    """``(group, pos, gap)``: the first distinct complaint phrases among the newest posts of each group."""
-    newest = top_n(
-        posts.select(by, "id", "created_utc", "text"), [by], [F.desc("created_utc"), F.asc("id")], read, "id"
-    )
-    phrases = newest.select(by, "rank", F.posexplode(complaints(F.col("text"))).alias("pos", "gap"))
+def gap_examples(posts: DataFrame, by: str = "cluster", read: int = POSTS_READ_FOR_GAPS, n: int = GAPS,
+                 few_groups: bool = False) -> DataFrame:
+    """``(group, pos, gap)``: the first distinct complaint phrases among the newest posts of each group.
+
+    Posts are ranked without their text; the text of the ranked ones is fetched by id. With ``few_groups``
+    these are at most their number times ``read`` rows and are broadcast, so the text is not shuffled.
+    """
+    newest = top_n(posts.select(by, "id", "created_utc"), [by], [F.desc("created_utc"), F.asc("id")], read, "id")
+    newest = newest.select(by, "id", "rank")
+    texts = posts.select("id", "text").join(F.broadcast(newest) if few_groups else newest, "id")
+    phrases = texts.select(by, "rank", F.posexplode(complaints(F.col("text"))).alias("pos", "gap"))
     first = phrases.groupBy(by, "gap").agg(F.min(F.struct("rank", "pos")).alias("at"))
     return top_n(first, [by], [F.asc("at.rank"), F.asc("at.pos")], n).select(by, F.col("rank").alias("pos"), "gap")
 
@@ -77,10 +82,11 @@ def _ordered(rows: DataFrame, by: str, pos: str, value: Column, name: str) -> Da
 
 def cluster_summaries(posts: DataFrame, by: str = "cluster", stop_words: Sequence[str] | None = None) -> DataFrame:
     """One row per group: size, average pain, top terms, top posts, complaint phrases."""
-    terms = _ordered(top_terms(posts, by, stop_words, few_groups=by == "cluster"), by, "rank", F.col("term"), "top_terms")
+    few = by == "cluster"
+    terms = _ordered(top_terms(posts, by, stop_words, few_groups=few), by, "rank", F.col("term"), "top_terms")
     sample = F.struct("title", "url", "upvotes", "num_comments", "pain_score")
     samples = _ordered(top_posts(posts, by), by, "rank", sample, "sample_posts")
-    gaps = _ordered(gap_examples(posts, by), by, "pos", F.col("gap"), "gap_examples")
+    gaps = _ordered(gap_examples(posts, by, few_groups=few), by, "pos", F.col("gap"), "gap_examples")
     out = sizes(posts, by)
     for part in (terms, samples, gaps):
         out = out.join(part, by, "left")

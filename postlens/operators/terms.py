@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
 from postlens.functions import text as t
-from postlens.functions.lists import cap, dedupe, empty_texts, first_of_each, literal_list, merge, or_empty
+from postlens.functions.lists import bind, cap, dedupe, empty_texts, first_of_each, literal_list, merge, or_empty
 
 KEY = "plan_id"
 
@@ -26,23 +26,22 @@ def with_variants(token_lists: DataFrame, synonyms: DataFrame) -> DataFrame:
     """``(plan_id, found)``: each distinct token in order, with its synonyms in order.
 
     Order of synonyms: those of the full key before those of a stem, a longer stem before a shorter one.
+    Only words with synonyms pass the join, so only they are grouped again by prompt.
     """
-    words = (
-        token_lists.select(KEY, F.array_distinct("tokens").alias("tokens"))
-        .repartition(KEY)
-        .select(KEY, F.posexplode_outer("tokens").alias("pos", "term"))
+    lists = token_lists.select(KEY, F.array_distinct("tokens").alias("tokens"))
+    words = lists.select(KEY, F.posexplode("tokens").alias("pos", "term"))
+    keyed = words.select(KEY, "pos", F.posexplode(t.lookup_keys(F.col("term"))).alias("key_pos", "key"))
+    hits = keyed.join(synonyms.select("key", F.col("pos").alias("variant_pos"), "variant"), "key")
+    hit_lists = hits.groupBy(KEY).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "key_pos", "variant_pos", "variant"))).alias("hits")
     )
-    keyed = words.select("*", F.posexplode_outer(t.lookup_keys(F.col("term"))).alias("key_pos", "key"))
-    looked_up = keyed.join(
-        synonyms.select("key", F.col("pos").alias("variant_pos"), "variant"), "key", "left"
-    )
-    hit = F.when(F.col("variant").isNotNull(), F.struct("key_pos", "variant_pos", "variant"))
-    per_word = looked_up.groupBy(KEY, "pos", "term").agg(F.sort_array(F.collect_list(hit)).alias("variants"))
-    word = F.when(
-        F.col("pos").isNotNull(),
-        F.struct("pos", "term", F.transform("variants", lambda v: v["variant"]).alias("variants")),
-    )
-    return per_word.groupBy(KEY).agg(F.sort_array(F.collect_list(word)).alias("found"))
+
+    def word(term: Column, pos: Column) -> Column:
+        own = F.filter(F.col("hits"), lambda h: h["pos"] == pos)
+        variants = F.transform(own, lambda h: h["variant"])
+        return F.struct(pos.alias("pos"), term.alias("term"), or_empty(variants).alias("variants"))
+
+    return lists.join(hit_lists, KEY, "left").select(KEY, F.transform("tokens", word).alias("found"))
 
 
 def _is_stop(term: Column) -> Column:
@@ -56,7 +55,7 @@ def expanded_terms(found: Column) -> Column:
         F.transform(
             kept,
             lambda f: F.when(F.size(f["variants"]) > 0, f["variants"]).otherwise(
-                F.array(f["term"], t.ascii_form(f["term"]))
+                F.array_distinct(F.array(f["term"], t.ascii_form(f["term"])))
             ),
         )
     )
@@ -74,7 +73,7 @@ def english_terms(expanded: Column, found: Column) -> Column:
 
     main = ascii_list(F.transform(expanded, t.ascii_only))
     raw = ascii_list(F.transform(found, lambda f: t.ascii_only(t.ascii_form(f["term"]))))
-    return F.when(F.size(main) > 0, main).otherwise(raw)
+    return bind(main, lambda m: F.when(F.size(m) > 0, m).otherwise(raw))
 
 
 def basic_terms(found: Column) -> Column:
@@ -120,7 +119,8 @@ def search_strategies(english: Column, basic: Column, max_terms=fixed.SEARCH_TER
     tried = F.array_distinct(
         F.filter(F.array(quoted, cap(basic, max_terms)), lambda terms: F.size(terms) > 0)
     )
-    return F.when(F.size(tried) > 0, tried).otherwise(F.array(literal_list(fixed.DEFAULT_TERMS)))
+    default = F.array(literal_list(fixed.DEFAULT_TERMS))
+    return bind(tried, lambda lists: F.when(F.size(lists) > 0, lists).otherwise(default))
 
 
 def strategy_terms(lists: DataFrame, max_terms=fixed.SEARCH_TERM_CAP) -> DataFrame:
