@@ -11,6 +11,7 @@ from checks.registry import query
 from checks.term_queries import EXPANSION, token_ctes
 from checks.text_queries import _ENGLISH, TEXT, _quoted
 from postlens import fixed_values as fixed
+from postlens.config import recovery_point
 from postlens.functions import match
 from postlens.functions import text as t
 from postlens.operators import cluster, coverage, discover, evidence, features, select, sentiment, summarise, termjoin, terms
@@ -115,7 +116,7 @@ judged as (select u.*, exists (select 1 from ex where ex.plan_id = u.plan_id and
 
 @query("e5_posts_of_plan_communities", _SELECTION + " select plan_id, id, subreddit, created_utc from pass1", ("raw",))
 def e5(c: Inputs):
-    found = select.community_pass(c.raw, select._searches(c.search_plans, AS_OF))
+    found = select.community_pass(c.raw, select.Searches.of(c.search_plans, AS_OF))
     return found.select(
         "plan_id", "id", F.replace("community", F.lit("r/"), F.lit("")).alias("subreddit"),
         F.col("created_utc").cast("double").alias("created_utc"),
@@ -125,8 +126,7 @@ def e5(c: Inputs):
 @query("i1_union_of_passes", _SELECTION + """
 select plan_id, pass_no::int as pass_no, id, cast(created_utc as bigint) as created_utc from both_passes""", ("raw",))
 def i1(c: Inputs):
-    searches = select._searches(c.search_plans, AS_OF)
-    both = select.community_pass(c.raw, searches).unionByName(select.keyword_pass(c.raw, searches, c.synonyms))
+    both = select.both_passes(c.raw, select.Searches.of(c.search_plans, AS_OF), c.synonyms)
     return both.select("plan_id", "pass_no", "id", "created_utc")
 
 
@@ -147,10 +147,9 @@ select plan_id, a.community_rows, a.keyword_rows, b.unique_rows, b.excluded_rows
   select plan_id, count(*) as unique_rows, count(*) filter (excluded) as excluded_rows,
     count(*) filter (included and not excluded) as kept_rows from judged group by plan_id) b using (plan_id)""", ("raw",))
 def f7(c: Inputs):
-    searches = select._searches(c.search_plans, AS_OF)
-    both = select.community_pass(c.raw, searches).unionByName(select.keyword_pass(c.raw, searches, c.synonyms))
-    stages = select.selection_stages(c.raw, c.search_plans, c.synonyms, AS_OF)
-    return select.funnel(stages, both)
+    searches = select.Searches.of(c.search_plans, AS_OF)
+    both = select.both_passes(c.raw, searches, c.synonyms)
+    return select.funnel(both, select.judged(both, searches))
 
 
 # --- many term lists ---------------------------------------------------------------------------------
@@ -413,7 +412,7 @@ _NOTE = f"""case when total = 0 then '{fixed.COVERAGE_EMPTY}' when matched = 0 t
 @query("e9_evidence_rows", _EVIDENCE + _LINES + f"""
 select plan_id, matched, total, {_NOTE} as coverage_note, lines from counted join lines using (plan_id)""")
 def e9(c: Inputs):
-    rows = evidence.evidence(_pained(c), c.evidence_plans, c.synonyms)
+    rows = evidence.evidence(recovery_point(_pained(c)), c.evidence_plans, c.synonyms)
     return rows.drop("context").withColumn("lines", F.array_join("lines", "\n"))
 
 
@@ -432,7 +431,8 @@ select p.plan_id, concat('Context:', chr(10), '- User prompt: ', prompt, chr(10)
 from prompts p join counted using (plan_id) join lines using (plan_id) left join musts using (plan_id)
 left join focused using (plan_id)""")
 def b19(c: Inputs):
-    return evidence.evidence(_pained(c), c.evidence_plans, c.synonyms).select("plan_id", "context")
+    rows = evidence.evidence(recovery_point(_pained(c)), c.evidence_plans, c.synonyms)
+    return rows.select("plan_id", "context")
 
 
 @query("f4_sentiment_section", _PLAIN + _SEARCH_PROMPTS + """
@@ -578,7 +578,7 @@ def j8(c: Inputs):
 @query("j4_kmeans_clusters")
 def j4(c: Inputs):
     termed = features.with_terms(_texts(c).select("id", "text"), STOP)
-    vectors = features.TfIdf.fit(termed, size=2000).transform(termed).select("id", "features")
+    vectors = recovery_point(features.TfIdf.fit(termed, size=2000).transform(termed).select("id", "features"))
     model = cluster.fit_kmeans(vectors, 6, n_init=2, max_iter=20)
     return model.transform(vectors).groupBy("cluster").agg(F.count("*").alias("size"))
 
@@ -593,7 +593,7 @@ def j6(c: Inputs):
 
 @query("f9_cluster_report")
 def f9(c: Inputs):
-    grouped = _pained(c).withColumn("cluster", F.regexp_extract("community", r"\d+", 0).cast("int"))
+    grouped = recovery_point(_pained(c).withColumn("cluster", F.regexp_extract("community", r"\d+", 0).cast("int")))
     summaries = summarise.cluster_summaries(grouped, stop_words=STOP)
     return summarise.report_lines(summaries, grouped, 20)
 

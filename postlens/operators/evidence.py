@@ -58,7 +58,7 @@ def sample_line(title: Column, url: Column, pain: Column) -> Column:
 
 def matches(posts: DataFrame, focus: DataFrame) -> DataFrame:
     """``plan_id`` and sample columns for each post that contains a focus term; no terms, no rows."""
-    terms = focus.select("plan_id", F.explode("focus_terms").alias("term"))
+    terms = focus.select("plan_id", F.explode(F.array_distinct("focus_terms")).alias("term"))
     return group_posts(with_text(posts), terms, "plan_id", _SAMPLE)
 
 

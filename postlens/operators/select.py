@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,93 +50,85 @@ def search_keywords(raw: DataFrame, terms: list[str], since: int, limit: int, mi
 
 # --- all plans at once -------------------------------------------------------------------------------
 
-def _searches(plans: DataFrame, as_of: int) -> DataFrame:
-    return plans.select(
-        "plan_id",
-        or_empty(F.col("communities")).alias("communities"),
-        dedupe(F.col("filters.keywords")).alias("keywords"),
-        dedupe(F.col("filters.exclude")).alias("exclude"),
-        window_start(F.lit(as_of), F.col("params.months")).alias("since"),
-        F.greatest(F.lit(0), F.col("params.min_upvotes")).alias("min_upvotes"),
-        F.col("params.limit").alias("limit"),
-    )
+@dataclass
+class Searches:
+    """Clean search arguments of a plan table, with the widest window and limit over all plans.
+
+    The two bounds come from one small aggregation over the plans; as literals they reach the scan of the
+    posts and the rank limits.
+    """
+
+    plans: DataFrame
+    since: int
+    limit: int
+
+    @staticmethod
+    def of(plans: DataFrame, as_of: int) -> "Searches":
+        clean = plans.select(
+            "plan_id",
+            or_empty(F.col("communities")).alias("communities"),
+            dedupe(F.col("filters.keywords")).alias("keywords"),
+            dedupe(F.col("filters.exclude")).alias("exclude"),
+            window_start(F.lit(as_of), F.col("params.months")).alias("since"),
+            F.greatest(F.lit(0), F.col("params.min_upvotes")).alias("min_upvotes"),
+            F.col("params.limit").alias("limit"),
+        )
+        widest = clean.agg(F.min("since").alias("since"), F.max("limit").alias("limit")).first()
+        return Searches(clean, widest.since or as_of, widest.limit or 0)
 
 
-def _widest(searches: DataFrame):
-    """Earliest start and largest limit over all plans: literals for the scan and the rank limit."""
-    return searches.agg(F.min("since").alias("since"), F.max("limit").alias("limit")).first()
+_RAW = ["id", "subreddit", "created_utc", "title", "selftext", "full_link", "score", "num_comments"]
 
 
-_RAW = ["id", "subreddit", "created_utc", "title", "selftext", "full_link", "score", "num_comments"]
+def _within_limit(found: DataFrame, groups: list[str], limit: int) -> DataFrame:
+    """The newest rows of each search up to its plan's limit, then those with enough score."""
+    ranked = top_n(found.where(F.col("created_utc") > F.col("since")), groups, newest(), limit, salt_on="id")
+    enough = F.coalesce(F.col("score"), F.lit(0)) >= F.col("min_upvotes")
+    return ranked.where((F.col("rank") <= F.col("limit")) & enough)
 
 
-def community_pass(raw: DataFrame, searches: DataFrame) -> DataFrame:
-    widest = _widest(searches)
-    if widest.limit is None:
-        return _nothing(raw, COMMUNITY_SOURCE)
-    asked = searches.select(
+def community_pass(raw: DataFrame, searches: Searches) -> DataFrame:
+    """Posts of each plan's communities."""
+    asked = searches.plans.select(
         "plan_id", "since", "min_upvotes", "limit", F.posexplode("communities").alias("community_pos", "asked")
     ).withColumn("subreddit", F.replace("asked", F.lit("r/"), F.lit("")))
-    found = (
-        in_window(raw.select(*_RAW), after=widest.since)
-        .join(asked.drop("asked"), "subreddit")
-        .where(F.col("created_utc") > F.col("since"))
-    )
-    ranked = top_n(found, ["plan_id", "community_pos"], newest(), widest.limit, salt_on="id")
-    kept = ranked.where(F.col("rank") <= F.col("limit")).where(
-        F.coalesce(F.col("score"), F.lit(0)) >= F.col("min_upvotes")
-    )
+    found = in_window(raw.select(*_RAW), after=searches.since).join(asked.drop("asked"), "subreddit")
+    kept = _within_limit(found, ["plan_id", "community_pos"], searches.limit)
     return to_posts(kept.withColumn("pass_no", F.lit(1)), COMMUNITY_SOURCE)
 
 
-def _nothing(raw: DataFrame, source: str) -> DataFrame:
-    none = raw.select(*_RAW).where(F.lit(False))
-    return to_posts(
-        none.select(
-            F.lit(0).cast("long").alias("plan_id"), F.lit(1).alias("pass_no"),
-            F.lit(0).alias("community_pos"), *_RAW,
-        ),
-        source,
-    )
-
-
-def keyword_pass(raw: DataFrame, searches: DataFrame, synonyms: DataFrame) -> DataFrame:
-    widest = _widest(searches)
-    if widest.limit is None:
-        return _nothing(raw, KEYWORD_SOURCE)
-    listed = selection_terms(searches.select("plan_id", "keywords"), synonyms)
-    terms = listed.select("plan_id", F.explode("terms").alias("term"))
-    items = in_window(raw.select(*_RAW), after=widest.since).withColumn(
+def keyword_pass(raw: DataFrame, searches: Searches, synonyms: DataFrame) -> DataFrame:
+    """Posts that contain a search term of the plan; a plan without keywords searches for nothing."""
+    listed = selection_terms(searches.plans.select("plan_id", "keywords"), synonyms)
+    terms = listed.select("plan_id", F.explode(F.array_distinct("terms")).alias("term"))
+    items = in_window(raw.select(*_RAW), after=searches.since).withColumn(
         "text", match_text(F.col("title"), F.col("selftext"))
     )
-    found = (
-        group_posts(items, terms, "plan_id", _RAW)
-        .join(searches.select("plan_id", "since", "min_upvotes", "limit"), "plan_id")
-        .where(F.col("created_utc") > F.col("since"))
-    )
-    ranked = top_n(found, ["plan_id"], newest(), widest.limit, salt_on="id")
-    kept = ranked.where(F.col("rank") <= F.col("limit")).where(
-        F.coalesce(F.col("score"), F.lit(0)) >= F.col("min_upvotes")
+    found = group_posts(items, terms, "plan_id", _RAW).join(
+        searches.plans.select("plan_id", "since", "min_upvotes", "limit"), "plan_id"
     )
+    kept = _within_limit(found, ["plan_id"], searches.limit)
     return to_posts(
         kept.withColumn("pass_no", F.lit(2)).withColumn("community_pos", F.lit(0)), KEYWORD_SOURCE
     )
 
 
+def both_passes(raw: DataFrame, searches: Searches, synonyms: DataFrame) -> DataFrame:
+    return community_pass(raw, searches).unionByName(keyword_pass(raw, searches, synonyms))
+
+
 def first_wins(posts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per id: community pass first, then the order of the communities, then the newest."""
     order = [F.col("pass_no"), F.col("community_pos"), -F.col("created_utc"), F.col("selftext")]
     return first_per_key(posts, keys, order)
 
 
-def selection_stages(raw: DataFrame, plans: DataFrame, synonyms: DataFrame, as_of: int) -> DataFrame:
+def judged(passes: DataFrame, searches: Searches) -> DataFrame:
     """De-duplicated posts of all plans with the verdict of each filter (``excluded``, ``included``)."""
-    searches = _searches(plans, as_of)
-    both = community_pass(raw, searches).unionByName(keyword_pass(raw, searches, synonyms))
-    unique = first_wins(both, ["plan_id", "id"])
-    judged = unique.join(searches.select("plan_id", "keywords", "exclude"), "plan_id")
+    unique = first_wins(passes, ["plan_id", "id"])
+    with_terms = unique.join(searches.plans.select("plan_id", "keywords", "exclude"), "plan_id")
     text = match_text(F.col("title"), F.col("selftext"))
-    return judged.withColumns(
+    return with_terms.withColumns(
         {
             "excluded": match.contains_any(text, F.col("exclude")),
             "included": (F.size("keywords") == 0) | match.contains_any(text, F.col("keywords")),
@@ -144,7 +138,8 @@ def selection_stages(raw: DataFrame, plans: DataFrame, synonyms: DataFrame, as_o
 
 def select_posts(raw: DataFrame, plans: DataFrame, synonyms: DataFrame, as_of: int) -> DataFrame:
     """Posts of each plan: searched, de-duplicated, without excluded terms, with included ones."""
-    stages = selection_stages(raw, plans, synonyms, as_of)
+    searches = Searches.of(plans, as_of)
+    stages = judged(both_passes(raw, searches, synonyms), searches)
     kept = stages.where(~F.col("excluded") & F.col("included"))
     return kept.drop("excluded", "included", "pass_no", "community_pos")
 
@@ -155,7 +150,7 @@ def keyword_filter(posts: DataFrame, keywords: list[str], exclude: list[str] = (
     return posts.where(match.exclude_filter(text, exclude)).where(match.include_filter(text, keywords, mode))
 
 
-def funnel(stages: DataFrame, passes: DataFrame) -> DataFrame:
+def funnel(passes: DataFrame, stages: DataFrame) -> DataFrame:
     """Rows per plan at each step, in two single-pass aggregations."""
     collected = passes.groupBy("plan_id").agg(
         F.count_if(F.col("pass_no") == 1).alias("community_rows"),

@@ -53,9 +53,9 @@ def top_terms(posts: DataFrame, by: str = "cluster", stop_words: Sequence[str] |
     break by name.
     """
     words = (
-        posts.select(by, "id", unigrams(F.col("text"), stop_words).alias("words"))
+        posts.select(by, "id", "text")
         .repartition("id")
-        .select(by, "id", F.explode("words").alias("term"))
+        .select(by, "id", F.explode(unigrams(F.col("text"), stop_words)).alias("term"))
     )
     counts = words.groupBy("id", by, "term").agg(F.count("*").alias("tf"))
     per_term = counts.groupBy(by, "term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"))

@@ -29,7 +29,8 @@ def with_variants(token_lists: DataFrame, synonyms: DataFrame) -> DataFrame:
     Only words with synonyms pass the join, so only they are grouped again by prompt.
     """
     lists = token_lists.select(KEY, F.array_distinct("tokens").alias("tokens"))
-    words = lists.select(KEY, F.posexplode("tokens").alias("pos", "term"))
+    # Exploding a plain column would add a filter that computes the column again; an expression does not.
+    words = token_lists.select(KEY, F.posexplode(F.array_distinct("tokens")).alias("pos", "term"))
     keyed = words.select(KEY, "pos", F.posexplode(t.lookup_keys(F.col("term"))).alias("key_pos", "key"))
     hits = keyed.join(synonyms.select("key", F.col("pos").alias("variant_pos"), "variant"), "key")
     hit_lists = hits.groupBy(KEY).agg(
