@@ -1,7 +1,7 @@
 """Times the headline queries over ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]`` and prints one JSON line.
 
 Every query runs in full into a discarding sink. One query warms the session up; each query is then timed
-``$BENCH_RUNS`` times (default 2) and the best run counts.
+``$BENCH_RUNS`` times (default 1) and the best run counts.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("postlens-bench")

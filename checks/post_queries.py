@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.inputs import AS_OF, SEARCH_PLANS, SEARCH_PROMPTS, SINCE, STOP, Inputs
@@ -11,12 +13,14 @@ from checks.registry import query
 from checks.term_queries import EXPANSION, token_ctes
 from checks.text_queries import _ENGLISH, TEXT, _quoted
 from postlens import fixed_values as fixed
+from postlens import schemas
 from postlens.config import recovery_point
 from postlens.functions import match
 from postlens.functions import text as t
 from postlens.operators import cluster, coverage, discover, evidence, features, select, sentiment, summarise, termjoin, terms
 from postlens.operators.topn import first_per_key, top_n
-from postlens.sources.posts import newest_first, to_posts
+from postlens.sources import readers, writers
+from postlens.sources.posts import newest_first
 from postlens.streaming import ingest
 
 # --- search with fixed arguments ---------------------------------------------------------------------
@@ -600,11 +604,17 @@ def f9(c: Inputs):
 
 # --- streaming ---------------------------------------------------------------------------------------
 
+def _folder(c: Inputs, purpose: str) -> str:
+    """A new folder for what a query writes and reads back: in the shared folder, if the session names one."""
+    shared = c.spark.conf.get("spark.checkpoint.dir", None)
+    name = f"postlens-{purpose}-{uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}" if shared else f"{tempfile.gettempdir()}/{name}"
+
+
 @query("m1_stream_ingest", _PLAIN + """
 select id, community, sentiment, pain_score from pained where upvotes >= 20""")
 def m1(c: Inputs):
-    folder = c.spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="postlens-stream-", dir=None if folder is None or "://" in folder else folder)
+    folder = _folder(c, "stream")
     raw = c.posts.select(
         "id", F.replace("community", F.lit("r/"), F.lit("")).alias("subreddit"),
         F.col("created_utc").cast("double").alias("created_utc"), "title", "selftext", F.col("url").alias("full_link"),
@@ -615,3 +625,53 @@ def m1(c: Inputs):
     stream = ingest.ingest(ingest.read_stream(c.spark, f"{folder}/in", 3), c.lexicon, min_upvotes=20, rules=False)
     ingest.write_stream(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     return c.spark.read.parquet(f"{folder}/out").select("id", "community", "sentiment", "pain_score")
+
+
+# --- sources and sinks that write ----------------------------------------------------------------------
+
+@query("a1_a2_jsonl_round_trip", "select id, subreddit, created_utc, selftext, score, num_comments from raw", ("raw",))
+def a1(c: Inputs):
+    folder = _folder(c, "jsonl")
+    writers.write_jsonl(c.raw, folder)
+    back = readers.read_jsonl(c.spark, folder).where(F.col("_corrupt_record").isNull())
+    return back.select("id", "subreddit", "created_utc", "selftext", "score", "num_comments")
+
+
+@query("a3_posts_by_cluster", """
+select community, count(*) as posts, sum(upvotes)::bigint as upvotes from posts where upvotes % 7 = 3 group by community""")
+def a3(c: Inputs):
+    folder = _folder(c, "posts")
+    writers.write_posts(c.posts.withColumn("cluster", F.col("upvotes") % 7), folder, by_cluster=True)
+    one = readers.read_parquet(c.spark, folder).where(F.col("cluster") == 3)
+    return one.groupBy("community").agg(F.count("*").alias("posts"), F.sum("upvotes").alias("upvotes"))
+
+
+@query("a5_a6_plan_round_trip", r"""
+select plan_id, prompt, array_to_string(regexp_extract_all(communities, '[^, ]+'), '|') as communities, 1::int as months,
+  array_to_string(list_filter(string_split(must_terms, ','), lambda x: x <> ''), '|') as must, report_type from prompts""",
+       ("prompts",))
+def a5(c: Inputs):
+    folder = _folder(c, "plans")
+    writers.write_plans(c.plans, folder)
+    back = c.spark.read.schema(schemas.PLAN).json(folder)
+    return back.select(
+        "plan_id", "prompt", F.array_join("communities", "|").alias("communities"), "params.months",
+        F.array_join("filters.must_include", "|").alias("must"), "report_type",
+    )
+
+
+@query("a9_empty_input_report", "select * from (values (999::int, '# Pain Map'), (1000::int, '- Items: **0**'), (1001::int, '- Clusters: **0**'), (1002::int, concat(chr(10), '> nothing written in the future'))) t(line_no, line) where (select count(*) from posts where created_utc > 4102444800) = 0")
+def a9(c: Inputs):
+    future = _pained(c).where(F.col("created_utc") > 4_102_444_800).withColumn("cluster", F.col("upvotes") % 1)
+    summaries = summarise.cluster_summaries(future, stop_words=STOP)
+    lines = summarise.report_lines(summaries, future, 1, reason="nothing written in the future")
+    return lines.withColumn("line_no", F.row_number().over(Window.orderBy("line_no")) + 998)
+
+
+@query("a11_report_sink")
+def a11(c: Inputs):
+    grouped = recovery_point(_pained(c).withColumn("cluster", F.col("upvotes") % 6))
+    folder = _folder(c, "report")
+    summaries = summarise.cluster_summaries(grouped, stop_words=STOP)
+    writers.write_report(summarise.report_lines(summaries, grouped, 6), folder)
+    return c.spark.read.text(folder)
