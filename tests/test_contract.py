@@ -8,12 +8,13 @@ from concurrent.futures import ThreadPoolExecutor
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from checks import all_queries
+from __spark_entry__ import entry
 from conftest import TESTDATA
 
 TABLES = "documents embeddings benchmark conversations".split()
-SQL = contract.oracle_sql()
-QUERIES = contract.queries()
+SQL = all_queries.oracle_sql()
+QUERIES = all_queries.queries()
 #: Fits models or reads back what it wrote; covered by tests of their own.
 SLOW = {"j6_best_k"}
 
@@ -67,7 +68,7 @@ def test_query(results, duck, name):
 
 
 def test_entry(spark):
-    df = contract.entry(spark)
+    df = entry(spark)
     assert df.count() > 0 and "pain_score" in df.columns
 
 
