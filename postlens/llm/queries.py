@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import setjoin
+from postlens.llm import decontaminate, setjoin
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,9 @@ def query(name: str, sql: str | None = None):
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents linked by 4-word shingles at a similarity of 0.85."""
     return setjoin.similar_groups(table(spark, folder, "documents"), width=4, percent=85)
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each document is windows of 13 words of the benchmark."""
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("hits")
