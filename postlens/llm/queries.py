@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import decontaminate, setjoin
+from postlens.llm import decontaminate, language, quality, setjoin
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score of every document, learned from labels outside the held-out fold."""
+    return quality.ranked(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned outside the held-out fold."""
+    return language.identified(table(spark, folder, "documents"))
+
+
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents linked by 4-word shingles at a similarity of 0.85."""
