@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import decontaminate, language, quality, setjoin
+from postlens.llm import decontaminate, language, quality, setjoin, warc
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each document is windows of 13 words of the benchmark."""
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("hits")
+
+
+@query("op7_warc")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """What comes back of every page that was written to archives."""
+    return warc.round_trip(table(spark, folder, "pages")).drop("uri")
