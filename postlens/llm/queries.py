@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postlens.llm import decontaminate, language, quality, setjoin, warc
+from postlens.llm import decontaminate, language, neighbours, packing, quality, setjoin, sharding, warc
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """What comes back of every page that was written to archives."""
     return warc.round_trip(table(spark, folder, "pages")).drop("uri")
+
+
+@query("op8_sharding")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents placed on 64 shards by source; larger sources are split by id."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    shards = [f"shard-{i:02}" for i in range(64)]
+    return sharding.placed(docs, shards, F.col("source"), spread=F.col("doc_id"))
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of documents of similar length, in words of the whole texts."""
+    return packing.packed(table(spark, folder, "documents"), packing.word_count(F.col("text")))
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
