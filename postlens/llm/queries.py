@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontaminate, language, neighbours, packing, quality, setjoin, sharding, warc
+from postlens.llm import decontaminate, language, licences, neighbours, packing, quality, setjoin, sharding, tokens, warc
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,33 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document before and after three edits made from its own text: a passage of it comes again
+    elsewhere, another one goes, a third is replaced."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.length("text") + 1)
+    edit = lambda seq, start, length, insert: F.struct(
+        F.lit(seq).alias("seq"), start.alias("start"), F.lit(length).alias("length"), insert.alias("insert")
+    )
+    edits = docs.where("text is not null").select("doc_id", F.explode(F.array(
+        edit(1, place(1), 0, F.substring("text", (place(2) + 1).cast("int"), F.lit(24))),
+        edit(2, place(3), 17, F.lit("")),
+        edit(3, place(4), 9, F.lit(" as revised, ")),
+    )).alias("e")).select("doc_id", "e.*")
+    out = tokens.edited(tokens.counted(docs), edits)
+    return out.select(
+        "doc_id", "n_before", "n_tokens", "n_edits", "reencoded", F.length("text").alias("n_chars"),
+        F.expr("size(chars) div 2").alias("n_leaves"),
+    )
+
+
+@query("op2_licence_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence families of every document, and the paragraphs they are in."""
+    return licences.scanned(table(spark, folder, "documents"))
+
+
 @query("op3_quality_classifier")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """A quality score of every document, learned from labels outside the held-out fold."""
