@@ -10,7 +10,8 @@ derived from those of a very similar set:
    Two positions bound the overlap, so most pairs are skipped without being looked at.
 3. Sets linked to a pivot form a *star* with known distances to its centre. For two stars in one list only the centres
    are compared. The distance of the centres bounds that of all members (the Jaccard distance is a metric): often all
-   are linked or none can be. Only the rest is compared pair by pair.
+   are linked or none can be. For the rest, a set's overlaps with all members of a star are derived from its overlap
+   with the centre and the few shingles in which a member differs from the centre.
 
 Nothing is capped: each step skips only pairs that cannot be links, or whose sets are connected already.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import checkpointed, texts, written
+from postlens.llm.common import by_bytes, checkpointed, texts, written
 from postlens.llm.components import components
 from postlens.llm.shingles import mix, set_id, shingle_sets
 
@@ -35,6 +36,8 @@ SKETCH_BITS, FILTER_BITS = 18, 23
 SPLIT_LIST, SPLIT_PIVOT = 100_000, 4_000
 #: The split of a list that is in one piece.
 WHOLE = -1
+#: Marks a shingle of the pivot that its partner lacks.
+_LACKS = _U(0x5DEECE66D1234567)
 _BLOCKS = 8
 _ROWS = 100_000
 
@@ -68,6 +71,13 @@ class Similarity:
         return np.floor(np.log(n) / -np.log(self.percent / 100) + 1e-9).astype(np.int64)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose texts (of one column) have about 4 MB, or which are one longer text."""
+    for batch in batches:
+        for part in by_bytes(texts(batch.column(column)), 4 << 20):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
@@ -78,7 +88,7 @@ def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         shift = _U(64 - SKETCH_BITS)
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             sets = shingle_sets(texts(batch.column(1)), width)
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS)
@@ -134,7 +144,7 @@ def _prefixes(width: int, similarity: Similarity, sketch):
         splits = np.maximum(1, (counts - 2 * int(np.median(counts))) // SPLIT_LIST)
         shift = _U(64 - SKETCH_BITS)
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             tokens, sids, places = [], [], []
             for shingles in shingle_sets(texts(batch.column(0)), width):
                 n = len(shingles)
@@ -233,7 +243,7 @@ def _kept_sets(width: int, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             place = batch.column(1).to_numpy() % (1 << FILTER_BITS)
             asked = pa.array(((bits[place >> 6] >> (place & 63)) & 1).astype(bool))
             found = [s for s in shingle_sets(texts(batch.column(0).filter(asked)), width) if len(s)]
@@ -246,29 +256,47 @@ def _kept_sets(width: int, wanted):
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted so that a pivot precedes its partners: the overlap of each partner with it."""
-    name, pivot = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        a, b, n_a, n_b, both = [], [], [], [], []
-        for key, partner, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            shingles = np.frombuffer(data, np.uint64)
-            if partner is None:
-                name, pivot = key, shingles
-            elif key == name:
-                at = np.searchsorted(pivot, shingles)
-                at[at == len(pivot)] = 0
-                a.append(partner), b.append(key), n_a.append(len(shingles)), n_b.append(len(pivot))
-                both.append(int((pivot[at] == shingles).sum()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(x, pa.int32()) for x in (n_a, n_b, both))],
-            ["a", "b", "n_a", "n_b", "both"],
-        )
+def _overlaps(widest: float):
+    """Of rows sorted so that a pivot precedes its partners: the overlap of each partner with it, and the difference.
+
+    A difference lists what the partner has more than the pivot, then (marked) what it lacks; it is left out where the
+    distance is above ``widest``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, pivot = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b, n_a, n_b, both, diff = [], [], [], [], [], []
+            for i in range(batch.num_rows):
+                key, partner, data = (batch.column(k)[i].as_py() for k in range(3))
+                shingles = np.frombuffer(data, np.uint64)
+                if partner is None:
+                    name, pivot = key, shingles
+                elif key == name:
+                    at = np.searchsorted(pivot, shingles)
+                    at[at == len(pivot)] = 0
+                    same = pivot[at] == shingles
+                    n = int(same.sum())
+                    a.append(partner), b.append(key), n_a.append(len(shingles)), n_b.append(len(pivot)), both.append(n)
+                    if 1 - n / (len(shingles) + len(pivot) - n) <= widest:
+                        lacks = np.ones(len(pivot), bool)
+                        lacks[at[same]] = False
+                        diff.append(np.concatenate([shingles[~same], pivot[lacks] ^ _LACKS]).view(np.int64))
+                    else:
+                        diff.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(x, pa.int32()) for x in (n_a, n_b, both)),
+                 pa.array(diff, pa.list_(pa.int64()))],
+                ["a", "b", "n_a", "n_b", "both", "diff"],
+            )
+
+    return run
 
 
 class _Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.spark, self.width, self.similarity = docs, docs.sparkSession, width, Similarity(percent)
+        self.limit = 1 - percent / 100
         self.tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.profile = checkpointed(
             docs.select("row", "text").mapInArrow(_profile(width), "row long, n int, sid long, sketch binary")
@@ -286,7 +314,10 @@ class _Join:
         )
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, both, d``: overlap and Jaccard distance of each pair ``(a, b)``; b should be the one with many pairs."""
+        """Sizes, overlap, Jaccard distance ``d`` and difference of each pair ``(a, b)``; b should be in many pairs.
+
+        ``diff`` has what a has more than b, then what it lacks; it is null where the distance is too large to matter.
+        """
         pairs = checkpointed(pairs.select("a", "b").distinct())
         ways = F.expr(f"1 + count(1) div {SPLIT_PIVOT}")
         pairs = pairs.join(pairs.groupBy("b").agg(ways.alias("ways")), "b")
@@ -305,16 +336,20 @@ class _Join:
         )
         dealt = needs.join(sets, "sid").select("key", "partner", "shingles", "split")
         dealt = dealt.repartition(self.tasks, "key", "split").sortWithinPartitions("key", "split", F.asc_nulls_first("partner"))
-        found = dealt.select("key", "partner", "shingles").mapInArrow(_overlaps, "a long, b long, n_a int, n_b int, both int")
-        return checkpointed(found.withColumn("d", F.expr("1 - both / (n_a + n_b - both)")).distinct())
+        found = dealt.select("key", "partner", "shingles").mapInArrow(
+            _overlaps(2 * self.limit + 1e-9), "a long, b long, n_a int, n_b int, both int, diff array<bigint>"
+        )
+        return checkpointed(found.withColumn("d", F.expr("1 - both / (n_a + n_b - both)")))
 
     def links(self) -> DataFrame:
         """``a, b``: links that connect all sets that chains of links connect."""
-        at_least, limit = self.similarity.overlap_sql("n_a + n_b"), 1 - self.similarity.percent / 100
+        p, limit = self.similarity.percent, self.limit
+        at_least = self.similarity.overlap_sql("n_a + n_b")
         index = self.index()
         tried = self.compared(index.where("pivot is not null").select(F.col("sid").alias("a"), F.col("pivot").alias("b")))
         near = tried.where(f"both >= {at_least}")
-        joined = components(near)
+        links = near.select("a", "b")
+        joined = components(links)
         star = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("s"))
         star = star.select(F.col("a").alias("sid"), F.col("s.b").alias("star"), F.col("s.d").alias("far"))
         # A centre may belong to another star itself; its members' distances stay those to it.
@@ -329,39 +364,72 @@ class _Join:
         )
         mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         placed = checkpointed(placed.join(mixed.select("token"), "token"))
-        stars = placed.groupBy("token", "star").agg(
-            F.min("root").alias("root"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"),
-            F.max("far").alias("far"),
-        )
-        x, y = stars.alias("x"), stars.alias("y")
-        p = self.similarity.percent
+        # Members of one star and size are one entry of a list.
+        entries = placed.groupBy("token", "star", "n").agg(F.min("root").alias("root"), F.max("rest").alias("rest"))
+        x, y = entries.alias("x"), entries.alias("y")
         meet = F.expr(
             "x.token = y.token and x.star < y.star and x.root <> y.root"
-            f" and 100 * x.most >= {p} * y.least and 100 * y.most >= {p} * x.least"
-            f" and least(x.rest, y.rest) >= {self.similarity.overlap_sql('x.least + y.least')}"
+            f" and 100 * x.n >= {p} * y.n and 100 * y.n >= {p} * x.n"
+            f" and least(x.rest, y.rest) >= {self.similarity.overlap_sql('x.n + y.n')}"
         )
-        pairs = x.join(y, meet).select(
-            F.col("x.star").alias("a"), F.col("y.star").alias("b"), F.col("x.far").alias("far_a"), F.col("y.far").alias("far_b")
+        met = x.join(y, meet).select(
+            F.col("x.star").alias("a"), F.col("y.star").alias("b"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n_y")
+        )
+        met = checkpointed(met.distinct())
+        if met.isEmpty():
+            return links
+        members = checkpointed(placed.select("star", "sid", "n", "far").distinct())
+        size = members.groupBy("star").agg(F.max("far").alias("far"), F.count("*").alias("size"))
+        known = self.compared(met.select("a", "b"))
+        links = links.unionByName(known.where(f"both >= {at_least}").select("a", "b"))
+        side = lambda c: size.select(F.col("star").alias(c), F.col("far").alias(f"far_{c}"), F.col("size").alias(f"size_{c}"))
+        open_ = known.where(f"both < {at_least}").select("a", "b", "d").join(side("a"), "a").join(side("b"), "b")
+        open_ = open_.where(f"far_a + far_b > 0 and d <= {limit} + far_a + far_b + 1e-9")
+        # The larger star keeps its centre as the set to derive answers from; the members of the other are asked about.
+        swap = F.col("size_a") > F.col("size_b")
+        open_ = checkpointed(
+            open_.select(
+                F.when(swap, F.col("b")).otherwise(F.col("a")).alias("asked"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("star"),
+                F.when(swap, F.col("far_a")).otherwise(F.col("far_b")).alias("radius"), "d",
+            )
         )
-        pairs = checkpointed(pairs.groupBy("a", "b").agg(F.max("far_a").alias("far_a"), F.max("far_b").alias("far_b")))
-        if pairs.isEmpty():
-            return near.select("a", "b")
-        known = pairs.join(self.compared(pairs), ["a", "b"])
-        linked = known.where(f"both >= {at_least}").select("a", "b")
-        open_ = known.where(f"both < {at_least} and far_a + far_b > 0 and d <= {limit} + far_a + far_b + 1e-9")
-        open_ = checkpointed(open_.select(F.col("a").alias("star_a"), F.col("b").alias("star_b"), "d"))
-        found = near.select("a", "b").unionByName(linked)
         if open_.isEmpty():
-            return found
-        left = placed.select("token", F.col("star").alias("star_a"), F.col("sid").alias("a"), F.col("n").alias("n_a"),
-                             F.col("rest").alias("rest_a"), F.col("far").alias("far_a"))
-        right = placed.select("token", F.col("star").alias("star_b"), F.col("sid").alias("b"), F.col("n").alias("n_b"),
-                              F.col("rest").alias("rest_b"), F.col("far").alias("far_b"))
-        rest = left.join(open_, "star_a").join(right, ["token", "star_b"]).where(
-            f"100 * n_a >= {p} * n_b and 100 * n_b >= {p} * n_a and least(rest_a, rest_b) >= {at_least}"
-            f" and d <= {limit} + far_a + far_b + 1e-9"
+            return links
+        asking = open_.join(members.withColumnRenamed("star", "asked"), "asked").where(f"d <= {limit} + radius + far + 1e-9")
+        asking = checkpointed(asking.select("asked", "star", "radius", "sid").distinct())
+        tested = self.compared(asking.select(F.col("sid").alias("a"), F.col("star").alias("b")))
+        links = links.unionByName(tested.where(f"both >= {at_least}").select("a", "b"))
+        tested = tested.where(f"both < {at_least}").withColumnsRenamed({"a": "sid", "b": "star"}).join(asking, ["sid", "star"])
+        tested = tested.where(f"radius > 0 and d <= {limit} + radius + 1e-9").select(
+            "sid", "star", "asked", F.col("n_a").alias("n"), F.col("n_b").alias("n_star"), "both", F.col("diff").alias("own")
+        )
+        return links.unionByName(self.derived(tested, near, members, met))
+
+    def derived(self, tested: DataFrame, near: DataFrame, members: DataFrame, met: DataFrame) -> DataFrame:
+        """Links of the tested sets with members of a star, from their overlap with its centre and two differences.
+
+        With the centre p, overlap(y, c) = overlap(y, p) - |p without c| + |what the differences of y and c to p share|.
+        As y is no link of p, a link of y and c needs more shared than a known part of the difference of c. So one of
+        the first entries of that difference, all but that part, is shared: only sets that share one are paired.
+        """
+        p = self.similarity.percent
+        sizes = met.select(F.col("a").alias("star"), F.col("n_x").alias("n_c"), F.col("b").alias("asked"), F.col("n_y").alias("n"))
+        sizes = sizes.unionByName(
+            met.select(F.col("b").alias("star"), F.col("n_y").alias("n_c"), F.col("a").alias("asked"), F.col("n_x").alias("n"))
         )
-        return found.unionByName(self.compared(rest).where(f"both >= {at_least}").select("a", "b"))
+        tested = checkpointed(tested)
+        around = members.join(tested.select("star").distinct(), "star").select(F.col("sid").alias("a"), F.col("star").alias("b"))
+        around = checkpointed(near.join(around, ["a", "b"]).select(
+            F.col("a").alias("c"), F.col("b").alias("star"), F.col("n_a").alias("n_c"),
+            F.expr("n_b - both").alias("lacks"), F.expr("n_a - both").alias("more"), F.col("diff").alias("theirs"),
+        ))
+        first = F.expr(f"int(lacks + more - (100 * lacks + {p} * more) div {100 + p})")
+        ours = tested.join(sizes, ["star", "asked", "n"]).select("sid", "star", "n_c", F.explode("own").alias("shingle"))
+        theirs = around.select("c", "star", "n_c", F.explode(F.slice("theirs", F.lit(1), first)).alias("shingle"))
+        pairs = ours.join(theirs, ["star", "n_c", "shingle"]).select("sid", "star", "c").distinct()
+        pairs = pairs.join(tested.select("sid", "star", "n", "both", "own").distinct(), ["sid", "star"]).join(around, ["star", "c"])
+        overlap = F.col("both") - F.col("lacks") + F.size(F.array_intersect("own", "theirs"))
+        return pairs.where((100 + p) * overlap >= p * (F.col("n") + F.col("n_c"))).select(F.col("sid").alias("a"), F.col("c").alias("b"))
 
 
 def similar_groups(
