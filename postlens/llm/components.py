@@ -31,7 +31,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .unionByName(small.where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root")))
             .distinct()
         )
-        settled = following.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-        if settled and following.join(following.select(F.col("root").alias("node")), "node", "left_semi").isEmpty():
+        # Settled: each node has one root, and no root has one.
+        ends = following.select("node", F.lit(2).alias("n")).unionByName(
+            following.groupBy(F.col("root").alias("node")).agg(F.lit(1).alias("n"))
+        )
+        if ends.groupBy("node").agg(F.sum("n").alias("n")).where("n > 2").isEmpty():
             return following
         hooks = following

@@ -238,8 +238,11 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _kept_sets(width: int, wanted):
-    """The sets of the wanted documents. ``place`` is the row's hash, made by Spark."""
+def _kept_sets(width: int, wanted, part: bool):
+    """The sets of the wanted documents, or a part of them. ``place`` is the row's hash, made by Spark.
+
+    The part has the shingles of the lowest quarter of all hashes, cut to 32 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -247,15 +250,56 @@ def _kept_sets(width: int, wanted):
             place = batch.column(1).to_numpy() % (1 << FILTER_BITS)
             asked = pa.array(((bits[place >> 6] >> (place & 63)) & 1).astype(bool))
             found = [s for s in shingle_sets(texts(batch.column(0).filter(asked)), width) if len(s)]
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                    ["sid", "shingles"],
-                )
+            if not found:
+                continue
+            sids, sizes = [set_id(s) for s in found], [len(s) for s in found]
+            if part:
+                found = [(s[: np.searchsorted(s, _U(1 << 62))] >> _U(30)).astype(np.uint32) for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())],
+                ["sid", "n", "shingles"],
+            )
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[list[tuple]]:
+    """Per batch of rows sorted so that a pivot precedes its partners: partner, pivot and their sizes and shingles."""
+    name, n_pivot, pivot = None, 0, np.zeros(0, kind)
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            key, partner, reach, n, data = (batch.column(k)[i].as_py() for k in range(5))
+            shingles = np.frombuffer(data, kind)
+            if partner is None:
+                name, n_pivot, pivot = key, n, shingles
+            elif key == name:
+                out.append((partner, key, reach, n, n_pivot, shingles, pivot))
+        yield out
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x are in y (both ascending), and their places there."""
+    if not len(y):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return y[at] == x, at
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that parts of the sets leave within reach: all shingles outside the parts may be shared."""
+    for rows in _met(batches, np.uint32):
+        kept = []
+        for a, b, reach, n_a, n_b, x, y in rows:
+            most = int(_shared(x, y)[0].sum()) + min(n_a - len(x), n_b - len(y))
+            if 1 - most / (n_a + n_b - most) <= reach + 1e-9:
+                kept.append((a, b, reach))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "reach"]
+        )
+
+
 def _overlaps(widest: float):
     """Of rows sorted so that a pivot precedes its partners: the overlap of each partner with it, and the difference.
 
@@ -264,31 +308,21 @@ def _overlaps(widest: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, pivot = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            a, b, n_a, n_b, both, diff = [], [], [], [], [], []
-            for i in range(batch.num_rows):
-                key, partner, data = (batch.column(k)[i].as_py() for k in range(3))
-                shingles = np.frombuffer(data, np.uint64)
-                if partner is None:
-                    name, pivot = key, shingles
-                elif key == name:
-                    at = np.searchsorted(pivot, shingles)
-                    at[at == len(pivot)] = 0
-                    same = pivot[at] == shingles
-                    n = int(same.sum())
-                    a.append(partner), b.append(key), n_a.append(len(shingles)), n_b.append(len(pivot)), both.append(n)
-                    if 1 - n / (len(shingles) + len(pivot) - n) <= widest:
-                        lacks = np.ones(len(pivot), bool)
-                        lacks[at[same]] = False
-                        diff.append(np.concatenate([shingles[~same], pivot[lacks] ^ _LACKS]).view(np.int64))
-                    else:
-                        diff.append(None)
+        for rows in _met(batches, np.uint64):
+            out = []
+            for a, b, _, n_a, n_b, x, y in rows:
+                same, at = _shared(x, y)
+                both = int(same.sum())
+                diff = None
+                if 1 - both / (n_a + n_b - both) <= widest:
+                    lacks = np.ones(n_b, bool)
+                    lacks[at[same]] = False
+                    diff = np.concatenate([x[~same], y[lacks] ^ _LACKS]).view(np.int64)
+                out.append((a, b, n_a, n_b, both, diff))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(x, pa.int32()) for x in (n_a, n_b, both)),
-                 pa.array(diff, pa.list_(pa.int64()))],
-                ["a", "b", "n_a", "n_b", "both", "diff"],
-            )
+                [pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["a", "b", "n_a", "n_b", "both", "diff"]
+            )
 
     return run
 
@@ -314,49 +348,58 @@ class _Join:
         )
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """Sizes, overlap, Jaccard distance ``d`` and difference of each pair ``(a, b)``; b should be in many pairs.
+        """Sizes, overlap, Jaccard distance ``d`` and difference of pairs ``a, b, reach``; b should be in many pairs.
 
+        Pairs farther apart than ``reach`` may be missing: parts of the sets, an eighth of their bytes, rule out most.
         ``diff`` has what a has more than b, then what it lacks; it is null where the distance is too large to matter.
         """
-        pairs = checkpointed(pairs.select("a", "b").distinct())
-        ways = F.expr(f"1 + count(1) div {SPLIT_PIVOT}")
-        pairs = pairs.join(pairs.groupBy("b").agg(ways.alias("ways")), "b")
-        pairs = pairs.withColumn("split", F.pmod(F.xxhash64("a"), "ways").cast("int"))
-        needs = pairs.select(F.col("a").alias("sid"), F.col("b").alias("key"), "split", F.col("a").alias("partner"))
-        needs = checkpointed(
-            needs.unionByName(
-                pairs.select(F.col("b").alias("sid"), F.col("b").alias("key"), "split", F.lit(None).cast("long").alias("partner"))
-                .distinct()
-            )
-        )
-        rows = self.rows.join(needs.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("row").alias("row"))
+        pairs = checkpointed(pairs.groupBy("a", "b").agg(F.max("reach").alias("reach")))
+        sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        rows = self.rows.join(sids, "sid").groupBy("sid").agg(F.min("row").alias("row"))
         wanted = self.spark.sparkContext.broadcast(_wanted(rows))
-        sets = self.docs.select("text", F.xxhash64("row").alias("place")).mapInArrow(
-            _kept_sets(self.width, wanted), "sid long, shingles binary"
-        )
-        dealt = needs.join(sets, "sid").select("key", "partner", "shingles", "split")
-        dealt = dealt.repartition(self.tasks, "key", "split").sortWithinPartitions("key", "split", F.asc_nulls_first("partner"))
-        found = dealt.select("key", "partner", "shingles").mapInArrow(
+        hopeful = checkpointed(self._together(pairs, wanted, True).mapInArrow(_hopeful, "a long, b long, reach double"))
+        found = self._together(hopeful, wanted, False).mapInArrow(
             _overlaps(2 * self.limit + 1e-9), "a long, b long, n_a int, n_b int, both int, diff array<bigint>"
         )
         return checkpointed(found.withColumn("d", F.expr("1 - both / (n_a + n_b - both)")))
 
+    def _together(self, pairs: DataFrame, wanted, part: bool) -> DataFrame:
+        """Each pivot's set (or part of it) in front of those of its partners; a pivot with many partners, several times."""
+        ways = pairs.groupBy("b").agg(F.expr(f"1 + count(1) div {SPLIT_PIVOT}").alias("ways"))
+        pairs = pairs.join(ways, "b").withColumn("split", F.pmod(F.xxhash64("a"), "ways").cast("int"))
+        needs = pairs.select(F.col("a").alias("sid"), F.col("b").alias("key"), "split", F.col("a").alias("partner"), "reach")
+        needs = needs.unionByName(
+            pairs.groupBy("b", "split").agg(F.lit(None).cast("long").alias("partner"), F.lit(0.0).alias("reach"))
+            .select(F.col("b").alias("sid"), F.col("b").alias("key"), "split", "partner", "reach")
+        )
+        sets = self.docs.select("text", F.xxhash64("row").alias("place")).mapInArrow(
+            _kept_sets(self.width, wanted, part), "sid long, n int, shingles binary"
+        )
+        dealt = needs.join(sets, "sid").repartition(self.tasks, "key", "split")
+        dealt = dealt.sortWithinPartitions("key", "split", F.asc_nulls_first("partner"))
+        return dealt.select("key", "partner", "reach", "n", "shingles")
+
     def links(self) -> DataFrame:
         """``a, b``: links that connect all sets that chains of links connect."""
         p, limit = self.similarity.percent, self.limit
         at_least = self.similarity.overlap_sql("n_a + n_b")
         index = self.index()
-        tried = self.compared(index.where("pivot is not null").select(F.col("sid").alias("a"), F.col("pivot").alias("b")))
+        tried = self.compared(
+            index.where("pivot is not null").select(F.col("sid").alias("a"), F.col("pivot").alias("b"), F.lit(limit).alias("reach"))
+        )
         near = tried.where(f"both >= {at_least}")
         links = near.select("a", "b")
-        joined = components(links)
         star = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("s"))
         star = star.select(F.col("a").alias("sid"), F.col("s.b").alias("star"), F.col("s.d").alias("far"))
-        # A centre may belong to another star itself; its members' distances stay those to it.
+        # A centre may belong to another star itself; its members' distances stay those to it. Two steps up from a set
+        # lead to its root: sets of one root are connected, whatever the other links are.
+        above = star.select(F.col("sid").alias("star"), F.col("star").alias("above"))
+        star = star.join(above, "star", "left").select(
+            "sid", "star", "far",
+            F.expr("case when above = sid then least(sid, star) else coalesce(above, star) end").alias("root"),
+        )
         placed = (
-            index.select("token", "sid", "n", "rest")
-            .join(joined.withColumnRenamed("node", "sid"), "sid", "left")
-            .join(star, "sid", "left")
+            index.select("token", "sid", "n", "rest").join(star, "sid", "left")
             .select(
                 "token", "sid", "n", "rest", F.coalesce("root", "sid").alias("root"),
                 F.coalesce("star", "sid").alias("star"), F.coalesce("far", F.lit(0.0)).alias("far"),
@@ -380,10 +423,11 @@ class _Join:
             return links
         members = checkpointed(placed.select("star", "sid", "n", "far").distinct())
         size = members.groupBy("star").agg(F.max("far").alias("far"), F.count("*").alias("size"))
-        known = self.compared(met.select("a", "b"))
-        links = links.unionByName(known.where(f"both >= {at_least}").select("a", "b"))
         side = lambda c: size.select(F.col("star").alias(c), F.col("far").alias(f"far_{c}"), F.col("size").alias(f"size_{c}"))
-        open_ = known.where(f"both < {at_least}").select("a", "b", "d").join(side("a"), "a").join(side("b"), "b")
+        asked = checkpointed(met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"))
+        known = self.compared(asked.select("a", "b", F.expr(f"{limit} + far_a + far_b").alias("reach")))
+        links = links.unionByName(known.where(f"both >= {at_least}").select("a", "b"))
+        open_ = known.where(f"both < {at_least}").select("a", "b", "d").join(asked, ["a", "b"])
         open_ = open_.where(f"far_a + far_b > 0 and d <= {limit} + far_a + far_b + 1e-9")
         # The larger star keeps its centre as the set to derive answers from; the members of the other are asked about.
         swap = F.col("size_a") > F.col("size_b")
@@ -397,7 +441,9 @@ class _Join:
             return links
         asking = open_.join(members.withColumnRenamed("star", "asked"), "asked").where(f"d <= {limit} + radius + far + 1e-9")
         asking = checkpointed(asking.select("asked", "star", "radius", "sid").distinct())
-        tested = self.compared(asking.select(F.col("sid").alias("a"), F.col("star").alias("b")))
+        tested = self.compared(
+            asking.select(F.col("sid").alias("a"), F.col("star").alias("b"), F.expr(f"{limit} + radius").alias("reach"))
+        )
         links = links.unionByName(tested.where(f"both >= {at_least}").select("a", "b"))
         tested = tested.where(f"both < {at_least}").withColumnsRenamed({"a": "sid", "b": "star"}).join(asking, ["sid", "star"])
         tested = tested.where(f"radius > 0 and d <= {limit} + radius + 1e-9").select(
