@@ -134,9 +134,12 @@ def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     place = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000))
     share = {c: int(1_000_000 * min(1.0, SAMPLE_PER_CLASS / n)) for c, n in sizes.items()}
     sample = known.where(place < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select("label", "features")
-    rows = sample.sort("label", "features").collect()
-    by_label = [np.array([r["features"] for r in rows if r["label"] == c]).reshape(-1, len(FEATURES)) for c in (0, 1)]
-    model = Ranking(bradley_terry(by_label[1], by_label[0]).tolist())
+    rows = sample.collect()
+    # In an order of their own: tasks may end in any.
+    worse_rows, better_rows = (
+        np.array(sorted(r["features"] for r in rows if r["label"] == c)).reshape(-1, len(FEATURES)) for c in (0, 1)
+    )
+    model = Ranking(bradley_terry(better_rows, worse_rows).tolist())
     worse = sizes[0] / (sizes[0] + sizes[1])
     # Halfway between the scores on either side of the quantile, so that no document lies on the threshold.
     raw = known.select(model.raw(F.col("features")).alias("raw"))
