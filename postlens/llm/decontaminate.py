@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from postlens.llm.common import spare_name
 
-#: Separators: every ASCII character other than letters and digits.
+#: Separators in a text without A-Z: every ASCII character other than letters and digits.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words and separators of a text as it is, with A-Z.
+RAW_WORD, RAW_GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A benchmark is broadcast up to this many distinct windows and characters in them.
 MAX_WINDOWS, MAX_CHARS = 50_000, 16_000_000
 
@@ -159,8 +160,8 @@ def contamination(
 
 def _without_spans(text: Column, hits: Column) -> Column:
     """The text without its hit words, each with what separates it from the next word."""
-    parts = F.regexp_extract_all(text, F.lit(f"{WORD}|{GAP}"), F.lit(0))
-    first = F.when(text.rlike(f"^{GAP}"), 1).otherwise(0)
+    parts = F.regexp_extract_all(text, F.lit(f"{RAW_WORD}|{RAW_GAP}"), F.lit(0))
+    first = F.when(text.rlike(f"^{RAW_GAP}"), 1).otherwise(0)
 
     def stays(part: Column, i: Column) -> Column:
         word = F.floor((i - first) / 2)

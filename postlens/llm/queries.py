@@ -69,7 +69,24 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return setjoin.similar_groups(table(spark, folder, "documents"), width=4, percent=85)
 
 
-@query("op6_benchmark_decontamination")
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query("op6_benchmark_decontamination", f"""
+with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
+win as (select distinct item_id, w[k:k + 12] as win from (
+  select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as k from b where len(w) > 0)),
+hit as (select doc_id, k, n, item_id from (
+  select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct len(win) as n from win) where len(w) >= n)
+  join win on win = w[k:k + n - 1]),
+covered as (select doc_id, count(distinct p) as n_hit from (
+  select doc_id, unnest(range(k, k + n)) as p from (select distinct doc_id, k, n from hit)) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (
+  select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join covered c on d.doc_id = c.doc_id left join items i on d.doc_id = i.doc_id""")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each document is windows of 13 words of the benchmark."""
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("hits")
