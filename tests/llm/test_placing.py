@@ -166,7 +166,7 @@ def _cosines(rows, k):
     for q, x in good:
         if q % 50 == 0:
             near = [(-float(x @ y) / (np.linalg.norm(x) * np.linalg.norm(y)), i) for i, y in good if i != q and len(y) == len(x)]
-            out += [(q, rank, i, s) for rank, (s, i) in enumerate(sorted(near)[:k], 1)]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(near)[:k], 1)]
     return sorted(out)
 
 
