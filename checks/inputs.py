@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
-from postlens.config import spread, tune
+from postlens.config import tune
 
 AS_OF = 1_706_745_600  # 2024-02-01T00:00:00Z
 SINCE = AS_OF - fixed.SECONDS_PER_MONTH
@@ -131,7 +131,7 @@ class Inputs:
 
     @cached_property
     def posts(self) -> DataFrame:
-        return self.view(POSTS, documents=spread(self.table("documents"), "doc_id"))
+        return self.view(POSTS, documents=self.table("documents"))
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -139,7 +139,7 @@ class Inputs:
 
     @cached_property
     def prompts(self) -> DataFrame:
-        return self.view(PROMPTS, conversations=spread(self.table("conversations"), "conv_id", "turn"))
+        return self.view(PROMPTS, conversations=self.table("conversations"))
 
     @cached_property
     def profiles(self) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import Window
@@ -14,7 +13,7 @@ from checks.term_queries import EXPANSION, token_ctes
 from checks.text_queries import _ENGLISH, TEXT, _quoted
 from postlens import fixed_values as fixed
 from postlens import schemas
-from postlens.config import recovery_point
+from postlens.config import recovery_point, shared_folder
 from postlens.functions import match
 from postlens.functions import text as t
 from postlens.operators import cluster, coverage, discover, evidence, features, select, sentiment, summarise, termjoin, terms
@@ -187,7 +186,7 @@ def e6(c: Inputs):
 # --- discovery ---------------------------------------------------------------------------------------
 
 _SEARCH_PROMPTS = f", prompts(plan_id, prompt, keywords, report_type) as (values {_rows(SEARCH_PROMPTS)})"
-_DEPTH = 200
+_DEPTH = 800
 _FOUND = token_ctes(
     "select plan_id, 1 as src, prompt as text from prompts union all select plan_id, 2, keywords from prompts"
 ) + EXPANSION + f""",
@@ -211,10 +210,10 @@ def f1(c: Inputs):
 
 
 @query("h2_most_common_communities", """
-select community, n from (select community, count(*) as n from posts where upvotes % 3 = 0 group by community)
+select community, n from (select community, count(*) as n from posts group by community)
 order by n desc, community limit 64""")
 def h2(c: Inputs):
-    counts = discover.community_counts(c.posts.where(F.col("upvotes") % 3 == 0))
+    counts = discover.community_counts(c.posts)
     return counts.orderBy(F.desc("n"), "community").limit(discover.MOST_COMMON)
 
 
@@ -237,7 +236,7 @@ chosen as (select plan_id, pos, community from ranked where pos <= 8 union all
 select p.plan_id, coalesce(string_agg(community, '|' order by pos), '') as communities
 from prompts p left join chosen c on p.plan_id = c.plan_id group by p.plan_id""")
 def f2(c: Inputs):
-    found = discover.discover(c.search_prompts, c.posts, c.synonyms, AS_OF, months=1, pages=2)
+    found = discover.discover(c.search_prompts, c.posts, c.synonyms, AS_OF, months=1)
     return found.select("plan_id", F.array_join("communities", "|").alias("communities"))
 
 
@@ -454,13 +453,16 @@ _CHECKS = _SEARCH_PROMPTS + token_ctes(
 ) + EXPANSION + f""",
 asked(plan_id, community) as (values {_rows((p, n) for p, names, *_ in SEARCH_PLANS for n in names)}),
 wanted as (select plan_id, strategy, replace(unnest(string_split(q, ' OR ')), '"', '') as term from searches),
+hits as (
+  select s.plan_id, s.strategy, count(distinct p.id) as items, count(*) over (partition by s.plan_id) as searches
+  from searches s join wanted w on s.plan_id = w.plan_id and s.strategy = w.strategy
+  left join posts p on created_utc > {SINCE} and contains(lower(concat(title, ' ', selftext)), lower(w.term)) group by s.plan_id, s.strategy),
 checks as (
   select a.plan_id, concat('community:', replace(a.community, 'r/', '')) as label, count(p.id) as items
   from asked a left join posts p on a.community = p.community and created_utc > {SINCE} group by all
   union all
-  select s.plan_id, concat('search_query_', s.strategy), count(distinct p.id) from searches s
-  join wanted w on s.plan_id = w.plan_id and s.strategy = w.strategy
-  left join posts p on created_utc > {SINCE} and contains(lower(concat(title, ' ', selftext)), lower(w.term)) group by s.plan_id, s.strategy)"""
+  select plan_id, case when searches = 1 then 'search_query' else concat('search_query_', strategy) end, items from hits h
+  where strategy <= coalesce((select min(strategy) from hits f where f.plan_id = h.plan_id and items > 0), strategy))"""
 
 
 def _checks(c: Inputs):
@@ -555,7 +557,7 @@ def j7(c: Inputs):
 select lang, rank::int as rank, term, round(weight, 6) as weight from ranks where rank <= 10""")
 def g5(c: Inputs):
     langs = c.table("documents").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id"), "lang")
-    found = summarise.top_terms(_texts(c).join(langs, "id"), "lang", STOP, few_groups=True)
+    found = summarise.top_terms(_texts(c).join(langs, "id"), "lang", STOP)
     return found.withColumn("weight", F.round("weight", 6))
 
 
@@ -579,20 +581,24 @@ def j8(c: Inputs):
     return posts.select("id", "cluster")
 
 
-@query("j4_kmeans_clusters")
+# The labels depend on random starts; what SQL can state is that all posts have one, within bounds.
+@query("j4_kmeans_clusters", "select count(*) as points, true as labels_within_bounds from posts")
 def j4(c: Inputs):
     termed = features.with_terms(_texts(c).select("id", "text"), STOP)
-    vectors = recovery_point(features.TfIdf.fit(termed, size=2000).transform(termed).select("id", "features"))
-    model = cluster.fit_kmeans(vectors, 6, n_init=2, max_iter=20)
-    return model.transform(vectors).groupBy("cluster").agg(F.count("*").alias("size"))
+    vectors = recovery_point(features.TfIdf.fit(termed).transform(termed).select("id", "features"))
+    model = cluster.fit_kmeans(vectors.select("features"), 6)
+    return model.transform(vectors).agg(
+        F.count("*").alias("points"), F.every(F.col("cluster").between(0, 5)).alias("labels_within_bounds")
+    )
 
 
-@query("j6_best_k")
+@query("j6_best_k", "select count(*) as points, true as labels_within_bounds, true as k_within_bounds from posts")
 def j6(c: Inputs):
-    posts, k = cluster.clustered(
-        _texts(c).select("id", "text"), 6, 8, STOP, size=2000, n_init=1, max_iter=20
+    posts, k = cluster.clustered(_texts(c).select("id", "text"), stop_words=STOP)
+    return posts.agg(
+        F.count("*").alias("points"), F.every(F.col("cluster").between(0, k - 1)).alias("labels_within_bounds"),
+        F.lit(6 <= k <= 12).alias("k_within_bounds"),
     )
-    return posts.groupBy("cluster").agg(F.count("*").alias("size")).withColumn("k", F.lit(k))
 
 
 @query("f9_cluster_report")
@@ -605,10 +611,8 @@ def f9(c: Inputs):
 # --- streaming ---------------------------------------------------------------------------------------
 
 def _folder(c: Inputs, purpose: str) -> str:
-    """A new folder for what a query writes and reads back: in the shared folder, if the session names one."""
-    shared = c.spark.conf.get("spark.checkpoint.dir", None)
-    name = f"postlens-{purpose}-{uuid4().hex}"
-    return f"{shared.rstrip('/')}/{name}" if shared else f"{tempfile.gettempdir()}/{name}"
+    """A new folder for what a query writes and reads back, in the shared folder."""
+    return f"{shared_folder(c.spark).rstrip('/')}/postlens-{purpose}-{uuid4().hex}"
 
 
 @query("m1_stream_ingest", _PLAIN + """

@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side table is turned into literals or broadcast only up to these bounds.
 MAX_INLINE_ROWS = 20_000
-#: Below this much input per core, a scan cannot keep the cores busy.
-SMALL_SCAN_BYTES_PER_CORE = 64 * 1024 * 1024
 
 _SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -34,34 +31,26 @@ def salt_count(spark: SparkSession) -> int:
     return max(2, min(512, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan (for a file scan, the file size)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash out a table too small for its scan to occupy all cores.
-
-    Such a table is read by a few tasks only, so the text work after it would run on a few cores.
-    Shuffling it is cheap by the same check; larger tables are left as they are, with filters going down to
-    the scan. The observed row count keeps filters above the shuffle here, where the cores are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) >= cores * SMALL_SCAN_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores, *keys).observe(f"spread_{uuid4().hex}", F.count(F.lit(1)).alias("rows"))
-
-
 def small_rows(df: DataFrame, limit: int = MAX_INLINE_ROWS):
     """The rows of a side table if there are at most ``limit``, else None."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only a local session may do without, and gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="postlens-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def recovery_point(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="postlens-checkpoint-"))
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

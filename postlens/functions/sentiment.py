@@ -13,7 +13,7 @@ from postlens.functions.text import words
 
 
 def lexicon_lookup(lexicon: dict[str, float]):
-    """Token → valence as set membership tests, one hash set per distinct valence."""
+    """Token → valence as set membership tests, one hash set per distinct valence, in one flat expression."""
     groups = defaultdict(list)
     for token, valence in lexicon.items():
         groups[float(valence)].append(token)
@@ -21,9 +21,9 @@ def lexicon_lookup(lexicon: dict[str, float]):
     def lookup(token: Column) -> Column:
         if not groups:
             return F.lit(None).cast("double")
-        value = F.lit(None).cast("double")
+        value = F
         for valence, members in groups.items():
-            value = F.when(token.isin(*members), valence).otherwise(value)
+            value = value.when(token.isin(*members), valence)
         return F.when(token.isin(*lexicon), value)
 
     return lookup

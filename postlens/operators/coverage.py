@@ -22,16 +22,26 @@ def community_checks(posts: DataFrame, expected: DataFrame, since: int) -> DataF
 
 
 def search_checks(posts: DataFrame, strategies: DataFrame, since: int) -> DataFrame:
-    """The same for each search ``(plan_id, strategy, term)``."""
+    """The same for the searches ``(plan_id, strategy, term)`` of each plan, up to the first that finds items.
+
+    A plan with one strategy has the label without a number. Each search is answered, so each is ok.
+    """
     recent = in_window(posts, after=since).withColumn("text", match_text(F.col("title"), F.col("selftext")))
-    searches = strategies.withColumn("search", F.concat_ws(":", "plan_id", "strategy"))
-    items = group_posts(recent, searches, "search", ["id"]).groupBy("search").agg(F.count("*").alias("items"))
-    wanted = searches.select("plan_id", "strategy", "search").distinct()
-    return wanted.join(items, "search", "left").select(
-        "plan_id",
-        F.format_string("search_query_%d", F.col("strategy") + 1).alias("label"),
-        F.coalesce("items", F.lit(0)).alias("items"),
-        F.col("items").isNotNull().alias("ok"),
+    search = ["plan_id", "strategy"]
+    items = group_posts(recent, strategies, search, ["id"]).groupBy(*search).agg(F.count("*").alias("items"))
+    wanted = strategies.select(*search).distinct()
+    plans = wanted.groupBy("plan_id").agg(F.count("*").alias("searches"))
+    first = items.groupBy("plan_id").agg(F.min("strategy").alias("first"))
+    return (
+        wanted.join(items, search, "left").join(plans, "plan_id").join(first, "plan_id", "left")
+        .where("first is null or strategy <= first")
+        .select(
+            "plan_id",
+            F.when(F.col("searches") == 1, "search_query")
+            .otherwise(F.format_string("search_query_%d", F.col("strategy") + 1)).alias("label"),
+            F.coalesce("items", F.lit(0)).alias("items"),
+            F.col("items").isNotNull().alias("ok"),
+        )
     )
 
 

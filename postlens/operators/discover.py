@@ -15,8 +15,6 @@ from postlens.sources.posts import in_window
 
 MOST_COMMON = 64
 FALLBACK_CAP = 8
-#: More than the number of strategies of one prompt.
-STRATEGIES = 4
 
 
 def community_counts(posts: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -26,18 +24,12 @@ def community_counts(posts: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def strategy_counts(posts: DataFrame, strategies: DataFrame, since: int, depth: int) -> DataFrame:
     """``(plan_id, community, n)`` over the newest ``depth`` matches of the first strategy that finds any."""
-    # One key per search, so that matching needs a single group column.
-    keyed = strategies.withColumn("search", F.col("plan_id") * STRATEGIES + F.col("strategy"))
+    search = ["plan_id", "strategy"]
     recent = in_window(posts, after=since).withColumn("text", match_text(F.col("title"), F.col("selftext")))
-    found = group_posts(recent, keyed, "search", ["id", "community", "created_utc"])
-    newest = top_n(found, ["search"], [F.desc("created_utc"), F.asc("id")], depth, salt_on="id")
-    counts = community_counts(newest, ["search"])
-    per_search = counts.select(
-        F.expr(f"search div {STRATEGIES}").alias("plan_id"),
-        (F.col("search") % STRATEGIES).alias("strategy"),
-        "community",
-        "n",
-    )
+    found = group_posts(recent, strategies, search, ["id", "community", "created_utc"])
+    newest = top_n(found, search, [F.desc("created_utc"), F.asc("id")], depth, salt_on="id")
+    # Posts without a community lead nowhere, but take part in the search.
+    per_search = community_counts(newest.where("community <> 'r/'"), search)
     first = per_search.groupBy("plan_id").agg(F.min("strategy").alias("strategy"))
     return per_search.join(first, ["plan_id", "strategy"]).select("plan_id", "community", "n")
 

@@ -17,6 +17,8 @@ from postlens.sources.posts import in_window, to_posts
 
 COMMUNITY_SOURCE = "community_search"
 KEYWORD_SOURCE = "keyword_search"
+#: What a plan asks for where it does not say.
+DEFAULT_MONTHS, DEFAULT_MIN_UPVOTES, DEFAULT_LIMIT = 12, 20, 2000
 
 
 def newest() -> list[Column]:
@@ -69,9 +71,9 @@ class Searches:
             or_empty(F.col("communities")).alias("communities"),
             dedupe(F.col("filters.keywords")).alias("keywords"),
             dedupe(F.col("filters.exclude")).alias("exclude"),
-            window_start(F.lit(as_of), F.col("params.months")).alias("since"),
-            F.greatest(F.lit(0), F.col("params.min_upvotes")).alias("min_upvotes"),
-            F.col("params.limit").alias("limit"),
+            window_start(F.lit(as_of), F.coalesce(F.col("params.months"), F.lit(DEFAULT_MONTHS))).alias("since"),
+            F.greatest(F.lit(0), F.coalesce(F.col("params.min_upvotes"), F.lit(DEFAULT_MIN_UPVOTES))).alias("min_upvotes"),
+            F.coalesce(F.col("params.limit"), F.lit(DEFAULT_LIMIT)).alias("limit"),
         )
         widest = clean.agg(F.min("since").alias("since"), F.max("limit").alias("limit")).first()
         return Searches(clean, widest.since or as_of, widest.limit or 0)

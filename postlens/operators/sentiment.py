@@ -19,9 +19,18 @@ from postlens import fixed_values as fixed
 
 def with_sentiment(posts: DataFrame, lexicon: DataFrame, rules: bool = True, text: str = "text",
                    max_inline: int = MAX_INLINE_ROWS) -> DataFrame:
-    """Add ``sentiment`` in [-1, 1]; ``rules=False`` is the plain sum of valences. Ids must be unique."""
-    rows = small_rows(lexicon.select("token", "valence"), max_inline)
+    """Add ``sentiment`` in [-1, 1]; ``rules=False`` is the plain sum of valences.
+
+    Of a token that the lexicon lists several times, the largest valence counts; null tokens and valences do
+    not. Posts may have null or repeated ids. A stream takes a lexicon of up to ``max_inline`` tokens.
+    """
+    lexicon = lexicon.where("token is not null and valence is not null").groupBy("token").agg(
+        F.max(F.col("valence").cast("double")).alias("valence")
+    )
+    rows = small_rows(lexicon, max_inline)
     if rows is None:
+        if posts.isStreaming:
+            raise ValueError(f"a stream takes a lexicon of at most {max_inline} tokens")
         return _joined(posts, lexicon, rules, text)
     known = {r.token: r.valence for r in rows}
     score = s.rule_sentiment if rules else s.lexicon_sentiment
@@ -29,24 +38,27 @@ def with_sentiment(posts: DataFrame, lexicon: DataFrame, rules: bool = True, tex
 
 
 def _joined(posts: DataFrame, lexicon: DataFrame, rules: bool, text: str) -> DataFrame:
-    spoken = posts.select("id", F.posexplode(words(F.col(text))).alias("pos", "word"))
+    # Posts of one id and text have one score: repeated rows are counted once and joined back.
+    key = [F.col("id"), F.xxhash64(text).alias("_text")]
+    spoken = posts.select(*key, F.posexplode(words(F.col(text))).alias("pos", "word"))
     valued = spoken.join(
         lexicon.select(F.col("token").alias("low"), "valence"), F.lower("word") == F.col("low"), "left"
     )
-    if not rules:
-        totals = valued.groupBy("id").agg(F.sum("valence").alias("total"))
-        scored = posts.join(totals, "id", "left")
-        return scored.withColumn(
-            "sentiment", s.compound(F.coalesce(F.col("total"), F.lit(0.0)))
-        ).drop("total")
-    sentences = valued.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "word", "valence"))).alias("spoken")
-    )
-    spoken = s.spoken_words(F.transform("spoken", lambda w: w["word"]), F.transform("spoken", lambda w: w["valence"]))
-    scored = posts.join(sentences, "id", "left").withColumn(
-        "spoken", F.coalesce("spoken", F.array().cast("array<struct<pos:int,word:string,valence:double>>"))
+    sentences = valued.groupBy("id", "_text").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "word", "valence"))).alias("_spoken")
+    ).withColumnRenamed("id", "_id")
+    same = posts["id"].eqNullSafe(sentences["_id"]) & (F.xxhash64(posts[text]) == sentences["_text"])
+    scored = posts.join(sentences, same, "left").withColumn(
+        "_spoken", F.coalesce("_spoken", F.array().cast("array<struct<pos:int,word:string,valence:double>>"))
     )
-    return scored.withColumn("sentiment", s.rule_compound(F.col(text), spoken)).drop("spoken")
+    if rules:
+        spoken = s.spoken_words(F.transform("_spoken", lambda w: w["word"]), F.transform("_spoken", lambda w: w["valence"]))
+        value = s.rule_compound(F.col(text), spoken)
+    else:
+        total = F.aggregate("_spoken", F.lit(0.0), lambda acc, w: acc + F.coalesce(w["valence"], F.lit(0.0)))
+        value = s.compound(total)
+    value = F.when(F.col(text).isNotNull(), value)
+    return scored.withColumn("sentiment", value).drop("_spoken", "_id", "_text")
 
 
 def prepared(posts: DataFrame) -> DataFrame:

@@ -28,35 +28,27 @@ def top_posts(posts: DataFrame, by: str = "cluster", n: int = TOP_POSTS) -> Data
     return top_n(narrow, [by], [F.desc("pain_score"), F.asc("id")], n, salt_on="id")
 
 
-def gap_examples(posts: DataFrame, by: str = "cluster", read: int = POSTS_READ_FOR_GAPS, n: int = GAPS,
-                 few_groups: bool = False) -> DataFrame:
+def gap_examples(posts: DataFrame, by: str = "cluster", read: int = POSTS_READ_FOR_GAPS, n: int = GAPS) -> DataFrame:
     """``(group, pos, gap)``: the first distinct complaint phrases among the newest posts of each group.
 
-    Posts are ranked without their text; the text of the ranked ones is fetched by id. With ``few_groups``
-    these are at most their number times ``read`` rows and are broadcast, so the text is not shuffled.
+    Posts are ranked without their text; the text of the ranked ones is fetched by id.
     """
     newest = top_n(posts.select(by, "id", "created_utc"), [by], [F.desc("created_utc"), F.asc("id")], read, "id")
     newest = newest.select(by, "id", "rank")
-    texts = posts.select("id", "text").join(F.broadcast(newest) if few_groups else newest, "id")
+    texts = posts.select("id", "text").join(newest, "id")
     phrases = texts.select(by, "rank", F.posexplode(complaints(F.col("text"))).alias("pos", "gap"))
     first = phrases.groupBy(by, "gap").agg(F.min(F.struct("rank", "pos")).alias("at"))
     return top_n(first, [by], [F.asc("at.rank"), F.asc("at.pos")], n).select(by, F.col("rank").alias("pos"), "gap")
 
 
 def top_terms(posts: DataFrame, by: str = "cluster", stop_words: Sequence[str] | None = None,
-              vocabulary: int = 2000, n: int = TOP_TERMS, few_groups: bool = False) -> DataFrame:
+              vocabulary: int = 2000, n: int = TOP_TERMS) -> DataFrame:
     """``(group, rank, term, weight)``: highest mean TF-IDF, weighted inside each group, all groups at once.
 
-    Words are counted per document once, partitioned by id. With ``few_groups`` (clusters, whose number is an
-    argument) the kept vocabulary is at most that number times ``vocabulary`` rows and is broadcast, so the
-    word counts are not shuffled again before the final sum. Weights are rounded before ranking, so ties
+    Words are counted inside the row, so texts are not shuffled. Weights are rounded before ranking, so ties
     break by name.
     """
-    words = (
-        posts.select(by, "id", "text")
-        .repartition("id")
-        .select(by, "id", F.explode(unigrams(F.col("text"), stop_words)).alias("term"))
-    )
+    words = posts.select(by, "id", F.explode(unigrams(F.col("text"), stop_words)).alias("term"))
     counts = words.groupBy("id", by, "term").agg(F.count("*").alias("tf"))
     per_term = counts.groupBy(by, "term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"))
     kept = top_n(per_term, [by], [F.desc("total"), F.asc("term")], vocabulary, salt_on="term", rank="_rank")
@@ -64,7 +56,7 @@ def top_terms(posts: DataFrame, by: str = "cluster", stop_words: Sequence[str] |
     idf = kept.join(group_sizes, by).select(
         by, "term", "size", (F.log((F.col("size") + 1.0) / (F.col("docs") + 1.0)) + 1.0).alias("idf")
     )
-    weights = counts.join(F.broadcast(idf) if few_groups else idf, [by, "term"]).select(
+    weights = counts.join(idf, [by, "term"]).select(
         "id", by, "term", "size", (F.col("tf") * F.col("idf")).alias("w")
     )
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
@@ -82,11 +74,10 @@ def _ordered(rows: DataFrame, by: str, pos: str, value: Column, name: str) -> Da
 
 def cluster_summaries(posts: DataFrame, by: str = "cluster", stop_words: Sequence[str] | None = None) -> DataFrame:
     """One row per group: size, average pain, top terms, top posts, complaint phrases."""
-    few = by == "cluster"
-    terms = _ordered(top_terms(posts, by, stop_words, few_groups=few), by, "rank", F.col("term"), "top_terms")
+    terms = _ordered(top_terms(posts, by, stop_words), by, "rank", F.col("term"), "top_terms")
     sample = F.struct("title", "url", "upvotes", "num_comments", "pain_score")
     samples = _ordered(top_posts(posts, by), by, "rank", sample, "sample_posts")
-    gaps = _ordered(gap_examples(posts, by, few_groups=few), by, "pos", F.col("gap"), "gap_examples")
+    gaps = _ordered(gap_examples(posts, by), by, "pos", F.col("gap"), "gap_examples")
     out = sizes(posts, by)
     for part in (terms, samples, gaps):
         out = out.join(part, by, "left")

@@ -35,7 +35,8 @@ def with_defaults(df: DataFrame, defaults: dict = schemas.REQUIRED_DEFAULTS) ->
     columns = {}
     for name, default in defaults.items():
         known = name in df.columns
-        columns[name] = F.coalesce(F.col(name), F.lit(default)) if known else F.lit(default)
+        # The default takes the column's type: text that is no number must not be read as one here.
+        columns[name] = F.coalesce(F.col(name), F.lit(default).cast(df.schema[name].dataType)) if known else F.lit(default)
     return df.withColumns(columns)
 
 

@@ -15,6 +15,7 @@ from postlens import schemas
 from postlens.functions import match
 from postlens.functions.text import match_text
 from postlens.operators.sentiment import scored
+from postlens.operators.topn import first_per_key
 from postlens.sources.posts import min_score, to_posts
 
 STREAM_SOURCE = "stream"
@@ -26,14 +27,17 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 def ingest(raw: DataFrame, lexicon: DataFrame, min_upvotes: int = 0, keywords=(), exclude=(), rules: bool = True,
            delay: str = "2 days") -> DataFrame:
-    """Raw items to scored posts; the same on a batch and on a stream."""
+    """Raw items to scored posts. The first copy of an id counts, also if the filters then drop it.
+
+    On a stream the first copy is the one that arrives first; on a batch, the newest.
+    """
     posts = min_score(to_posts(raw, STREAM_SOURCE), min_upvotes)
-    text = match_text(F.col("title"), F.col("selftext"))
-    kept = posts.where(match.exclude_filter(text, exclude)).where(match.include_filter(text, keywords))
     if raw.isStreaming:
-        kept = kept.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["id"])
+        once = posts.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["id"])
     else:
-        kept = kept.dropDuplicates(["id"])
+        once = first_per_key(posts, ["id"], [-F.col("created_utc"), F.col("selftext"), F.col("title")])
+    text = match_text(F.col("title"), F.col("selftext"))
+    kept = once.where(match.exclude_filter(text, exclude)).where(match.include_filter(text, keywords))
     return scored(kept, lexicon, rules)
 
 

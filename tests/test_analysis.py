@@ -84,11 +84,24 @@ def test_tfidf_matches_its_formula(spark):
     assert found == pytest.approx(expected)
 
 
-def test_top_terms_do_not_depend_on_the_join(spark):
+def test_top_terms_do_not_depend_on_the_name_of_the_group(spark):
     posts = spark.createDataFrame(_documents(), "id string, text string").withColumn("cluster", F.length("text") % 2)
-    few = summarise.top_terms(posts, stop_words=["the"], few_groups=True).collect()
-    many = summarise.top_terms(posts, stop_words=["the"]).collect()
-    assert sorted(few) == sorted(many) and len(few) == 20
+    by_cluster = summarise.top_terms(posts, stop_words=["the"]).collect()
+    by_other = summarise.top_terms(posts.withColumnRenamed("cluster", "topic"), "topic", ["the"]).collect()
+    assert sorted(map(tuple, by_cluster)) == sorted(map(tuple, by_other)) and len(by_cluster) == 20
+
+
+def test_lexicons_of_any_kind_score_the_same_inline_and_joined(spark):
+    rows = [(f"w{i}", (i - 1000) / 500) for i in range(2000)] + [("w7", 3.5), ("w7", -3.5), (None, 1.0), ("w8", None)]
+    lexicon = spark.createDataFrame(rows, "token string, valence double")
+    posts = spark.createDataFrame(
+        [(None, "w1 and w7"), (None, "w1 and w7"), (None, "w9 w1999!"), ("a", "not W7"), ("a", "w8 but w3"), ("b", ""), ("c", None)],
+        "id string, text string",
+    )
+    for rules in (True, False):
+        inline = sentiment.with_sentiment(posts, lexicon, rules).collect()
+        joined = sentiment.with_sentiment(posts, lexicon, rules, max_inline=1).select("id", "text", "sentiment").collect()
+        assert sorted(map(repr, inline)) == sorted(map(repr, joined)) and len(inline) == 7
 
 
 def _silhouette(points, labels):
@@ -144,11 +157,10 @@ def test_gap_examples(spark):
     rows = [(f"p{i}", 0, 1000 - i, f"i can't do thing{i % 12}. i wish there was x{i}") for i in range(30)]
     rows.append(("q", 1, 5, "fine"))
     posts = spark.createDataFrame(rows, "id string, cluster int, created_utc long, text string")
-    for few in (True, False):
-        found = summarise.gap_examples(posts, read=4, n=3, few_groups=few).orderBy("pos").collect()
-        assert [(r.pos, r.gap) for r in found] == [
-            (1, "i wish there was x0"), (2, "i can't do thing0"), (3, "i wish there was x1")
-        ]
+    found = summarise.gap_examples(posts, read=4, n=3).orderBy("pos").collect()
+    assert [(r.pos, r.gap) for r in found] == [
+        (1, "i wish there was x0"), (2, "i can't do thing0"), (3, "i wish there was x1")
+    ]
 
 
 def _posts(spark, n):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
-from postlens.operators import discover, evidence, select, termjoin, terms
+from postlens.operators import coverage, discover, evidence, select, termjoin, terms
 from postlens.operators.topn import first_per_key, top_n
 from postlens.plans import planning
 
@@ -49,11 +49,41 @@ def test_all_ways_of_matching_agree(spark):
     terms_df = spark.createDataFrame(wanted, "grp long, term string")
     fold = lambda s: s.lower().replace("ß", "ss")
     expected = {(g, i) for g, term in wanted for i, text in posts if term.strip() and fold(term.strip()) in fold(text)}
-    for options in ({}, {"max_groups": 0}, {"max_literals": 0}):
+    for options in _WAYS:
         found = termjoin.group_posts(posts_df, terms_df, "grp", ["id"], **options).collect()
         assert {(r.grp, r.id) for r in found} == expected and len(found) == len(expected)
 
 
+_WAYS = ({}, {"max_groups": 0}, {"max_literals": 0}, {"max_literals": 0, "max_grams": 0})
+
+
+def test_every_way_of_matching_keeps_each_row(spark):
+    posts = [("a", "red blue"), ("a", "red blue"), (None, "red"), (None, "red"), (None, "blue red"), ("b", None), ("c", "green")]
+    wanted = [(-1, 2, "red"), (-1, 2, "blue"), (2**62, 0, "red"), (-1, 1, "green"), (5, 1, "nothing")]
+    posts_df = spark.createDataFrame(posts, "id string, text string")
+    terms_df = spark.createDataFrame(wanted, "plan_id long, strategy int, term string")
+    expected = sorted(
+        [(-1, 2, i) for i, t in posts[:5]] + [(2**62, 0, i) for i, t in posts[:5]] + [(-1, 1, "c")], key=repr
+    )
+    for options in _WAYS:
+        found = termjoin.group_posts(posts_df, terms_df, ["plan_id", "strategy"], ["id"], **options).collect()
+        assert sorted(map(tuple, found), key=repr) == expected
+
+
+def test_searches_stop_at_the_first_that_finds(spark):
+    raw = [("p1", "r/a", 50, "red", ""), ("p2", "r/", 60, "blue red", "")]
+    posts = spark.createDataFrame(raw, "id string, community string, created_utc long, title string, selftext string")
+    strategies = spark.createDataFrame(
+        [(-1, 0, "none"), (-1, 1, "red"), (-1, 2, "zzz"), (7, 0, "zzz")], "plan_id long, strategy int, term string"
+    )
+    checks = coverage.search_checks(posts, strategies, 0).collect()
+    assert sorted(map(tuple, checks)) == [
+        (-1, "search_query_1", 0, False), (-1, "search_query_2", 2, True), (7, "search_query", 0, False)
+    ]
+    counts = discover.strategy_counts(posts, strategies, 0, 10).collect()
+    assert [tuple(r) for r in counts] == [(-1, "r/a", 1)]
+
+
 def _prompts(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "plan_id long, prompt string, keywords string")
 

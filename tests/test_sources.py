@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
 from postlens import schemas
+from postlens.operators.sentiment import prepared
 from postlens.sources import readers, writers
 from postlens.sources.posts import to_posts
 from postlens.streaming import ingest
@@ -74,6 +75,25 @@ def test_missing_columns_and_text(spark):
     assert readers.empty_posts(spark).schema == schemas.ANALYSED_POST
 
 
+def test_numbers_in_text_do_not_fail(spark):
+    rows = [("a", "12.7", "x"), ("b", None, None), ("c", "3", "5")]
+    posts = spark.createDataFrame(
+        [(i, "a long enough title", "and a body to go with it", u, n) for i, u, n in rows],
+        "id string, title string, selftext string, upvotes string, num_comments string",
+    )
+    found = {r.id: (r.upvotes, r.num_comments) for r in prepared(posts).collect()}
+    assert found == {"a": (12, 0), "b": (0, 0), "c": (3, 5)}
+
+
+def test_the_first_copy_counts_even_if_excluded(spark):
+    raw = spark.createDataFrame(
+        [("a", "s", 20.0, "a title of some length", "a bad body of text", None, 50, 1),
+         ("a", "s", 10.0, "a title of some length", "a good body of text", None, 50, 1)],
+        schemas.RAW_POST,
+    )
+    assert ingest.ingest(raw, fixed.lexicon_table(spark), exclude=["bad"]).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     raw = spark.createDataFrame(_raw_rows(90), schemas.RAW_POST).cache()
     lexicon = fixed.lexicon_table(spark)
