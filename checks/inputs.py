@@ -194,8 +194,13 @@ class Inputs:
 
     @cached_property
     def evidence_plans(self) -> DataFrame:
+        return self.evidence_plans_of(self.search_prompts)
+
+    @staticmethod
+    def evidence_plans_of(prompts: DataFrame) -> DataFrame:
+        """A plan to gather evidence with, for each prompt."""
         empty = F.array().cast("array<string>")
-        return self.search_prompts.select(
+        return prompts.select(
             "plan_id", "prompt", F.array(F.lit("r/src1"), F.lit("r/src2")).alias("communities"),
             F.struct(F.lit(1).alias("months"), F.lit(20).alias("min_upvotes"), F.lit(100).alias("limit")).alias("params"),
             F.struct(

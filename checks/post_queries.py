@@ -209,6 +209,22 @@ def f1(c: Inputs):
     return discover.strategy_counts(c.posts, terms.strategy_terms(lists), SINCE, _DEPTH)
 
 
+def _folded(sql: str) -> str:
+    """SQL that matches sharp s as two letters, as the library does; the prompts of the table have such words."""
+    sql = sql.replace("contains(lower(concat(title, ' ', selftext)), lower(term))",
+                      "contains(replace(lower(concat(title, ' ', selftext)), 'ß', 'ss'), replace(lower(term), 'ß', 'ss'))")
+    sql = sql.replace("contains(lower(concat(title, ' ', selftext)), lower(w.term))",
+                      "contains(replace(lower(concat(title, ' ', selftext)), 'ß', 'ss'), replace(lower(w.term), 'ß', 'ss'))")
+    return sql.replace("contains(lower(text), f.term)", "contains(replace(lower(text), 'ß', 'ss'), replace(f.term, 'ß', 'ss'))")
+
+
+@query("f1_community_counts_all_prompts", _folded(_FOUND) + " select plan_id, community, n from counts", ("posts", "prompts"))
+def f1_all(c: Inputs):
+    """The same for every prompt of the table: too many terms and prompts to be literals."""
+    lists = terms.prompt_terms(c.prompts, c.synonyms)
+    return discover.strategy_counts(c.posts, terms.strategy_terms(lists), SINCE, _DEPTH)
+
+
 @query("h2_most_common_communities", """
 select community, n from (select community, count(*) as n from posts group by community)
 order by n desc, community limit 64""")
@@ -370,7 +386,7 @@ def g4(c: Inputs):
 
 # --- evidence ----------------------------------------------------------------------------------------
 
-_EVIDENCE = _PLAIN + _SEARCH_PROMPTS + token_ctes("""
+_MATCHING = token_ctes("""
   select plan_id, 1 as src, prompt as text from prompts
   union all select plan_id, 2, replace(keywords, '"', '') from prompts""") + EXPANSION + """,
 focus as (select plan_id, lower(term) as term from english where pos <= 32),
@@ -378,6 +394,7 @@ matched as (select plan_id, id, title, url, pain_score from prompts p, pained x
   where exists (select 1 from focus f where f.plan_id = p.plan_id and contains(lower(text), f.term))),
 counted as (select p.plan_id, count(m.id) as matched, (select count(*) from pained) as total
   from prompts p left join matched m on p.plan_id = m.plan_id group by p.plan_id)"""
+_EVIDENCE = _PLAIN + _SEARCH_PROMPTS + _MATCHING
 
 
 def _matches(c: Inputs):
@@ -394,6 +411,13 @@ def f5(c: Inputs):
     return evidence.counted(_matches(c), _pained(c), c.evidence_plans)
 
 
+@query("f5_matched_and_total_all_prompts", _PLAIN + _folded(_MATCHING) + " select plan_id, matched, total from counted",
+       ("posts", "prompts"))
+def f5_all(c: Inputs):
+    plans = c.evidence_plans_of(c.prompts)
+    return evidence.counted(evidence.matches(_pained(c), terms.focus_terms(plans, c.synonyms)), _pained(c), plans)
+
+
 _LINES = """,
 sampled as (select plan_id, id, title, url, pain_score from matched union all
   select plan_id, id, title, url, pain_score from counted, pained where matched = 0),
@@ -448,7 +472,7 @@ def f4_section(c: Inputs):
 
 # --- coverage ----------------------------------------------------------------------------------------
 
-_CHECKS = _SEARCH_PROMPTS + token_ctes(
+_SEARCHES = token_ctes(
     "select plan_id, 1 as src, prompt as text from prompts union all select plan_id, 2, keywords from prompts"
 ) + EXPANSION + f""",
 asked(plan_id, community) as (values {_rows((p, n) for p, names, *_ in SEARCH_PLANS for n in names)}),
@@ -464,10 +488,12 @@ checks as (
   select plan_id, case when searches = 1 then 'search_query' else concat('search_query_', strategy) end, items from hits h
   where strategy <= coalesce((select min(strategy) from hits f where f.plan_id = h.plan_id and items > 0), strategy))"""
 
+_CHECKS = _SEARCH_PROMPTS + _SEARCHES
 
-def _checks(c: Inputs):
+
+def _checks(c: Inputs, prompts=None):
     expected = c.search_plans.select("plan_id", F.explode("communities").alias("community"))
-    lists = terms.prompt_terms(c.search_prompts, c.synonyms)
+    lists = terms.prompt_terms(prompts or c.search_prompts, c.synonyms)
     searches = coverage.search_checks(c.posts, terms.strategy_terms(lists), SINCE)
     return coverage.community_checks(c.posts, expected, SINCE).unionByName(searches)
 
@@ -477,6 +503,12 @@ def f8(c: Inputs):
     return _checks(c)
 
 
+@query("f8_coverage_checks_all_prompts", _folded(_SEARCHES) + " select plan_id, label, items, items > 0 as ok from checks",
+       ("posts", "prompts"))
+def f8_all(c: Inputs):
+    return _checks(c, c.prompts)
+
+
 @query("f8_coverage_status", _CHECKS + """
 select plan_id, count(*) as checks, count(*) filter (items = 0) as failed,
   case when bool_and(items > 0) then 'healthy' else 'degraded' end as status from checks group by plan_id""")
