@@ -420,7 +420,7 @@ def l1(c: Inputs):
 select plan_id, case when conv % 3 = 0 then concat('r/Prop', conv, '|r/extra') else communities end as communities,
   case when conv % 3 = 0 then 'trend' else report_type end as report_type,
   case when conv % 3 = 0 then cast(6 as int) else cast(12 as int) end as months,
-  case when conv % 3 = 0 then 'proposed' else 'heuristic' end as rationale from heur""", ("prompts",))
+  case when conv % 3 = 0 then 'llm' else 'heuristic' end as rationale from heur""", ("prompts",))
 def l3(c: Inputs):
     conv = F.expr("plan_id div 100")
     proposals = c.prompts.where(conv % 3 != 2).select(

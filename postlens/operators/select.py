@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import match
-from postlens.functions.lists import dedupe, or_empty
+from postlens.functions.lists import cap, dedupe, json_list, or_empty
 from postlens.functions.text import match_text, window_start
 from postlens.operators.termjoin import group_posts
-from postlens.operators.terms import selection_terms
+from postlens.operators.terms import prompt_terms, selection_terms
 from postlens.operators.topn import first_per_key, top_n
 from postlens.sources.posts import in_window, to_posts
 
 COMMUNITY_SOURCE = "community_search"
 KEYWORD_SOURCE = "keyword_search"
+#: Terms a keyword filter uses at most.
+FILTER_TERMS = 24
 #: What a plan asks for where it does not say.
 DEFAULT_MONTHS, DEFAULT_MIN_UPVOTES, DEFAULT_LIMIT = 12, 20, 2000
 
@@ -94,7 +96,7 @@ def community_pass(raw: DataFrame, searches: Searches) -> DataFrame:
     asked = searches.plans.select(
         "plan_id", "since", "min_upvotes", "limit", F.posexplode("communities").alias("community_pos", "asked")
     ).withColumn("subreddit", F.replace("asked", F.lit("r/"), F.lit("")))
-    found = in_window(raw.select(*_RAW), after=searches.since).join(asked.drop("asked"), "subreddit")
+    found = in_window(raw, after=searches.since).select(*_RAW).join(asked.drop("asked"), "subreddit")
     kept = _within_limit(found, ["plan_id", "community_pos"], searches.limit)
     return to_posts(kept.withColumn("pass_no", F.lit(1)), COMMUNITY_SOURCE)
 
@@ -103,7 +105,7 @@ def keyword_pass(raw: DataFrame, searches: Searches, synonyms: DataFrame) -> Dat
     """Posts that contain a search term of the plan; a plan without keywords searches for nothing."""
     listed = selection_terms(searches.plans.select("plan_id", "keywords"), synonyms)
     terms = listed.select("plan_id", F.explode(F.array_distinct("terms")).alias("term"))
-    items = in_window(raw.select(*_RAW), after=searches.since).withColumn(
+    items = in_window(raw, after=searches.since).select(*_RAW).withColumn(
         "text", match_text(F.col("title"), F.col("selftext"))
     )
     found = group_posts(items, terms, "plan_id", _RAW).join(
@@ -152,6 +154,24 @@ def keyword_filter(posts: DataFrame, keywords: list[str], exclude: list[str] = (
     return posts.where(match.exclude_filter(text, exclude)).where(match.include_filter(text, keywords, mode))
 
 
+def keyword_filter_step(posts: DataFrame, keywords: str, synonyms: DataFrame, keywords_json: str = "[]",
+                        exclude_json: str = "[]", mode: str = "any") -> DataFrame:
+    """The filter as a user asks for it: keywords as text and as a JSON list, expanded, at most 24 of them.
+
+    Without keywords all posts pass, excluded ones too; JSON that is no list counts as an empty one.
+    """
+    spark = posts.sparkSession
+    asked = spark.range(1).select(
+        F.lit(0).cast("long").alias("plan_id"), F.lit("").alias("prompt"),
+        F.array_join(F.concat(F.array(F.lit(keywords)), json_list(F.lit(keywords_json))), " ").alias("keywords"),
+        json_list(F.lit(exclude_json)).alias("exclude"),
+    )
+    row = prompt_terms(asked, synonyms).join(asked.select("plan_id", "exclude"), "plan_id").select(
+        cap(F.col("english"), FILTER_TERMS).alias("terms"), "exclude"
+    ).first()
+    return keyword_filter(posts, row["terms"], row["exclude"], mode) if row["terms"] else posts
+
+
 def funnel(passes: DataFrame, stages: DataFrame) -> DataFrame:
     """Rows per plan at each step, in two single-pass aggregations."""
     collected = passes.groupBy("plan_id").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
+from postlens import schemas
 from postlens.functions import text as t
 from postlens.functions.lists import cap, dedupe, empty_texts, first_of_each, or_empty
 
@@ -87,14 +88,20 @@ def heuristic_plans(prompts: DataFrame, curated: DataFrame, max_communities: int
     )
 
 
+#: Parts that only a proposal has; all of them stay.
+_PROPOSED_PARTS = ["filters", "keywords", "keyword_plan", "topic_themes", "warnings", "validation_hints"]
+
+
 def assemble(heuristics: DataFrame, proposals: DataFrame, max_communities: int = MAX_COMMUNITIES) -> DataFrame:
     """The proposed plan where it names communities, else the heuristic one; ``rationale`` says which.
 
-    ``proposals`` is ``(plan_id, communities, params, report_type)``, made by any outside planner.
+    ``proposals`` is ``(plan_id, communities, params, report_type)``, made by any outside planner, with as many of the
+    other parts of a plan as it has; these are kept, and null in a heuristic plan.
     """
+    parts = [c for c in _PROPOSED_PARTS if c in proposals.columns]
     other = proposals.select(
         "plan_id", F.col("communities").alias("p_communities"), F.col("params").alias("p_params"),
-        F.col("report_type").alias("p_type"),
+        F.col("report_type").alias("p_type"), *[F.col(c).alias(f"p_{c}") for c in parts],
     )
     proposed = F.coalesce(F.size("p_communities") > 0, F.lit(False))
 
@@ -106,8 +113,48 @@ def assemble(heuristics: DataFrame, proposals: DataFrame, max_communities: int =
         cap(community_list(choose("p_communities", "communities")), max_communities).alias("communities"),
         choose("p_params", "params").alias("params"),
         choose("p_type", "report_type").alias("report_type"),
-        F.when(proposed, "proposed").otherwise("heuristic").alias("rationale"),
+        F.when(proposed, "llm").otherwise("heuristic").alias("rationale"),
+        *[F.when(proposed, F.col(f"p_{c}")).alias(c) for c in parts],
+    )
+
+
+def complete(plans: DataFrame, user_keywords: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Rows of ``schemas.PLAN``: assembled plans with the user's keywords ``(plan_id, keywords)`` and their seeds.
+
+    The user's keywords replace the plan's in its filters; without any, the plan has no filters. Themes, warnings and
+    hints that a plan lacks come from its seed, whose entries are kept.
+    """
+    plans = plans.withColumns(
+        {c: F.lit(None).cast(schemas.PLAN[c].dataType) for c in _PROPOSED_PARTS if c not in plans.columns}
     )
+    asked = user_keywords.select("plan_id", dedupe(F.col("keywords")).alias("u_keywords"))
+    seeded = seeds.select(
+        "plan_id", F.col("subreddits").alias("seed"), F.col("topic_themes").alias("s_themes"), F.col("warnings").alias("s_warnings"),
+        F.col("validation_hints").alias("s_hints"),
+    )
+    filters = F.struct(
+        F.col("u_keywords").alias("keywords"),
+        *[F.col(f"filters.{f.name}").alias(f.name) for f in schemas.FILTERS if f.name != "keywords"],
+    )
+    return plans.join(asked, "plan_id", "left").join(seeded, "plan_id", "left").select(
+        "plan_id", "prompt", "communities", "params", F.when(F.size(or_empty(F.col("u_keywords"))) > 0, filters).alias("filters"),
+        "report_type", "rationale", "keywords", "keyword_plan",
+        seed_defaults(F.col("warnings"), F.col("s_warnings")).alias("warnings"),
+        seed_defaults(F.col("validation_hints"), F.col("s_hints")).alias("validation_hints"),
+        F.coalesce("topic_themes", "s_themes").alias("topic_themes"), "seed",
+    )
+
+
+def plan_rows(prompts: DataFrame, curated: DataFrame, seeds: DataFrame, proposals: DataFrame,
+              max_communities: int = MAX_COMMUNITIES) -> DataFrame:
+    """Prompts ``(plan_id, prompt, report_type, keywords)`` to full plans, for a whole table at once.
+
+    ``seeds`` has rows of ``schemas.SEED``, ``proposals`` of ``schemas.PLAN``; either may be empty.
+    """
+    named = seeds.select("plan_id", F.transform(or_empty_entries(F.col("subreddits")), lambda e: e["name"]).alias("seeds"))
+    asked = prompts.select("plan_id", "prompt", "report_type").join(named, "plan_id", "left")
+    plans = assemble(heuristic_plans(asked, curated, max_communities), proposals, max_communities)
+    return complete(plans, prompts, seeds)
 
 
 def keyword_filters(keywords: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +35,27 @@ def to_posts(raw: DataFrame, source: str | Column, site: str | None = None) -> D
 
 
 def in_window(df: DataFrame, after=None, before=None) -> DataFrame:
-    """Strict time range on the plain column, so that the scan can use it."""
+    """Strict time range on the plain column, so that the scan can use it.
+
+    A table with a folder per month is also limited to the months of the range, given as numbers.
+    """
+    months = "created_month" in df.columns
     if after is not None:
         df = df.where(F.col("created_utc") > after)
+        if months and not isinstance(after, Column):
+            df = df.where(F.col("created_month") >= month_of(after))
     if before is not None:
         df = df.where(F.col("created_utc") < before)
+        if months and not isinstance(before, Column):
+            df = df.where(F.col("created_month") <= month_of(before))
     return df
 
 
+def month_of(moment: float) -> str:
+    """The month folder of a moment, as the raw table's writer names it."""
+    return datetime.fromtimestamp(moment, UTC).strftime("%Y-%m")
+
+
 def min_score(df: DataFrame, minimum: int) -> DataFrame:
     return df.where(F.col("upvotes") >= max(0, minimum))
 

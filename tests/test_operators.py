@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
+from postlens import schemas
 from postlens.operators import coverage, discover, evidence, select, termjoin, terms
 from postlens.operators.topn import first_per_key, top_n
 from postlens.plans import planning
+from postlens.sources import documents
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +72,37 @@ def test_every_way_of_matching_keeps_each_row(spark):
         assert sorted(map(tuple, found), key=repr) == expected
 
 
+def test_full_plans(spark):
+    prompts = spark.createDataFrame(
+        [(1, "trend of cats", "auto", ["k", "K", " "]), (2, "cats", "faq", []), (3, "dogs", "auto", None)],
+        "plan_id long, prompt string, report_type string, keywords array<string>",
+    )
+    curated = spark.createDataFrame([("dogs", 0, "dogpark")], "word string, pos int, community string")
+    text = (
+        '{"plan_id": 1, "communities": ["a", "b"], "params": {"months": 2}, "report_type": "trend", "warnings": ["own"],'
+        ' "filters": {"exclude": ["x"], "keywords": ["theirs"]}}'
+    )
+    proposals = documents.plans(spark.createDataFrame([(text,), ('{"plan_id": 2, "subreddits": []}',)], "document string"))
+    seeded = '{"plan_id": %d, "subreddits": ["s1"], "warnings": ["seed"], "topic_themes": [{"name": "t"}]}'
+    seeds = documents.seeds(spark.createDataFrame([(seeded % 1,), (seeded % 2,)], "document string"))
+    made = planning.plan_rows(prompts, curated, seeds, proposals)
+    assert [f.name for f in schemas.PLAN] == made.columns
+    rows = {r.plan_id: r for r in made.collect()}
+    one, two, three = rows[1], rows[2], rows[3]
+    assert (one.rationale, one.communities, one.warnings, one.params.months) == ("llm", ["r/a", "r/b"], ["own"], 2)
+    assert (one.filters.keywords, one.filters.exclude, one.topic_themes[0].name, len(one.seed)) == (["k"], ["x"], "t", 1)
+    assert (two.rationale, two.communities, two.warnings, two.filters) == ("heuristic", ["r/s1"], ["seed"], None)
+    assert (three.rationale, three.communities, three.filters, three.seed) == ("heuristic", ["r/dogpark"], None, None)
+
+
+def test_the_keyword_filter_step(spark, synonyms):
+    posts = spark.createDataFrame([(1, "haptic glove", ""), (2, "nothing", "bad haptic"), (3, "else", None)], "id long, title string, selftext string")
+    ids = lambda *a, **k: sorted(r.id for r in select.keyword_filter_step(posts, *a, **k).collect())
+    assert ids("haptic", synonyms) == [1, 2] and ids("", synonyms, '["glove"]') == [1]
+    assert ids("haptic", synonyms, exclude_json='["BAD"]') == [1] and ids("", synonyms, "{}", '["haptic"]') == [1, 2, 3]
+    assert ids("nothing bad", synonyms, mode="all") == [2] and ids("nothing else", synonyms) == [2, 3]
+
+
 def test_searches_stop_at_the_first_that_finds(spark):
     raw = [("p1", "r/a", 50, "red", ""), ("p2", "r/", 60, "blue red", "")]
     posts = spark.createDataFrame(raw, "id string, community string, created_utc long, title string, selftext string")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
 from postlens import schemas
+from postlens.operators import select
 from postlens.operators.sentiment import prepared
-from postlens.sources import readers, writers
+from postlens.sources import documents, readers, writers
 from postlens.sources.posts import to_posts
 from postlens.streaming import ingest
 
@@ -38,6 +39,53 @@ def test_raw_table_prunes_months(spark, tmp_path):
     assert table.count() == 3
 
 
+def test_selectors_prune_months(spark, tmp_path):
+    raw = spark.createDataFrame(_raw_rows(5), schemas.RAW_POST).withColumn("created_utc", F.col("num_comments") * 3_000_000.0)
+    writers.write_raw_table(raw, str(tmp_path / "t"))
+    table = readers.read_parquet(spark, str(tmp_path / "t"))
+    plans = spark.createDataFrame(
+        [(1, ["r/c"], (1, 0, 5), (["idiot"], []))],
+        "plan_id long, communities array<string>, params struct<months:int,min_upvotes:int,limit:int>,"
+        " filters struct<keywords:array<string>,exclude:array<string>>",
+    )
+    as_of = 12_100_000
+    found = select.select_posts(table, plans, fixed.synonym_table(spark), as_of)
+    assert "created_month" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [isnotnull(created_month") == 2
+    plain = select.select_posts(raw, plans, fixed.synonym_table(spark), as_of)
+    columns = [c for c in plain.columns if c != "fetched_at"]
+    assert sorted(found.select(columns).collect()) == sorted(plain.select(columns).collect()) and plain.count() > 0
+
+
+def test_seed_and_plan_documents_of_all_layouts(spark):
+    seed = {
+        "original_prompt": "p", "timeframe_months": 6, "confidence": 0.7, "keywords": ["k"],
+        "subreddits": [
+            {"name": "src3", "meta": {"confidence": 0.5, "why": "w", "flags": ["f"]}}, "r/SRC3", "x/r/src7", {"subreddit": "src8", "why": "y"},
+            {"name": " "}, "",
+        ],
+    }
+    plan = {
+        "original_prompt": "q", "subreddits": ["src1", {"name": "r/src2"}], "params": {"months": 3},
+        "keyword_plan": {"core": ["alpha", {"phrase": "beta"}], "long_tail": [{"keyword": "gamma"}]},
+        "seed_metadata": seed, "filters": {"exclude": ["e"]}, "warnings": ["w"],
+    }
+    texts = spark.createDataFrame([(json.dumps(seed),), ("no json",), (None,)], "document string")
+    rows = documents.seeds(texts).collect()
+    entries = [tuple(e) for e in rows[0].subreddits]
+    assert entries == [
+        ("r/src3", 0.5, "w", ["f"]), ("r/src7", 0.0, "seed suggestion", []), ("r/src8", None, "y", []),
+    ]
+    assert rows[0].prompt == "p" and rows[0].timeframe_months == 6 and rows[1].subreddits == rows[2].subreddits == []
+    assert {f.name for f in schemas.SEED} == set(rows[0].asDict())
+    made = documents.plans(spark.createDataFrame([(json.dumps(plan),)], "document string"))
+    row = made.first()
+    assert row.communities == ["r/src1", "r/src2"] and row.params.months == 3 and row.filters.exclude == ["e"]
+    assert [tuple(x) for x in row.keyword_plan.core] == [("alpha", None), ("beta", None)]
+    assert [tuple(x) for x in row.keyword_plan.long_tail] == [(None, "gamma")] and len(row.seed) == 3
+    assert set(made.columns) == {f.name for f in schemas.PLAN}
+
+
 def test_posts_round_trip_by_cluster(spark, tmp_path):
     posts = to_posts(spark.createDataFrame(_raw_rows(6), schemas.RAW_POST), "s").withColumn("cluster", F.col("upvotes") % 2)
     writers.write_posts(posts, str(tmp_path / "p"), by_cluster=True)
