@@ -16,17 +16,19 @@ from postlens.config import tune
 AS_OF = 1_706_745_600  # 2024-02-01T00:00:00Z
 SINCE = AS_OF - fixed.SECONDS_PER_MONTH
 
+# Some posts are in another script and some too short, so that both tests of a text drop rows.
 POSTS = """
 select concat('p', cast(doc_id as {S})) as id,
        concat('r/', source) as community,
        cast(1704067200 + (doc_id * 7919) % 2592000 as bigint) as created_utc,
-       substr(text, 1, 60) as title,
-       concat(substr(text, 61), case doc_id % 6
+       case when doc_id % 41 = 7 then 'Привет всем' when doc_id % 43 = 5 then 'Hi' else substr(text, 1, 60) end as title,
+       case when doc_id % 41 = 7 then 'Это сообщение написано по-русски, а не по-английски' when doc_id % 43 = 5 then ''
+         else concat(substr(text, 61), case doc_id % 6
          when 0 then '. I wish there was a better export; please'
          when 1 then '. I tried the app but it crashed twice. I can''t log in'
          when 2 then '. It doesn''t work because sync is broken'
          when 3 then '! This is NOT better, it is very STUPID but pathetic!!'
-         else '' end) as selftext,
+         else '' end) end as selftext,
        cast((doc_id * 7919) % 503 as int) as upvotes,
        cast((doc_id * 104729) % 97 as int) as num_comments,
        concat('https://posts.example/', cast(doc_id as {S})) as url
