@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.config import MAX_INLINE_ROWS
 from postlens.functions import match
 from postlens.functions.lists import cap, dedupe, json_list, or_empty
 from postlens.functions.text import match_text, window_start
@@ -96,7 +97,11 @@ def community_pass(raw: DataFrame, searches: Searches) -> DataFrame:
     asked = searches.plans.select(
         "plan_id", "since", "min_upvotes", "limit", F.posexplode("communities").alias("community_pos", "asked")
     ).withColumn("subreddit", F.replace("asked", F.lit("r/"), F.lit("")))
-    found = in_window(raw, after=searches.since).select(*_RAW).join(asked.drop("asked"), "subreddit")
+    asked = asked.drop("asked")
+    if asked.limit(MAX_INLINE_ROWS + 1).count() <= MAX_INLINE_ROWS:
+        # So few that every task can hold them: the posts, of which few communities have most, are not shuffled.
+        asked = F.broadcast(asked)
+    found = in_window(raw, after=searches.since).select(*_RAW).join(asked, "subreddit")
     kept = _within_limit(found, ["plan_id", "community_pos"], searches.limit)
     return to_posts(kept.withColumn("pass_no", F.lit(1)), COMMUNITY_SOURCE)
 
