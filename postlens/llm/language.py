@@ -143,7 +143,8 @@ def predictor(spark, model: Model):
         sure: list[float] = []
         for t in text.to_pylist():
             words = words_of(t) if t else []
-            if not words or not model.languages:
+            # Some numerals count as word characters, but are no letters.
+            if not model.languages or not any(c.isalpha() for w in words for c in w):
                 langs.append(UNKNOWN), sure.append(0.0)
                 continue
             at = [place.get(w, -1) for w in words]

@@ -180,14 +180,17 @@ def _trained(x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1e-3, ro
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from the templates and about ``CORPUS_SAMPLE`` paragraphs of the corpus, chosen by a hash of text and id.
+    """A model from the templates and a paragraph each of about ``CORPUS_SAMPLE`` documents, chosen by hashes.
 
     Paragraphs that hold most of a template are no example of the class ``none``.
     """
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line"))
-    lines = lines.where(F.length("line").between(20, 2_000))
-    first = lines.orderBy(F.xxhash64("line", "id"), "line").limit(CORPUS_SAMPLE)
-    return trained_on(sorted({r["line"] for r in first.collect()}))
+    share = int(1_000_000 * min(1.0, CORPUS_SAMPLE / max(1, docs.count())))
+    text = F.col(text_col).cast("string")
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1_000_000)) < share)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x).between(20, 2_000))
+    first = F.array_min(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), x.alias("line"))))
+    sample = some.select(first["line"].alias("line")).where("line is not null")
+    return trained_on(sorted({r["line"] for r in sample.collect()}))
 
 
 def trained_on(paragraphs: list[str]) -> Model:
