@@ -63,7 +63,18 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(table(spark, folder, "documents"))
 
 
-@query("op5_ngram_jaccard_join")
+@query("op5_ngram_jaccard_join", r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[k:k + 3], ' ') as g from (
+  select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as k from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+link as (select a, b from o join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 85 * (x.n + y.n - c)),
+sides as (select a, b from link union all select b, a from link),
+reach as (select a, b from sides union select r.a, s.b from reach r join sides s on r.b = s.a)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, least(d.doc_id, min(r.b)) as component_id
+from documents d left join n on d.doc_id = n.doc_id left join reach r on d.doc_id = r.a group by d.doc_id""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents linked by 4-word shingles at a similarity of 0.85."""
     return setjoin.similar_groups(table(spark, folder, "documents"), width=4, percent=85)
@@ -92,7 +103,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("hits")
 
 
-@query("op7_warc")
+@query("op7_warc", """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes from pages),
+m as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by html) else page_id end as first from p)
+select page_id, payload_bytes, sha1(html) as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to, cast(null as varchar) as error from m""")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """What comes back of every page that was written to archives."""
     return warc.round_trip(table(spark, folder, "pages")).drop("uri")
