@@ -354,15 +354,23 @@ class _Join:
         ``diff`` has what a has more than b, then what it lacks; it is null where the distance is too large to matter.
         """
         pairs = checkpointed(pairs.groupBy("a", "b").agg(F.max("reach").alias("reach")))
-        sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        rows = self.rows.join(sids, "sid").groupBy("sid").agg(F.min("row").alias("row"))
-        wanted = self.spark.sparkContext.broadcast(_wanted(rows))
-        hopeful = checkpointed(self._together(pairs, wanted, True).mapInArrow(_hopeful, "a long, b long, reach double"))
+        named = self.rows.join(self._sids(pairs), "sid").groupBy("sid").agg(F.min("row").alias("row"))
+        named = checkpointed(named)
+        parts = self._together(pairs, self._filter(named), True)
+        hopeful = checkpointed(parts.mapInArrow(_hopeful, "a long, b long, reach double"))
+        wanted = self._filter(named.join(self._sids(hopeful), "sid"))
         found = self._together(hopeful, wanted, False).mapInArrow(
             _overlaps(2 * self.limit + 1e-9), "a long, b long, n_a int, n_b int, both int, diff array<bigint>"
         )
         return checkpointed(found.withColumn("d", F.expr("1 - both / (n_a + n_b - both)")))
 
+    @staticmethod
+    def _sids(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+
+    def _filter(self, named: DataFrame):
+        return self.spark.sparkContext.broadcast(_wanted(named))
+
     def _together(self, pairs: DataFrame, wanted, part: bool) -> DataFrame:
         """Each pivot's set (or part of it) in front of those of its partners; a pivot with many partners, several times."""
         ways = pairs.groupBy("b").agg(F.expr(f"1 + count(1) div {SPLIT_PIVOT}").alias("ways"))
