@@ -37,6 +37,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of a narrow table that comes out of a shuffle, in a few partitions per core.
+
+    Such tables are read several times; as many partitions as the shuffle had would only multiply the blocks that the
+    next shuffles exchange. A task goes through its partitions one by one, so it needs no more memory.
+    """
+    return checkpointed(df.coalesce(max(16, 2 * df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back; later reads are pruned to their columns."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import checkpointed
+from postlens.llm.common import settled
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,17 +16,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the shuffle; no node's neighbours are gathered. Edges with a null end and loops are ignored.
     """
     x, y = F.col(a), F.col(b)
-    hooks = checkpointed(
+    hooks = settled(
         edges.where(x != y).select(F.greatest(x, y).alias("node"), F.least(x, y).alias("root")).distinct()
     )
     while True:
         both = hooks.unionByName(hooks.select(F.col("root").alias("node"), F.col("node").alias("root")))
         low = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("low"))
         large = both.where("root > node").join(low, "node").select(F.col("root").alias("node"), F.col("low").alias("root"))
-        large = checkpointed(large.distinct())
+        large = settled(large.distinct())
         least = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(least, "node")
-        following = checkpointed(
+        following = settled(
             small.select("node", F.col("low").alias("root"))
             .unionByName(small.where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root")))
             .distinct()

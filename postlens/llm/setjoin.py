@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import by_bytes, checkpointed, texts, written
+from postlens.llm.common import by_bytes, checkpointed, settled, texts, written
 from postlens.llm.components import components
 from postlens.llm.shingles import mix, set_id, shingle_sets
 
@@ -353,11 +353,11 @@ class _Join:
         Pairs farther apart than ``reach`` may be missing: parts of the sets, an eighth of their bytes, rule out most.
         ``diff`` has what a has more than b, then what it lacks; it is null where the distance is too large to matter.
         """
-        pairs = checkpointed(pairs.groupBy("a", "b").agg(F.max("reach").alias("reach")))
+        pairs = settled(pairs.groupBy("a", "b").agg(F.max("reach").alias("reach")))
         named = self.rows.join(self._sids(pairs), "sid").groupBy("sid").agg(F.min("row").alias("row"))
-        named = checkpointed(named)
+        named = settled(named)
         parts = self._together(pairs, self._filter(named), True)
-        hopeful = checkpointed(parts.mapInArrow(_hopeful, "a long, b long, reach double"))
+        hopeful = settled(parts.mapInArrow(_hopeful, "a long, b long, reach double"))
         wanted = self._filter(named.join(self._sids(hopeful), "sid"))
         found = self._together(hopeful, wanted, False).mapInArrow(
             _overlaps(2 * self.limit + 1e-9), "a long, b long, n_a int, n_b int, both int, diff array<bigint>"
@@ -414,7 +414,7 @@ class _Join:
             )
         )
         mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        placed = checkpointed(placed.join(mixed.select("token"), "token"))
+        placed = settled(placed.join(mixed.select("token"), "token"))
         # Members of one star and size are one entry of a list.
         entries = placed.groupBy("token", "star", "n").agg(F.min("root").alias("root"), F.max("rest").alias("rest"))
         x, y = entries.alias("x"), entries.alias("y")
@@ -426,20 +426,20 @@ class _Join:
         met = x.join(y, meet).select(
             F.col("x.star").alias("a"), F.col("y.star").alias("b"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n_y")
         )
-        met = checkpointed(met.distinct())
+        met = settled(met.distinct())
         if met.isEmpty():
             return links
-        members = checkpointed(placed.select("star", "sid", "n", "far").distinct())
+        members = settled(placed.select("star", "sid", "n", "far").distinct())
         size = members.groupBy("star").agg(F.max("far").alias("far"), F.count("*").alias("size"))
         side = lambda c: size.select(F.col("star").alias(c), F.col("far").alias(f"far_{c}"), F.col("size").alias(f"size_{c}"))
-        asked = checkpointed(met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"))
+        asked = settled(met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"))
         known = self.compared(asked.select("a", "b", F.expr(f"{limit} + far_a + far_b").alias("reach")))
         links = links.unionByName(known.where(f"both >= {at_least}").select("a", "b"))
         open_ = known.where(f"both < {at_least}").select("a", "b", "d").join(asked, ["a", "b"])
         open_ = open_.where(f"far_a + far_b > 0 and d <= {limit} + far_a + far_b + 1e-9")
         # The larger star keeps its centre as the set to derive answers from; the members of the other are asked about.
         swap = F.col("size_a") > F.col("size_b")
-        open_ = checkpointed(
+        open_ = settled(
             open_.select(
                 F.when(swap, F.col("b")).otherwise(F.col("a")).alias("asked"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("star"),
                 F.when(swap, F.col("far_a")).otherwise(F.col("far_b")).alias("radius"), "d",
@@ -448,7 +448,7 @@ class _Join:
         if open_.isEmpty():
             return links
         asking = open_.join(members.withColumnRenamed("star", "asked"), "asked").where(f"d <= {limit} + radius + far + 1e-9")
-        asking = checkpointed(asking.select("asked", "star", "radius", "sid").distinct())
+        asking = settled(asking.select("asked", "star", "radius", "sid").distinct())
         tested = self.compared(
             asking.select(F.col("sid").alias("a"), F.col("star").alias("b"), F.expr(f"{limit} + radius").alias("reach"))
         )
@@ -471,9 +471,9 @@ class _Join:
         sizes = sizes.unionByName(
             met.select(F.col("b").alias("star"), F.col("n_y").alias("n_c"), F.col("a").alias("asked"), F.col("n_x").alias("n"))
         )
-        tested = checkpointed(tested)
+        tested = settled(tested)
         around = members.join(tested.select("star").distinct(), "star").select(F.col("sid").alias("a"), F.col("star").alias("b"))
-        around = checkpointed(near.join(around, ["a", "b"]).select(
+        around = settled(near.join(around, ["a", "b"]).select(
             F.col("a").alias("c"), F.col("b").alias("star"), F.col("n_a").alias("n_c"),
             F.expr("n_b - both").alias("lacks"), F.expr("n_a - both").alias("more"), F.col("diff").alias("theirs"),
         ))
