@@ -14,14 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import held_out
+from postlens.llm.common import checkpointed, held_out
 
-#: Bounds of the model: about this many training documents of each language, words and n-grams kept of each language.
-SAMPLE_PER_LANGUAGE, MAX_WORDS, MAX_GRAMS = 2_000, 20_000, 5_000
+#: About this many documents of each language are learned from.
+SAMPLE_PER_LANGUAGE = 2_000
+#: All words and all n-grams of each order are kept up to this many; of more, those seen often enough in all languages
+#: together that they fit.
+MAX_ENTRIES = 500_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,8 +60,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = list(counter.items())
             yield pa.RecordBatch.from_pydict(
                 {
-                    "lang": [lang] * len(items), "ord": pa.array([order] * len(items), pa.int32()),
-                    "gram": [k for k, _ in items], "n": pa.array([n for _, n in items], pa.int64()),
+                    "lang": pa.array([lang] * len(items), pa.string()), "ord": pa.array([order] * len(items), pa.int32()),
+                    "gram": pa.array([k for k, _ in items], pa.string()), "n": pa.array([n for _, n in items], pa.int64()),
                 }
             )
 
@@ -68,61 +71,85 @@ class Model:
     """Languages in order of their names; for words (order 0) and each n-gram order, log frequencies per language."""
 
     languages: list[str]
-    tables: dict[int, dict[str, list[float]]]
+    tables: dict[int, dict[str, int]]  # entry → row of the scores
+    scores: dict[int, np.ndarray]  # entries × languages
 
-    def word_scores(self, word: str) -> list[float]:
+    def word_scores(self, word: str) -> np.ndarray:
         known = self.tables.get(0, {}).get(word)
         if known is not None:
-            return known
+            return self.scores[0][known]
         for order in ORDERS:
             table = self.tables.get(order, {})
             hits = [table[g] for g in grams(word, order) if g in table]
             if hits:
-                return [sum(x) / len(hits) for x in zip(*hits)]
-        return [0.0] * len(self.languages)
+                return self.scores[order][hits].sum(axis=0) / len(hits)
+        return np.zeros(len(self.languages))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model of the languages of the documents that are not held out.
 
-    About ``SAMPLE_PER_LANGUAGE`` documents per language are counted, chosen by a hash of the id among all of them; the
-    most frequent words and n-grams are kept. Rows with null text or language are ignored, and so is a row with the
-    language ``und``.
+    About ``SAMPLE_PER_LANGUAGE`` documents per language are counted, chosen by a hash of the id among all of them. Their
+    words and n-grams are kept, each with its counts in all languages. Rows with null text or language are ignored, and so
+    is a row with the language ``und``.
     """
     known = docs.where(~held_out(id_col)).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")
     ).where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], {})
+        return Model([], {}, {})
     place = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000))
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, SAMPLE_PER_LANGUAGE / n))).otherwise(share)
     sample = known.where(place < share).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, ord int, gram string, n long")
-    counts = counts.groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang", "ord").orderBy(F.desc("n"), "gram")
-    totals = counts.groupBy("lang", "ord").agg(F.sum("n").alias("total"))
-    kept = counts.withColumn("rank", F.row_number().over(best)).where(
-        F.col("rank") <= F.when(F.col("ord") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
-    )
-    return _model(sorted(sizes), kept.select("lang", "ord", "gram", "n").collect(), totals.collect())
-
-
-def _model(languages: list[str], rows, totals) -> Model:
+    counts = counts.groupBy("ord", "gram", "lang").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts.groupBy("ord", "gram").agg(
+        F.sum("n").alias("total"), F.collect_list("lang").alias("langs"), F.collect_list("n").alias("ns")
+    ))
+    totals = counts.select("ord", F.explode(F.arrays_zip("langs", "ns")).alias("x"))
+    totals = totals.groupBy("ord", F.col("x.langs").alias("lang")).agg(F.sum("x.ns").alias("total")).collect()
+    least = F.lit(1)
+    for order, n in _least_counts(counts.groupBy("ord", "total").agg(F.count("*").alias("n")).collect()).items():
+        least = F.when(F.col("ord") == order, n).otherwise(least)
+    kept = counts.where(F.col("total") >= least).select("ord", "gram", "langs", "ns")
+    return _model(sorted(sizes), kept.toArrow(), totals)
+
+
+def _least_counts(rows) -> dict[int, int]:
+    """For each order the least total over all languages of which ``MAX_ENTRIES`` entries at most have as much."""
+    found: dict[int, int] = {}
+    room: dict[int, int] = {}
+    for r in sorted(rows, key=lambda r: -r["total"]):
+        room[r["ord"]] = room.get(r["ord"], MAX_ENTRIES) - r["n"]
+        if room[r["ord"]] < 0:
+            found.setdefault(r["ord"], r["total"] + 1)
+    return found
+
+
+def _model(languages: list[str], kept: pa.Table, totals) -> Model:
     """Add-half smoothing: an entry that a language lacks counts as half an occurrence."""
     place = {lang: i for i, lang in enumerate(languages)}
     total = {(r["lang"], r["ord"]): r["total"] for r in totals}
-    counts: dict[int, dict[str, np.ndarray]] = {}
-    for r in rows:
-        entry = counts.setdefault(r["ord"], {}).setdefault(r["gram"], np.zeros(len(languages)))
-        entry[place[r["lang"]]] = r["n"]
-    tables = {}
-    for order, table in counts.items():
+    tables: dict[int, dict[str, int]] = {}
+    at: dict[int, tuple[list[int], list[int], list[int]]] = {}
+    for batch in kept.to_batches(max_chunksize=10_000):
+        for order, gram, langs, ns in zip(*(c.to_pylist() for c in batch.columns)):
+            table = tables.setdefault(order, {})
+            rows, columns, counts = at.setdefault(order, ([], [], []))
+            rows.extend([table.setdefault(gram, len(table))] * len(langs))
+            columns.extend(place[lang] for lang in langs)
+            counts.extend(ns)
+    scores = {}
+    for order, table in tables.items():
         floor = np.array([total.get((lang, order), 0) + 0.5 * len(table) for lang in languages])
-        tables[order] = {gram: np.log((n + 0.5) / floor).tolist() for gram, n in table.items()}
-    return Model(languages, tables)
+        n = np.zeros((len(table), len(languages)))
+        rows, columns, counts = at.pop(order)
+        n[rows, columns] = counts
+        scores[order] = np.log((n + 0.5) / floor)
+    return Model(languages, tables, scores)
 
 
 def predictor(spark, model: Model):
@@ -133,12 +160,8 @@ def predictor(spark, model: Model):
     @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(text: pa.Array) -> pa.Array:
         model = shared.value
-        if not state:
-            known = model.tables.get(0, {})
-            state["place"] = {w: i for i, w in enumerate(known)}
-            state["scores"] = np.array(list(known.values()) or [[0.0] * len(model.languages)])
-            state["new"] = {}
-        place, scores, new = state["place"], state["scores"], state["new"]
+        place, new = model.tables.get(0, {}), state.setdefault("new", {})
+        scores = model.scores.get(0, np.zeros((0, len(model.languages))))
         langs: list[str] = []
         sure: list[float] = []
         for t in text.to_pylist():
@@ -154,7 +177,7 @@ def predictor(spark, model: Model):
                     if w not in new:
                         if len(new) >= _CACHE:
                             new.clear()
-                        new[w] = np.array(model.word_scores(w))
+                        new[w] = model.word_scores(w)
                     total = total + new[w]
             share = np.exp(total - total.max())
             best = int(np.argmax(share))

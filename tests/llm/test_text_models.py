@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -80,6 +81,33 @@ def test_unknown_words_back_off_to_shorter_n_grams(spark):
     assert language.keep_known(_languages(spark).union(spark.createDataFrame([(1, "..", "aa")], "doc_id long, text string, lang string"))).count() == 300
 
 
+def _letters(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+
+def test_a_word_keeps_its_count_in_every_language(spark):
+    """``shared`` is rarer than 20,500 other words of bb, but there it is three times as frequent as in aa."""
+    many = [_letters(i) for i in range(20_500)] * 4 + ["shared"] * 3
+    few = [_letters(i) for i in range(30_000, 30_020)] * 4_100 + ["shared"] + [_letters(30_000)] * 2
+    ids = [i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame(
+        [(ids[0], " ".join(few), "aa"), (ids[1], " ".join(many), "bb")], "doc_id long, text string, lang string"
+    )
+    model = language.fit(docs)
+    assert len(model.tables[0]) > 20_500 and np.argmax(model.word_scores("shared")) == 1
+    found = language.identified(docs.select(F.lit(1).alias("doc_id"), F.lit("shared").alias("text")), model=model).collect()
+    assert {r.lang_pred for r in found} == {"bb"}
+
+
+def test_too_many_words_go_by_their_total_in_all_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_ENTRIES", 2)
+    ids = [i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[0], "ka ka ka mo mo to", "aa"), (ids[1], "mo zu zu", "bb")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.tables[0]) == {"ka", "mo"}  # three each; zu and to are fewer
+    assert np.allclose(np.exp(model.word_scores("mo")), [2.5 / (6 + 1), 1.5 / (3 + 1)])
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "en"), (5, "def", "und")], "doc_id long, text string, lang string")
     found = language.identified(docs).collect()
