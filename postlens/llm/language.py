@@ -1,8 +1,9 @@
 """Language ID, words first.
 
 A word known from training adds its log frequency in each language. A word not known backs off to its character
-n-grams, from the longest order down to the first one of which any n-gram is known. Sums over all words of a text are
-the log likelihoods of the languages.
+n-grams, from the longest order down to the first one of which any n-gram is known. A run of letters too long for a word
+is scored all along, by the longest known n-gram at each letter. Sums over all words of a text are the log likelihoods of
+the languages.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
-#: A word longer than this takes part with its first and last letters only: n-grams of it say no more.
+#: A longer run of letters is a sentence or a text without spaces: no word of the model, but its n-grams are, all of them.
 _LONG = 64
 
 
@@ -38,9 +39,9 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def grams(word: str, order: int) -> list[str]:
-    padded = f"_{word}_" if len(word) <= _LONG else f"_{word[: _LONG // 2]}{word[-_LONG // 2 :]}_"
-    return [padded[i : i + order] for i in range(len(padded) - order + 1)]
+def grams(word: str, order: int) -> Iterator[str]:
+    padded = f"_{word}_"
+    return (padded[i : i + order] for i in range(len(padded) - order + 1))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +51,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found.setdefault(lang, Counter()).update(words_of(text))
     for lang, words in found.items():
-        by_order: dict[int, Counter] = {0: words}
+        by_order: dict[int, Counter] = {0: Counter({w: n for w, n in words.items() if len(w) <= _LONG})}
         for word, n in words.items():
             for order in ORDERS:
                 counter = by_order.setdefault(order, Counter())
@@ -78,13 +79,29 @@ class Model:
         known = self.tables.get(0, {}).get(word)
         if known is not None:
             return self.scores[0][known]
+        if len(word) > _LONG:
+            return self._run_scores(f"_{word}_")
         for order in ORDERS:
             table = self.tables.get(order, {})
-            hits = [table[g] for g in grams(word, order) if g in table]
+            hits = [i for g in grams(word, order) if (i := table.get(g)) is not None]
             if hits:
                 return self.scores[order][hits].sum(axis=0) / len(hits)
         return np.zeros(len(self.languages))
 
+    def _run_scores(self, run: str) -> np.ndarray:
+        """The sum over the whole run, by the longest order, as about so many n-grams have each letter."""
+        hits: dict[int, Counter] = {order: Counter() for order in ORDERS if order in self.tables}
+        for i in range(len(run)):
+            for order, found in hits.items():
+                if i + order <= len(run) and (k := self.tables[order].get(run[i : i + order])) is not None:
+                    found[k] += 1
+                    break
+        total = np.zeros(len(self.languages))
+        for order, found in hits.items():
+            if found:
+                total += np.array(list(found.values())) @ self.scores[order][list(found)]
+        return total / ORDERS[0]
+
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model of the languages of the documents that are not held out.
@@ -174,6 +191,9 @@ def predictor(spark, model: Model):
             total = scores[[i for i in at if i >= 0]].sum(axis=0)
             for w, i in zip(words, at):
                 if i < 0:
+                    if len(w) > _LONG:
+                        total = total + model.word_scores(w)
+                        continue
                     if w not in new:
                         if len(new) >= _CACHE:
                             new.clear()

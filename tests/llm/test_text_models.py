@@ -108,6 +108,21 @@ def test_too_many_words_go_by_their_total_in_all_languages(spark, monkeypatch):
     assert np.allclose(np.exp(model.word_scores("mo")), [2.5 / (6 + 1), 1.5 / (3 + 1)])
 
 
+def test_a_long_run_of_letters_is_read_whole(spark):
+    model = language.fit(_languages(spark))
+    mixed = "kato" * 10 + "zuem" * 700 + "kita" * 10
+    text = spark.createDataFrame([(1, mixed), (1, "kato kita " + mixed.upper())], "doc_id long, text string")
+    assert [r.lang_pred for r in language.identified(text, model=model).collect()] == ["bb", "bb"]
+
+
+def test_a_long_run_of_letters_is_learned_whole(spark):
+    ids = [i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[0], "ab" * 20 + "kato" * 500 + "ab" * 20, "aa"), (ids[1], "ab" * 20 + "zuem" * 500 + "ab" * 20, "bb")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert not model.tables.get(0) and "katok" in model.tables[5]
+    assert [int(np.argmax(model.word_scores(w))) for w in ("katoka", "zuemzu")] == [0, 1]
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "en"), (5, "def", "und")], "doc_id long, text string, lang string")
     found = language.identified(docs).collect()
