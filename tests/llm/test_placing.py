@@ -134,6 +134,14 @@ def test_bounds_have_the_least_padding():
         assert len(bounds) <= k and bounds[-1] == kinds[-1] and padding(bounds) == best
 
 
+@pytest.mark.parametrize("most, padding", [(50_000, 0), (1, 50)])
+def test_long_texts_have_the_least_padding_too(spark, monkeypatch, most, padding):
+    monkeypatch.setattr(packing, "MOST_LENGTHS", most)
+    rows = spark.createDataFrame([(i, 1000 if i < 50 else 1001) for i in range(90)], "doc_id long, n long")
+    found = packing.packed(rows, F.col("n"), buckets=2).collect()
+    assert len(found) == 90 and sum(r.padding for r in found) == padding
+
+
 def test_batches(spark, documents, monkeypatch):
     monkeypatch.setattr(packing, "_PER_TASK", 40)
     rng = random.Random(7)
