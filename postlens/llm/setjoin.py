@@ -1,7 +1,7 @@
 """N-gram Jaccard join: all links between documents whose sets of word shingles are similar, and their components.
 
-The method is an index of prefix shingles whose lists are ordered by position and skipped by it, together with answers
-derived from those of a very similar set:
+The method is an index of prefix shingles whose lists are ordered by position, together with answers derived from those
+of a very similar set. Step 2 skips lists by position; step 3 pairs all stars of a list and filters the pairs by position:
 
 1. Every document becomes a set of 64-bit shingle hashes; equal sets are one set from here on. A sketch of fixed size
    counts all shingles, and each set orders its shingles from rare to frequent.
