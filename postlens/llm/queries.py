@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontaminate, language, licences, neighbours, packing, quality, setjoin, sharding, tokens, warc
+from postlens.llm import (
+    decontaminate, divergence, interactions, language, licences, neardup, neighbours, packing, quality, setjoin, sharding, tokens,
+    warc,
+)
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +134,71 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector."""
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query("op11_source_divergence", f"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, {_TERMS} as w from documents),
+t as (select id, lang, source, unnest(w) as term from d),
+kept as (select lang, term, count(*) as n from t group by lang, term having count(distinct id) >= 30),
+langs as (select lang, count(term) as v, coalesce(sum(n), 0) as total from (select distinct lang from d) left join kept using (lang) group by lang),
+own as (select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by all),
+grp as (select g.lang, g.source, v, l.total as lang_total, coalesce(sum(n), 0) as total from (select distinct lang, source from d) g
+  join langs l using (lang) left join own o on g.lang = o.lang and g.source = o.source group by all),
+p as (select g.lang, g.source, k.term, coalesce(o.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(o.n, 0) + 5) // (g.total + 5 * v) as p,
+  1 + 1000000000::hugeint * (k.n + 5) // (lang_total + 5 * v) as q
+  from grp g join kept k on g.lang = k.lang left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term),
+found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce((select sum(abs(x.p - y.p)) from p x join p y using (lang, term)
+    where x.lang = a.lang and x.source = a.source and y.source = b.source), 0) as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source
+  union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+ranks as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from found)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranks where part = 'pair' or rank <= 50""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of each language are apart in their words, and what words each has more of."""
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
+@query("op12_filter_interactions", r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+m as (select doc_id, part, concat(case when len(w) < 200 then 'A' else '' end, case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end,
+  case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) then 'C' else '' end,
+  case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end,
+  case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end) as fails from d),
+told as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+c as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+  from m left join told using (doc_id) group by part, fails),
+f(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+o as (select concat(a.x, b.x, c.x, d.x, e.x) as filter_order from f a, f b, f c, f d, f e where length(
+  list_aggregate(list_distinct([a.x, b.x, c.x, d.x, e.x]), 'string_agg', '')) = 5),
+s as (select filter_order, step, substr(filter_order, step, 1) as own, left(filter_order, step - 1) as before from o, range(1, 6) r(step)),
+e as (select part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) as failing,
+  length(translate(fails, before, '')) = length(fails) as still from s, c),
+a as (select part, filter_order, step::int as step, own, coalesce(sum(n) filter (still and not failing), 0)::bigint as kept,
+  coalesce(sum(n) filter (still and failing), 0)::bigint as removed, coalesce(sum(n) filter (failing and not still), 0)::bigint as redundant,
+  coalesce(sum(n) filter (fails = own), 0)::bigint as unique_fails, coalesce(sum(good) filter (still and failing), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (still and failing), 0)::bigint as toxic_lost from e group by part, filter_order, step, own)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, own))::bigint as shapley from a""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes, in every order of them."""
+    return interactions.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_embedding_near_dedup", """
+with recursive u as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+low as (select a, min(b) as b from reach group by a), n as (select a, count(*) as n from link group by a)
+select vec_id, coalesce(n.n, 0) as n_links, least(vec_id, coalesce(low.b, vec_id)) as component_id, vec_id <= coalesce(low.b, vec_id) as kept
+from embeddings left join low on vec_id = low.a left join n on vec_id = n.a""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of vectors of one label with a cosine of 0.98 or more; the smallest id of each stays."""
+    return neardup.near_duplicates(table(spark, folder, "embeddings"))
