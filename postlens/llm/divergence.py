@@ -75,9 +75,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _share(n: str, total: str, terms: str) -> str:
-    """The share of a count, exactly: ``n`` may be so large that its product with the unit leaves 64 bits."""
+    """The share of a count, exactly: ``n`` may be so large that its product with the unit leaves 64 bits.
+
+    Where a language keeps no terms there is nothing to share, and the divisor is 1 instead of 0.
+    """
     product = f"cast({UNIT} as decimal(10,0)) * cast({n} + {ADDED} as decimal(19,0))"
-    return f"(1 + ({product}) div cast({total} + {ADDED} * {terms} as decimal(20,0)))"
+    return f"(1 + ({product}) div cast(greatest({total} + {ADDED} * {terms}, 1) as decimal(20,0)))"
 
 
 def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

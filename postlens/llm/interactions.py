@@ -164,6 +164,8 @@ def masks(
       A row without id comes after all ids: it fails E if a row with an id has its text. Rows without id may be given as
       one row with their number ``n``.
     """
+    if most_counters < 8 * _SEGMENTS or most_counters & (most_counters - 1):
+        raise ValueError(f"most_counters is a power of two and {8 * _SEGMENTS} at least")
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
