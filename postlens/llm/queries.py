@@ -118,7 +118,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_sharding")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents placed on 64 shards by source; larger sources are split by id."""
+    """Documents placed on 64 shards by source; a source is spread over a thousand slots by id."""
     docs = table(spark, folder, "documents").select("doc_id", "source")
     shards = [f"shard-{i:02}" for i in range(64)]
     return sharding.placed(docs, shards, F.col("source"), spread=F.col("doc_id"))

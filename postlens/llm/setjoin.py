@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import by_bytes, checkpointed, settled, texts, written
+from postlens.llm.common import by_bytes, checkpointed, settled, spare_name, texts, written
 from postlens.llm.components import components
 from postlens.llm.shingles import mix, set_id, shingle_sets
 
@@ -514,3 +514,23 @@ def similar_groups(
         F.when(F.col("sid").isNull(), F.col("row")).otherwise(F.col("component_id")).alias("component_id"),
     )
     return out.withColumnRenamed("row", id_col)
+
+
+def one_of_each_group(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates: of all rows that links connect, one stays. See ``similar_groups``.
+
+    The row with the smallest id stays; rows without id come after all others. Rows are told apart by a number of their own:
+    of rows that repeat an id, or have none, each is judged by its own text, and of wholly equal rows one stays. Texts
+    without words link with nothing and stay.
+    """
+    row = spare_name(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = similar_groups(numbered.select(F.col(row).alias("id"), F.col(text_col).alias("text")), width, percent, "id", "text")
+    groups = groups.select(F.col("id").alias("row"), "component_id")
+    ids = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
+    rank = F.struct(F.col("id").isNull().alias("nameless"), "id", "row")
+    first = groups.join(ids, "row").groupBy("component_id").agg(F.min(rank).alias("first")).select("first.row")
+    gone = groups.select("row").join(first, "row", "left_anti").withColumnRenamed("row", row)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Prime, and at least a hundred times the number of shards for shares within a per cent.
 SLOTS = 65_537
-#: A key with more than this multiple of an equal share of the rows is split over several shards.
-HOT = 0.05
+#: Slots that the rows of one key are spread over.
+WAYS = 1_024
 
 
 def _is_prime(n: int) -> bool:
@@ -52,28 +52,28 @@ def lookup_table(shards: list[str], slots: int = SLOTS, weights: list[int] | Non
 
 def placed(
     docs: DataFrame, shards: list[str], key: Column, slots: int = SLOTS, weights: list[int] | None = None,
-    spread: Column | None = None,
+    spread: Column | None = None, ways: int = WAYS, split: dict | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with ``slot`` and ``shard``, by a hash of ``key``; replaces columns so named.
 
-    With ``spread``, a key with more than ``HOT`` of an equal share of the rows is split: its rows go to as many slots as
-    it has such shares, by a hash of ``spread``. A null key is a key like any other; without ``spread`` all its rows go to
-    one shard. Rows with equal keys (and equal ``spread``) go to one shard. An empty table gives no rows.
+    With ``spread``, a key's rows go to ``ways`` slots by a hash of ``spread``; ``split`` names keys with another number of
+    ways (as text, 1 keeps a key together). Neither looks at the other rows: a row keeps its shard while the table grows,
+    and a key of any size is spread as much as it will ever be.
+
+    A null key is a key like any other; without ``spread`` all its rows go to one shard. Rows with equal keys and equal
+    ``spread`` (or a null one) go to one shard. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    if ways < 1 or min((split or {}).values(), default=1) < 1:
+        raise ValueError("ways are at least 1")
     table = [(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots, weights).tolist())]
-    lookup = F.broadcast(spark.createDataFrame(table, "slot int, shard string"))
-    part = F.lit(0)
+    lookup = F.broadcast(docs.sparkSession.createDataFrame(table, "slot int, shard string"))
+    part = F.lit(0).cast("long")
     if spread is not None:
-        # Keys above the bound: fewer than shards / HOT of them, whatever the size of the table.
-        sizes = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
-        share = max(1, int(HOT * docs.count() / len(shards)))
-        hot = sizes.where(F.col("n") > share).select("key", F.expr(f"n div {share} + 1").alias("ways")).collect()
-        if hot:
-            ways = F
-            for row in hot:
-                ways = ways.when(key.eqNullSafe(F.lit(row["key"])), row["ways"])
-            part = F.pmod(F.xxhash64(spread), ways.otherwise(1))
+        number = F.lit(ways)
+        if split:
+            named = F.create_map(*[F.lit(x) for k, n in split.items() for x in (str(k), n)])
+            number = F.coalesce(F.try_element_at(named, key.cast("string")), number)
+        part = F.pmod(F.xxhash64(spread), number)
     slot = F.pmod(F.xxhash64(key, part), F.lit(slots)).cast("int")
     rest = docs.drop(*[c for c in docs.columns if c.lower() in ("slot", "shard")])
     return rest.withColumn("slot", slot).join(lookup, "slot").select(*rest.columns, "slot", "shard")

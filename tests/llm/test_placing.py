@@ -10,6 +10,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from documents_fixture import documents  # noqa: F401
@@ -103,19 +104,41 @@ def test_shares_are_even_and_few_slots_move():
             sharding.lookup_table(*bad)
 
 
+def _slot(key, part, slots):
+    """Where a row goes, by a plain calculation: the hash of the key is the seed of that of the part."""
+    seed = 42 if key is None else xxhash.xxh64_intdigest(key.encode(), seed=42)
+    h = xxhash.xxh64_intdigest(part.to_bytes(8, "little"), seed=seed)
+    return (h - (h >> 63 << 64)) % slots
+
+
 def test_placing_rows(spark, documents):
     rows = [(i, "t") for i in range(2000)] + [(None, "x"), (None, "x"), (5, "t")]
     docs = documents(rows).withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("s"), F.col("doc_id") % 50)))
     names = [f"n{i}" for i in range(8)]
-    out = sharding.placed(docs, names, F.col("source"), slots=1009, spread=F.col("doc_id"))
+    out = sharding.placed(docs, names, F.col("source"), slots=1009, spread=F.col("doc_id"), ways=64, split={"s7": 1, "s8": 3})
     table = sharding.lookup_table(names, 1009)
     found = out.collect()
     assert len(found) == len(rows) and {c.lower() for c in out.columns} == {c.lower() for c in docs.columns} | {"slot", "shard"}
-    assert all(r.shard == names[table[r["slot"]]] for r in found)
+    for r in found:
+        h = 42 if r.doc_id is None else xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little"), seed=42)
+        part = (h - (h >> 63 << 64)) % {"s7": 1, "s8": 3}.get(r.source, 64)
+        assert r["slot"] == _slot(r.source, part, 1009) and r.shard == names[table[r["slot"]]]
     assert len({r.shard for r in found if r.source is None}) > 4  # a third of the rows has no source
-    whole = sharding.placed(docs, names, F.col("source"), slots=1009).select("source", "shard").distinct().collect()
-    assert len(whole) == len({r.source for r in found})
+    assert len({r.shard for r in found if r.source == "s7"}) == 1
+    whole = sharding.placed(docs, names, F.col("source"), slots=1009)
+    assert all(r["slot"] == _slot(r.source, 0, 1009) for r in whole.collect())
     assert sharding.placed(docs.limit(0), names, F.col("source"), slots=1009).count() == 0
+    with pytest.raises(ValueError):
+        sharding.placed(docs, names, F.col("source"), spread=F.col("doc_id"), ways=0)
+
+
+def test_rows_keep_their_shards_when_the_table_grows(spark, documents):
+    names = [f"n{i}" for i in range(16)]
+    few, many = (documents([(i, "t") for i in range(n)]).withColumn("source", F.lit("s")) for n in (100, 5000))
+    at = [{r.doc_id: r.shard for r in sharding.placed(d, names, F.col("source"), spread=F.col("doc_id")).collect()} for d in (few, many)]
+    assert all(at[1][i] == shard for i, shard in at[0].items())
+    assert max(collections.Counter(at[1].values()).values()) < 2 * 5000 / 16
+
 
 
 def test_bounds_have_the_least_padding():

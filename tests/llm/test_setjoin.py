@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from documents_fixture import documents  # noqa: F401
 from postlens.llm import setjoin, shingles
@@ -119,3 +120,18 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (None, 3)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in rows} == {i: 0 for i in range(1, 61)} | {1000 + i: 1000 for i in range(1, 200)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Ids that are null or repeat: every text stays once."""
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, text), (1, text), (None, text), (None, text), (5, text + " tail"), (5, other), (7, other)]
+    rows += [(None, other + " more"), (8, None), (8, None), (9, " "), (None, "a b"), (None, "a b"), (3, "A  B")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_row": F.lit(1), "id": F.lit(2), "component_id": F.lit(3)})
+    out = setjoin.one_of_each_group(docs)
+    assert out.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert kept == sorted([(1, text), (5, other), (8, None), (8, None), (9, " "), (3, "A  B")], key=repr)
+    assert setjoin.one_of_each_group(docs.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, text)] * 3, "doc_id long, text string")
+    assert setjoin.one_of_each_group(nameless).count() == 1
