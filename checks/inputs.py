@@ -16,23 +16,30 @@ from postlens.config import tune
 AS_OF = 1_706_745_600  # 2024-02-01T00:00:00Z
 SINCE = AS_OF - fixed.SECONDS_PER_MONTH
 
-# Some posts are in another script and some too short, so that both tests of a text drop rows.
+# Every document is a post with its whole text. Each benchmark item adds two posts, one in another script and one too
+# short, so that both tests of a text drop rows.
 POSTS = """
 select concat('p', cast(doc_id as {S})) as id,
        concat('r/', source) as community,
        cast(1704067200 + (doc_id * 7919) % 2592000 as bigint) as created_utc,
-       case when doc_id % 41 = 7 then 'Привет всем' when doc_id % 43 = 5 then 'Hi' else substr(text, 1, 60) end as title,
-       case when doc_id % 41 = 7 then 'Это сообщение написано по-русски, а не по-английски' when doc_id % 43 = 5 then ''
-         else concat(substr(text, 61), case doc_id % 6
+       substr(text, 1, 60) as title,
+       concat(substr(text, 61), case doc_id % 6
          when 0 then '. I wish there was a better export; please'
          when 1 then '. I tried the app but it crashed twice. I can''t log in'
          when 2 then '. It doesn''t work because sync is broken'
          when 3 then '! This is NOT better, it is very STUPID but pathetic!!'
-         else '' end) end as selftext,
+         else '' end) as selftext,
        cast((doc_id * 7919) % 503 as int) as upvotes,
        cast((doc_id * 104729) % 97 as int) as num_comments,
        concat('https://posts.example/', cast(doc_id as {S})) as url
 from {documents}
+union all
+select concat('p', cast(10000000000 + 2 * item_id + kind as {S})), concat('r/src', cast(item_id % 20 as {S})),
+       cast(1704067200 + (item_id * 6007 + kind) % 2592000 as bigint),
+       case kind when 0 then 'Привет всем' else 'Hi' end,
+       case kind when 0 then 'Это сообщение написано по-русски, а не по-английски' else '' end,
+       cast(item_id % 503 as int), cast(item_id % 97 as int), concat('https://posts.example/items/', cast(item_id as {S}))
+from {benchmark}, (select 0 as kind union all select 1 as kind) kinds
 """
 
 # A third of the items lacks a link, one in fifty a score; every tenth item comes again, older and changed.
@@ -133,7 +140,7 @@ class Inputs:
 
     @cached_property
     def posts(self) -> DataFrame:
-        return self.view(POSTS, documents=self.table("documents"))
+        return self.view(POSTS, documents=self.table("documents"), benchmark=self.table("benchmark"))
 
     @cached_property
     def raw(self) -> DataFrame:
