@@ -1,7 +1,8 @@
 """Where a row is, for ranking narrow rows first and fetching the wide ones afterwards.
 
-An id does not name a row: it may be null or repeat. A row of a Parquet table is named by its file and its number in it,
-which the reader knows without reading anything else. Rows of any other plan are written once and named there.
+An id does not name a row: it may be null or repeat. A row of a Parquet table is named by its file (a hash of its path)
+and its number in it, which the reader knows without reading anything else. Rows of any other plan are written once, in
+the shared folder, and named there.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from postlens.config import written
 
 FILE, ROW = "_file", "_row"
 LOCATOR = [FILE, ROW]
+#: So many ranked rows are broadcast when the wide rows are fetched; each is a few numbers.
+MAX_FETCHED = 200_000
 
 
 def located(df: DataFrame) -> DataFrame:
-    """``df`` with its rows' locators as two more columns; in the order of its rows, locators ascend."""
+    """``df`` with its rows' locators as two more columns."""
     if set(LOCATOR) <= set(df.columns):
         return df
     try:
@@ -27,9 +30,16 @@ def located(df: DataFrame) -> DataFrame:
 
 
 def _named(df: DataFrame) -> DataFrame:
-    return df.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+    return df.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
-def fetched(rows: DataFrame, narrow: DataFrame, columns: list[str]) -> DataFrame:
-    """``narrow`` with the given columns of the located ``rows`` it names. Of ``rows`` only these columns are read."""
-    return narrow.join(rows.select(*LOCATOR, *columns), LOCATOR)
+def fetched(rows: DataFrame, ranked: DataFrame, columns: list[str], max_fetched: int = MAX_FETCHED) -> DataFrame:
+    """``ranked`` with the given columns of the located ``rows`` it names. Only these columns are read.
+
+    The ranked rows are stored first. Up to ``max_fetched`` of them (counted) meet the wide rows where those are read;
+    more are joined, and the wide rows are shuffled.
+    """
+    ranked = written(ranked, "ranked")
+    if ranked.limit(max_fetched + 1).count() <= max_fetched:
+        ranked = F.broadcast(ranked)
+    return rows.select(*LOCATOR, *columns).join(ranked, LOCATOR).drop(*LOCATOR)

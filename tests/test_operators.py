@@ -56,7 +56,31 @@ def test_all_ways_of_matching_agree(spark):
         assert {(r.grp, r.id) for r in found} == expected and len(found) == len(expected)
 
 
-_WAYS = ({}, {"max_groups": 0}, {"max_literals": 0}, {"max_literals": 0, "max_grams": 0})
+_WAYS = (
+    {}, {"max_groups": 0}, {"max_literals": 0}, {"max_literals": 0, "max_grams": 0}, {"max_literals": 0, "max_broadcast": 0},
+    {"max_literals": 0, "max_grams": 0, "max_broadcast": 0},
+)
+
+
+def test_a_term_is_looked_up_by_its_rarest_gram(spark):
+    texts = [("the common words",)] * 40 + [("uncommon words are rare",)] * 3 + [(None,)]
+    texts = spark.createDataFrame(texts, "_text string")
+    wanted = spark.createDataFrame([("the common words",), ("common words are",), ("zzz",), ("absent thing",)], "term string")
+    found = {r.term: (r.gram, r.docs) for r in termjoin.rarest_grams(texts, wanted, 1.0).collect()}
+    assert found["zzz"] == ("zzz", 0) and found["absent thing"][1] == 0
+    assert found["common words are"] == (" are", 3) and found["the common words"][1] == 40
+
+
+def test_many_terms_shuffle_no_text(spark):
+    """Neither the way that verifies in place nor the narrow join sends a text through the join on grams."""
+    posts = spark.createDataFrame([(i, f"some text of number {i}") for i in range(300)], "id long, text string")
+    wanted = spark.createDataFrame([(i % 7, f"number {i}") for i in range(0, 300, 3)], "grp long, term string")
+    ids = lambda df: sorted((r.grp, r.id) for r in df.collect())
+    inline = termjoin.group_posts(posts, wanted, "grp", ["id"], max_literals=0)
+    plan = inline._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("Exchange")[0] and "BroadcastHashJoin" in plan
+    narrow = termjoin.group_posts(posts, wanted, "grp", ["id"], max_literals=0, max_broadcast=0)
+    assert ids(inline) == ids(narrow) == ids(termjoin.group_posts(posts, wanted, "grp", ["id"]))
 
 
 def test_every_way_of_matching_keeps_each_row(spark):
