@@ -143,6 +143,18 @@ def select_posts(c: Inputs):
     return found.select("plan_id", "id", "community", "created_utc", "upvotes", "source")
 
 
+@query("select_posts_of_stored_table", _SELECTION + """
+select plan_id, id, concat('r/', subreddit) as community, cast(created_utc as bigint) as created_utc,
+  md5(trim(regexp_replace(selftext, '\\s+', ' ', 'g'))) as text, cast(coalesce(score, 0) as int) as upvotes
+from judged where included and not excluded""", ("raw",))
+def select_posts_stored(c: Inputs):
+    """The same from a stored table with a folder per month: rows are ranked by where they are, texts fetched last."""
+    folder = _folder(c, "raw")
+    writers.write_raw_table(c.raw, folder)
+    found = select.select_posts(readers.read_parquet(c.spark, folder), c.search_plans, c.synonyms, AS_OF)
+    return found.select("plan_id", "id", "community", "created_utc", "upvotes", F.md5("selftext").alias("text"))
+
+
 @query("f7_funnel", _SELECTION + """
 select plan_id, a.community_rows, a.keyword_rows, b.unique_rows, b.excluded_rows, b.kept_rows from (
   select plan_id, count(*) filter (pass_no = 1) as community_rows, count(*) filter (pass_no = 2) as keyword_rows
@@ -150,9 +162,7 @@ select plan_id, a.community_rows, a.keyword_rows, b.unique_rows, b.excluded_rows
   select plan_id, count(*) as unique_rows, count(*) filter (excluded) as excluded_rows,
     count(*) filter (included and not excluded) as kept_rows from judged group by plan_id) b using (plan_id)""", ("raw",))
 def f7(c: Inputs):
-    searches = select.Searches.of(c.search_plans, AS_OF)
-    both = select.both_passes(c.raw, searches, c.synonyms)
-    return select.funnel(both, select.judged(both, searches))
+    return select.selection_funnel(c.raw, c.search_plans, c.synonyms, AS_OF)
 
 
 # --- many term lists ---------------------------------------------------------------------------------

@@ -1,19 +1,25 @@
-"""Post selection: community pass, keyword pass, union, first-wins de-duplication, filters."""
+"""Post selection: community pass, keyword pass, union, first-wins de-duplication, filters.
+
+Of a stored table all passes rank narrow rows: id, time, score and where the item is. Titles and texts are fetched once,
+for the rows that are left, and take part in no sort. Items of any other plan carry them along; see ``sources.locate``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from postlens.config import MAX_INLINE_ROWS
+from postlens.config import MAX_INLINE_ROWS, written
 from postlens.functions import match
 from postlens.functions.lists import cap, dedupe, json_list, or_empty
 from postlens.functions.text import match_text, window_start
 from postlens.operators.termjoin import group_posts
 from postlens.operators.terms import prompt_terms, selection_terms
-from postlens.operators.topn import first_per_key, top_n
+from postlens.operators.topn import first_per_key, top_n, top_slices
+from postlens.sources.locate import Late
 from postlens.sources.posts import in_window, to_posts
 
 COMMUNITY_SOURCE = "community_search"
@@ -30,27 +36,40 @@ def newest() -> list[Column]:
 
 # --- one search with fixed arguments -----------------------------------------------------------------
 
+def _enough(minimum: Column | int) -> Column:
+    return F.coalesce(F.col("score"), F.lit(0)) >= minimum
+
+
+_RANKED = ["id", "created_utc", "score", "subreddit"]
+_WIDE = ["title", "selftext", "full_link", "num_comments"]
+
+
 def search_communities(raw: DataFrame, communities: list[str], since: int, limit: int, min_upvotes: int,
                        limit_after_filter: bool = False) -> DataFrame:
     """The newest ``limit`` items of each community since a moment, then those with enough score."""
     names = [c.replace("r/", "") for c in communities]
-    found = in_window(raw, after=since).where(F.col("subreddit").isin(*names))
-    enough = F.coalesce(F.col("score"), F.lit(0)) >= max(0, min_upvotes)
+    items = Late(raw, _WIDE)
+    found = in_window(items.rows, after=since).where(F.col("subreddit").isin(*names))
+    enough = _enough(max(0, min_upvotes))
     if limit_after_filter:
         found = found.where(enough)
-    ranked = top_n(found, ["subreddit"], newest(), limit, salt_on="id").where(enough)
-    return to_posts(ranked, COMMUNITY_SOURCE)
+    narrow = found.select(*items.carried, *_RANKED)
+    ranked = top_n(narrow, ["subreddit"], newest(), limit, salt_on="id").where(enough).drop("rank")
+    return to_posts(items.fetch(ranked), COMMUNITY_SOURCE)
 
 
 def search_keywords(raw: DataFrame, terms: list[str], since: int, limit: int, min_upvotes: int,
                     limit_after_filter: bool = False) -> DataFrame:
     """The newest ``limit`` items that contain any term, then those with enough score."""
     text = match_text(F.col("title"), F.col("selftext"))
-    found = in_window(raw, after=since).where(match.contains_any_of(text, terms))
-    enough = F.coalesce(F.col("score"), F.lit(0)) >= max(0, min_upvotes)
+    items = Late(raw, _WIDE)
+    found = in_window(items.rows, after=since).where(match.contains_any_of(text, terms))
+    enough = _enough(max(0, min_upvotes))
     if limit_after_filter:
         found = found.where(enough)
-    return to_posts(found.orderBy(*newest()).limit(limit).where(enough), KEYWORD_SOURCE)
+    narrow = found.select(*items.carried, *_RANKED)
+    ranked = top_slices(narrow, newest(), limit, salt_on="id" if items.stored else None).where(enough)
+    return to_posts(items.fetch(ranked), KEYWORD_SOURCE)
 
 
 # --- all plans at once -------------------------------------------------------------------------------
@@ -82,18 +101,18 @@ class Searches:
         return Searches(clean, widest.since or as_of, widest.limit or 0)
 
 
-_RAW = ["id", "subreddit", "created_utc", "title", "selftext", "full_link", "score", "num_comments"]
-
-
 def _within_limit(found: DataFrame, groups: list[str], limit: int) -> DataFrame:
     """The newest rows of each search up to its plan's limit, then those with enough score."""
     ranked = top_n(found.where(F.col("created_utc") > F.col("since")), groups, newest(), limit, salt_on="id")
-    enough = F.coalesce(F.col("score"), F.lit(0)) >= F.col("min_upvotes")
-    return ranked.where((F.col("rank") <= F.col("limit")) & enough)
+    return ranked.where((F.col("rank") <= F.col("limit")) & _enough(F.col("min_upvotes")))
 
 
-def community_pass(raw: DataFrame, searches: Searches) -> DataFrame:
-    """Posts of each plan's communities."""
+#: What both passes hand on besides what an item carries: which search found a row.
+_HIT = ["plan_id", "pass_no", "community_pos", *_RANKED]
+
+
+def community_hits(items: Late, searches: Searches) -> DataFrame:
+    """Narrow rows of each plan's communities."""
     asked = searches.plans.select(
         "plan_id", "since", "min_upvotes", "limit", F.posexplode("communities").alias("community_pos", "asked")
     ).withColumn("subreddit", F.replace("asked", F.lit("r/"), F.lit("")))
@@ -101,40 +120,58 @@ def community_pass(raw: DataFrame, searches: Searches) -> DataFrame:
     if asked.limit(MAX_INLINE_ROWS + 1).count() <= MAX_INLINE_ROWS:
         # So few that every task can hold them: the posts, of which few communities have most, are not shuffled.
         asked = F.broadcast(asked)
-    found = in_window(raw, after=searches.since).select(*_RAW).join(asked, "subreddit")
+    found = in_window(items.rows, after=searches.since).select(*items.carried, *_RANKED).join(asked, "subreddit")
     kept = _within_limit(found, ["plan_id", "community_pos"], searches.limit)
-    return to_posts(kept.withColumn("pass_no", F.lit(1)), COMMUNITY_SOURCE)
+    return kept.withColumn("pass_no", F.lit(1)).select(*_HIT, *items.carried)
 
 
-def keyword_pass(raw: DataFrame, searches: Searches, synonyms: DataFrame) -> DataFrame:
-    """Posts that contain a search term of the plan; a plan without keywords searches for nothing."""
+def keyword_hits(items: Late, searches: Searches, synonyms: DataFrame) -> DataFrame:
+    """Narrow rows that contain a search term of the plan; a plan without keywords searches for nothing."""
     listed = selection_terms(searches.plans.select("plan_id", "keywords"), synonyms)
     terms = listed.select("plan_id", F.explode(F.array_distinct("terms")).alias("term"))
-    items = in_window(raw, after=searches.since).select(*_RAW).withColumn(
-        "text", match_text(F.col("title"), F.col("selftext"))
+    texts = in_window(items.rows, after=searches.since).select(
+        *items.carried, *_RANKED, match_text(F.col("title"), F.col("selftext")).alias("text")
     )
-    found = group_posts(items, terms, "plan_id", _RAW).join(
+    found = group_posts(texts, terms, "plan_id", [*items.carried, *_RANKED]).join(
         searches.plans.select("plan_id", "since", "min_upvotes", "limit"), "plan_id"
     )
     kept = _within_limit(found, ["plan_id"], searches.limit)
-    return to_posts(
-        kept.withColumn("pass_no", F.lit(2)).withColumn("community_pos", F.lit(0)), KEYWORD_SOURCE
-    )
+    return kept.withColumns({"pass_no": F.lit(2), "community_pos": F.lit(0)}).select(*_HIT, *items.carried)
+
+
+def both_hits(items: Late, searches: Searches, synonyms: DataFrame) -> DataFrame:
+    return community_hits(items, searches).unionByName(keyword_hits(items, searches, synonyms))
+
+
+def _posts(items: Late, hits: DataFrame) -> DataFrame:
+    source = F.when(F.col("pass_no") == 1, COMMUNITY_SOURCE).otherwise(KEYWORD_SOURCE)
+    return to_posts(items.fetch(hits), source)
+
+
+def community_pass(raw: DataFrame, searches: Searches) -> DataFrame:
+    """Posts of each plan's communities."""
+    items = Late(raw, _WIDE)
+    return _posts(items, community_hits(items, searches))
+
+
+def keyword_pass(raw: DataFrame, searches: Searches, synonyms: DataFrame) -> DataFrame:
+    """Posts that contain a search term of the plan."""
+    items = Late(raw, _WIDE)
+    return _posts(items, keyword_hits(items, searches, synonyms))
 
 
 def both_passes(raw: DataFrame, searches: Searches, synonyms: DataFrame) -> DataFrame:
-    return community_pass(raw, searches).unionByName(keyword_pass(raw, searches, synonyms))
+    items = Late(raw, _WIDE)
+    return _posts(items, both_hits(items, searches, synonyms))
 
 
-def first_wins(posts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per id: community pass first, then the order of the communities, then the newest."""
-    order = [F.col("pass_no"), F.col("community_pos"), -F.col("created_utc"), F.col("selftext")]
-    return first_per_key(posts, keys, order)
+def first_wins(hits: DataFrame, keys: list[str], last: Sequence[str] = ("selftext",)) -> DataFrame:
+    """One row per id: community pass first, then the order of the communities, then the newest, then by ``last``."""
+    return first_per_key(hits, keys, [F.col("pass_no"), F.col("community_pos"), -F.col("created_utc"), *map(F.col, last)])
 
 
-def judged(passes: DataFrame, searches: Searches) -> DataFrame:
+def judged(unique: DataFrame, searches: Searches) -> DataFrame:
     """De-duplicated posts of all plans with the verdict of each filter (``excluded``, ``included``)."""
-    unique = first_wins(passes, ["plan_id", "id"])
     with_terms = unique.join(searches.plans.select("plan_id", "keywords", "exclude"), "plan_id")
     text = match_text(F.col("title"), F.col("selftext"))
     return with_terms.withColumns(
@@ -145,14 +182,41 @@ def judged(passes: DataFrame, searches: Searches) -> DataFrame:
     ).drop("keywords", "exclude")
 
 
-def select_posts(raw: DataFrame, plans: DataFrame, synonyms: DataFrame, as_of: int) -> DataFrame:
-    """Posts of each plan: searched, de-duplicated, without excluded terms, with included ones."""
+def unique_posts(items: Late, hits: DataFrame) -> DataFrame:
+    """The posts of the first hit of each plan and id: hits are narrowed down before any text is read for them."""
+    return _posts(items, first_wins(hits, ["plan_id", "id"], items.carried))
+
+
+def select_posts(raw: DataFrame, plans: DataFrame, synonyms: DataFrame, as_of: int,
+                 counters: tuple[Observation, Observation] | None = None) -> DataFrame:
+    """Posts of each plan: searched, de-duplicated, without excluded terms, with included ones.
+
+    Two ``counters`` tell, after the query has run and without another pass, how many rows all plans have together: the
+    first ``community_rows`` and ``keyword_rows``, the second ``unique_rows``, ``excluded_rows`` and ``kept_rows``. The
+    first is filled when this function returns.
+    """
     searches = Searches.of(plans, as_of)
-    stages = judged(both_passes(raw, searches, synonyms), searches)
+    items = Late(raw, _WIDE)
+    hits = both_hits(items, searches, synonyms)
+    if counters:
+        hits = hits.observe(counters[0], *(F.count_if(F.col("pass_no") == n).alias(c) for n, c in _PASSES.items()))
+    stages = judged(unique_posts(items, hits), searches)
+    if counters:
+        stages = stages.observe(counters[1], *(total.alias(name) for name, total in _judged_counts().items()))
     kept = stages.where(~F.col("excluded") & F.col("included"))
     return kept.drop("excluded", "included", "pass_no", "community_pos")
 
 
+_PASSES = {1: "community_rows", 2: "keyword_rows"}
+
+
+def _judged_counts() -> dict[str, Column]:
+    return {
+        "unique_rows": F.count("*"), "excluded_rows": F.count_if("excluded"),
+        "kept_rows": F.count_if(~F.col("excluded") & F.col("included")),
+    }
+
+
 def keyword_filter(posts: DataFrame, keywords: list[str], exclude: list[str] = (), mode: str = "any") -> DataFrame:
     """Filter stored posts by literal terms; excludes always apply, no keywords lets all pass."""
     text = match_text(F.col("title"), F.col("selftext"))
@@ -177,15 +241,16 @@ def keyword_filter_step(posts: DataFrame, keywords: str, synonyms: DataFrame, ke
     return keyword_filter(posts, row["terms"], row["exclude"], mode) if row["terms"] else posts
 
 
-def funnel(passes: DataFrame, stages: DataFrame) -> DataFrame:
-    """Rows per plan at each step, in two single-pass aggregations."""
-    collected = passes.groupBy("plan_id").agg(
-        F.count_if(F.col("pass_no") == 1).alias("community_rows"),
-        F.count_if(F.col("pass_no") == 2).alias("keyword_rows"),
-    )
-    kept = stages.groupBy("plan_id").agg(
-        F.count("*").alias("unique_rows"),
-        F.count_if("excluded").alias("excluded_rows"),
-        F.count_if(~F.col("excluded") & F.col("included")).alias("kept_rows"),
-    )
+def funnel(hits: DataFrame, stages: DataFrame) -> DataFrame:
+    """Rows per plan at each step, in two single-pass aggregations; hits may be narrow or whole posts."""
+    collected = hits.groupBy("plan_id").agg(*(F.count_if(F.col("pass_no") == n).alias(c) for n, c in _PASSES.items()))
+    kept = stages.groupBy("plan_id").agg(*(total.alias(name) for name, total in _judged_counts().items()))
     return collected.join(kept, "plan_id")
+
+
+def selection_funnel(raw: DataFrame, plans: DataFrame, synonyms: DataFrame, as_of: int) -> DataFrame:
+    """Rows per plan at each step of ``select_posts``. The searches run once: their narrow hits are stored."""
+    searches = Searches.of(plans, as_of)
+    items = Late(raw, _WIDE)
+    hits = written(both_hits(items, searches, synonyms), "hits")
+    return funnel(hits, judged(unique_posts(items, hits), searches))

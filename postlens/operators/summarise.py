@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.config import written
+from postlens.functions.lists import bind
 from postlens.functions.text import complaints, two_places
-from postlens.operators.features import unigrams
+from postlens.operators.features import run_lengths, unigrams
 from postlens.operators.topn import top_n
+from postlens.sources.locate import LOCATOR, Late, located
 
 POSTS_READ_FOR_GAPS = 500
 GAPS = 10
@@ -31,39 +37,94 @@ def top_posts(posts: DataFrame, by: str = "cluster", n: int = TOP_POSTS) -> Data
 def gap_examples(posts: DataFrame, by: str = "cluster", read: int = POSTS_READ_FOR_GAPS, n: int = GAPS) -> DataFrame:
     """``(group, pos, gap)``: the first distinct complaint phrases among the newest posts of each group.
 
-    Posts are ranked without their text; the text of the ranked ones is fetched by id.
+    Stored posts are ranked without their text; the texts of the ranked rows are fetched by where they are. A post needs no
+    id, and one that repeats another's id speaks for itself.
     """
-    newest = top_n(posts.select(by, "id", "created_utc"), [by], [F.desc("created_utc"), F.asc("id")], read, "id")
-    newest = newest.select(by, "id", "rank")
-    texts = posts.select("id", "text").join(newest, "id")
+    late = Late(posts, ["text"])
+    order = [F.desc("created_utc"), F.asc("id"), *late.order]
+    newest = top_n(late.rows.select(by, "id", "created_utc", *late.carried), [by], order, read, "id")
+    texts = late.fetch(newest.select(by, "rank", *late.carried))
     phrases = texts.select(by, "rank", F.posexplode(complaints(F.col("text"))).alias("pos", "gap"))
     first = phrases.groupBy(by, "gap").agg(F.min(F.struct("rank", "pos")).alias("at"))
     return top_n(first, [by], [F.asc("at.rank"), F.asc("at.pos")], n).select(by, F.col("rank").alias("pos"), "gap")
 
 
-def top_terms(posts: DataFrame, by: str = "cluster", stop_words: Sequence[str] | None = None,
-              vocabulary: int = 2000, n: int = TOP_TERMS) -> DataFrame:
+#: The weights of all groups are broadcast up to so many (group, term) pairs and entries of groups × terms.
+MAX_PAIRS, MAX_ENTRIES = 200_000, 4_000_000
+
+
+def top_terms(posts: DataFrame, by: str = "cluster", stop_words: Sequence[str] | None = None, vocabulary: int = 2000,
+              n: int = TOP_TERMS, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """``(group, rank, term, weight)``: highest mean TF-IDF, weighted inside each group, all groups at once.
 
-    Words are counted inside the row, so texts are not shuffled. Weights are rounded before ranking, so ties
-    break by name.
+    Words are counted as runs of a sorted list inside the row, and what is shuffled is partial sums by group and term,
+    never a post: each row is a document of its own, whatever its id. Where the weights of all groups are few (checked), a
+    post's vector is weighted and scaled inside the row as well. Otherwise the words are stored, meet their weights in a
+    join and are summed by where the row is stored.
+
+    Weights are rounded before ranking, so ties break by name.
     """
-    words = posts.select(by, "id", F.explode(unigrams(F.col("text"), stop_words)).alias("term"))
-    counts = words.groupBy("id", by, "term").agg(F.count("*").alias("tf"))
+    words = posts.select(by, unigrams(F.col("text"), stop_words).alias("terms"))
+    counts = words.select(by, F.explode(run_lengths(F.sort_array("terms"))).alias("t")).select(by, "t.term", "t.tf")
     per_term = counts.groupBy(by, "term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"))
     kept = top_n(per_term, [by], [F.desc("total"), F.asc("term")], vocabulary, salt_on="term", rank="_rank")
-    group_sizes = posts.groupBy(by).agg(F.count("*").alias("size"))
-    idf = kept.join(group_sizes, by).select(
-        by, "term", "size", (F.log((F.col("size") + 1.0) / (F.col("docs") + 1.0)) + 1.0).alias("idf")
+    group_sizes = words.groupBy(by).agg(F.count("*").alias("size"))
+    weigh = F.log((F.col("size") + 1.0) / (F.col("docs") + 1.0)) + 1.0
+    idf = kept.join(group_sizes, kept[by].eqNullSafe(group_sizes[by])).select(kept[by], "term", weigh.alias("idf"))
+    few = _few_weights(idf, by, max_pairs)
+    shares = _shares_in_row(words, by, *few) if few else _shares_by_row(words, idf, by)
+    means = shares.join(group_sizes, shares[by].eqNullSafe(group_sizes[by])).select(
+        shares[by], "term", F.round(F.col("share") / F.col("size"), 9).alias("weight")
     )
-    weights = counts.join(idf, [by, "term"]).select(
-        "id", by, "term", "size", (F.col("tf") * F.col("idf")).alias("w")
+    return top_n(means, [by], [F.desc("weight"), F.asc("term")], n).select(by, "rank", "term", "weight")
+
+
+def _few_weights(idf: DataFrame, by: str, max_pairs: int):
+    """What counts a post's words by position, the positions of terms, and each group's weights by position.
+
+    None where groups and terms are too many for that, or none.
+    """
+    table = idf.limit(max_pairs + 1).toArrow()
+    if not 0 < table.num_rows <= max_pairs:
+        return None
+    names, terms = (table.column(i).combine_chunks().dictionary_encode(null_encoding="encode") for i in (0, 1))
+    size, groups = len(terms.dictionary), len(names.dictionary)
+    if size * groups > MAX_ENTRIES:
+        return None
+    weights = np.zeros((groups, size))
+    weights[names.indices.to_numpy(), terms.indices.to_numpy()] = table.column(2).to_numpy()
+    listed = pa.ListArray.from_arrays(np.arange(0, weights.size + 1, size, dtype=np.int32), pa.array(weights.ravel()))
+    spark = idf.sparkSession
+    counter = CountVectorizerModel.from_vocabulary(terms.dictionary.to_pylist(), inputCol="terms", outputCol="_tf")
+    positions = spark.createDataFrame(pa.table({"position": pa.array(range(size), pa.int32()), "term": terms.dictionary}))
+    return counter, positions, spark.createDataFrame(pa.table({"_group": names.dictionary, "_idf": listed}))
+
+
+def _shares_in_row(words: DataFrame, by: str, counter, positions: DataFrame, weights: DataFrame) -> DataFrame:
+    """Summed shares by group and term: a post's words become positions, its group's weights are looked up by them."""
+    vector = F.unwrap_udt("_tf")
+    counted = counter.transform(words.select(by, "terms")).select(by, vector["indices"].alias("at"), vector["values"].alias("tf"))
+    met = counted.join(F.broadcast(weights), counted[by].eqNullSafe(weights["_group"]))
+    weighted = F.zip_with("at", "tf", lambda i, tf: F.struct(i.alias("i"), (tf * F.get("_idf", i)).alias("w")))
+    sized = bind(weighted, lambda e: F.struct(
+        e.alias("e"), F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])).alias("length")))
+    entries = met.select(by, sized.alias("v")).where("v.length > 0").select(by, "v.length", F.explode("v.e").alias("e"))
+    sums = entries.where("e.w > 0").groupBy(by, F.col("e.i").alias("position")).agg(
+        F.sum(F.col("e.w") / F.col("length")).alias("share")
     )
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    means = weights.withColumn("share", F.col("w") / length).groupBy(by, "term").agg(
-        F.round(F.sum("share") / F.max("size"), 9).alias("weight")
+    return sums.join(F.broadcast(positions), "position").select(by, "term", "share")
+
+
+def _shares_by_row(words: DataFrame, idf: DataFrame, by: str) -> DataFrame:
+    """The same sums where weights are many."""
+    rows = located(written(words, "words"))
+    counts = rows.select(by, *LOCATOR, F.explode(run_lengths(F.sort_array("terms"))).alias("t")).select(
+        by, *LOCATOR, "t.term", "t.tf"
     )
-    return top_n(means, [by], [F.desc("weight"), F.asc("term")], n).select(by, "rank", "term", "weight")
+    same = counts[by].eqNullSafe(idf[by]) & (counts["term"] == idf["term"])
+    weights = counts.join(idf, same).select(counts[by], *LOCATOR, counts["term"], (F.col("tf") * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*LOCATOR)))
+    return weights.withColumn("share", F.col("w") / length).groupBy(by, "term").agg(F.sum("share").alias("share"))
 
 
 def _ordered(rows: DataFrame, by: str, pos: str, value: Column, name: str) -> DataFrame:

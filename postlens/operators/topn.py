@@ -33,6 +33,16 @@ def top_n(df: DataFrame, groups: list[str], order: list[Column], n: int, salt_on
     return df.withColumn(rank, F.row_number().over(by_group)).where(F.col(rank) <= n)
 
 
+def top_slices(df: DataFrame, order: list[Column], n: int, salt_on: str | None = None) -> DataFrame:
+    """The first ``n`` rows of all. What many tasks have of them is first cut to ``n`` rows per slice of ``salt_on``."""
+    if n > SALT_ABOVE and salt_on is not None:
+        slices = F.pmod(F.xxhash64(salt_on), F.lit(salt_count(df.sparkSession)))
+        by_slice = Window.partitionBy("_slice").orderBy(*order)
+        df = df.withColumn("_slice", slices).withColumn("_rank", F.row_number().over(by_slice))
+        df = df.where(F.col("_rank") <= n).drop("_slice", "_rank")
+    return df.orderBy(*order).limit(n)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key; null keys are one key. Copies of a key collapse before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -1,12 +1,13 @@
 """Where a row is, for ranking narrow rows first and fetching the wide ones afterwards.
 
 An id does not name a row: it may be null or repeat. A row of a Parquet table is named by its file (a hash of its path)
-and its number in it, which the reader knows without reading anything else. Rows of any other plan are written once, in
-the shared folder, and named there.
+and its number in it, which the reader knows without reading anything else.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +21,39 @@ MAX_FETCHED = 200_000
 
 
 def located(df: DataFrame) -> DataFrame:
-    """``df`` with its rows' locators as two more columns."""
+    """``df`` with its rows' locators as two more columns; what is no stored table is stored first."""
+    return _located(df) or _named(written(df, "rows"))
+
+
+def _located(df: DataFrame) -> DataFrame | None:
     if set(LOCATOR) <= set(df.columns):
         return df
+    logger = logging.getLogger("DataFrameQueryContextLogger")
+    quiet, logger.disabled = logger.disabled, True  # a plan without files is no error here
     try:
         return _named(df)
     except AnalysisException:
-        return _named(written(df, "rows"))
+        return None
+    finally:
+        logger.disabled = quiet
+
+
+class Late:
+    """Wide columns that are fetched after rows are ranked, where that is possible without storing them first.
+
+    Of a stored table, ``carried`` are the locators, and ``fetch`` reads the wide columns of the rows that are left. In any
+    other plan the wide columns are carried along. Both give the same rows.
+    """
+
+    def __init__(self, df: DataFrame, wide: list[str]):
+        rows = _located(df)
+        self.rows, self.wide, self.stored = rows or df, wide, rows is not None
+        self.carried = LOCATOR if self.stored else wide
+        #: Breaks ties between rows that are equal in all else.
+        self.order = [F.asc(c) for c in self.carried]
+
+    def fetch(self, ranked: DataFrame) -> DataFrame:
+        return fetched(self.rows, ranked, self.wide) if self.stored else ranked
 
 
 def _named(df: DataFrame) -> DataFrame:

@@ -91,6 +91,49 @@ def test_top_terms_do_not_depend_on_the_name_of_the_group(spark):
     assert sorted(map(tuple, by_cluster)) == sorted(map(tuple, by_other)) and len(by_cluster) == 20
 
 
+def _top_terms(rows, stop, vocabulary, n):
+    """By a plain calculation, each row a document of its own."""
+    out = []
+    for g in {r[1] for r in rows}:
+        docs = [Counter(w for w in r[2].lower().split() if len(w) > 1 and w not in stop) for r in rows if r[1] == g]
+        df, total, mean = Counter(), Counter(), Counter()
+        for d in docs:
+            df.update(d.keys())
+            total.update(d)
+        kept = sorted(total, key=lambda t: (-total[t], t))[:vocabulary]
+        for d in docs:
+            w = {t: d[t] * (math.log((len(docs) + 1) / (df[t] + 1)) + 1) for t in kept if d[t]}
+            length = math.sqrt(sum(x * x for x in w.values()))
+            for t, x in w.items():
+                mean[t] += x / length / len(docs)
+        ranked = sorted(mean, key=lambda t: (-round(mean[t], 9), t))[:n]
+        out += [(g, i, t, round(mean[t], 7)) for i, t in enumerate(ranked, 1)]
+    return sorted(out, key=repr)
+
+
+def test_top_terms_take_each_row_as_a_document(spark):
+    """Ids that are null or repeat, in one group or in two, and a group without a name."""
+    texts = [t for _, t in _documents(80, 3)]
+    rows = [((None, "a", f"d{i % 5}")[i % 3], (None, 1, 2)[i % 7 % 3], t) for i, t in enumerate(texts)]
+    posts = spark.createDataFrame(rows, "id string, cluster int, text string")
+    for options in ({}, {"max_pairs": 0}):
+        found = summarise.top_terms(posts, stop_words=["the"], vocabulary=8, n=6, **options)
+        got = sorted(((r.cluster, r["rank"], r.term, round(r.weight, 7)) for r in found.collect()), key=repr)
+        assert got == _top_terms(rows, {"the"}, 8, 6)
+    plan = summarise.top_terms(posts, stop_words=["the"])._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(id" in line]
+
+
+def test_gap_examples_without_ids(spark, tmp_path):
+    """Posts without id, or with another's, keep their own phrases; a stored table gives the same."""
+    rows = [(None, 0, 100 - i, f"i can't do it{i}") for i in range(6)] + [("a", 1, 50, "i can't see"), ("a", 1, 40, "i can't hear"), ("a", 0, 10, "fine")]
+    posts = spark.createDataFrame(rows, "id string, cluster int, created_utc long, text string")
+    posts.write.parquet(str(tmp_path / "posts"))
+    expected = [(0, i + 1, f"i can't do it{i}") for i in range(4)] + [(1, 1, "i can't see"), (1, 2, "i can't hear")]
+    for table in (posts, spark.read.parquet(str(tmp_path / "posts"))):
+        assert sorted(map(tuple, summarise.gap_examples(table, read=4).collect())) == expected
+
+
 def test_lexicons_of_any_kind_score_the_same_inline_and_joined(spark):
     rows = [(f"w{i}", (i - 1000) / 500) for i in range(2000)] + [("w7", 3.5), ("w7", -3.5), (None, 1.0), ("w8", None)]
     lexicon = spark.createDataFrame(rows, "token string, valence double")

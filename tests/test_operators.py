@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
@@ -11,7 +12,7 @@ from postlens import schemas
 from postlens.operators import coverage, discover, evidence, select, termjoin, terms
 from postlens.operators.topn import first_per_key, top_n
 from postlens.plans import planning
-from postlens.sources import documents
+from postlens.sources import documents, readers, writers
 
 
 @pytest.fixture(scope="module")
@@ -217,6 +218,40 @@ def test_select_posts(spark, synonyms):
     assert sorted(r.id for r in wanted_first.collect()) == ["a", "a", "g"]
 
 
+def test_select_posts_of_a_stored_table(spark, synonyms, tmp_path):
+    """Ids that repeat or are missing, several files: the same posts as from rows, and no sort that holds a text."""
+    rng = random.Random(8)
+    rows = [
+        (None if i % 13 == 0 else f"p{i % 70}", rng.choice(["one", "two", "three"]), AS_OF - 10.0 * i, f"title {i}",
+         rng.choice(["export of words", "log in please", "nothing", "export idiot"]) + f" {i}", None, rng.randrange(60), 1)
+        for i in range(200)
+    ]
+    raw = _raw(spark, rows).repartition(5)
+    plans = _plans(spark, [
+        (1, ["r/one"], (1, 20, 40), (["export"], ["IDIOT"])), (2, ["r/one", "r/two"], (0, 0, 100), ([], [])),
+        (3, [], (1, 0, 60), (["log in", "export"], [])),
+    ])
+    writers.write_raw_table(raw, str(tmp_path / "raw"))
+    stored = readers.read_parquet(spark, str(tmp_path / "raw"))
+    counters = Observation("searched"), Observation("judged")
+    found = select.select_posts(stored, plans, synonyms, AS_OF, counters)
+    key = lambda r: (r.plan_id, r.id or "", r.title, r.selftext, r.upvotes, r.source)
+    rows_found = sorted(map(key, found.collect()))
+    assert rows_found == sorted(map(key, select.select_posts(raw, plans, synonyms, AS_OF).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Sort [" in line and "selftext" in line]
+    funnel = select.selection_funnel(stored, plans, synonyms, AS_OF).collect()
+    assert sorted(map(tuple, funnel)) == sorted(map(tuple, select.selection_funnel(raw, plans, synonyms, AS_OF).collect()))
+    told = {**counters[0].get, **counters[1].get}
+    assert all(total == sum(r[name] for r in funnel) for name, total in told.items()) and told["kept_rows"] == len(rows_found)
+    for limit in (7, 90):
+        asked = (["export", "log in"], AS_OF - 2_592_000, limit, 10)
+        ids = lambda df: sorted((r.id or "", r.title) for r in df.collect())
+        assert ids(select.search_keywords(stored, *asked)) == ids(select.search_keywords(raw, *asked))
+        asked = (["r/one", "r/two"], AS_OF - 2_592_000, limit, 10)
+        assert ids(select.search_communities(stored, *asked)) == ids(select.search_communities(raw, *asked))
+
+
 def test_select_posts_without_plans(spark, synonyms):
     assert select.select_posts(_raw(spark, []), _plans(spark, []), synonyms, AS_OF).count() == 0
 
