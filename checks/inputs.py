@@ -199,6 +199,16 @@ class Inputs:
             F.struct(text_list("keywords").alias("keywords"), text_list("exclude").alias("exclude")).alias("filters"),
         )
 
+    @cached_property
+    def all_search_plans(self) -> DataFrame:
+        """A plan to search posts with, for every prompt of the table."""
+        text_list = lambda *names: F.filter(F.split(F.concat_ws(",", *names), ","), lambda x: x != "")
+        return self.prompts.select(
+            "plan_id", F.filter(F.split("communities", "[, ]+"), lambda x: x != "").alias("communities"),
+            F.struct(F.lit(1).alias("months"), F.lit(20).alias("min_upvotes"), F.lit(40).alias("limit")).alias("params"),
+            F.struct(text_list("must_terms", "should_terms").alias("keywords"), text_list("exclude_terms").alias("exclude")).alias("filters"),
+        )
+
     @cached_property
     def search_prompts(self) -> DataFrame:
         flat = fixed.inline_table(self.spark, "plan_id, prompt, keywords, report_type", SEARCH_PROMPTS)

@@ -19,7 +19,7 @@ from postlens.functions import text as t
 from postlens.operators import cluster, coverage, discover, evidence, features, select, sentiment, summarise, termjoin, terms
 from postlens.operators.topn import first_per_key, top_n
 from postlens.sources import readers, writers
-from postlens.sources.posts import newest_first
+from postlens.sources.posts import newest_first, to_posts
 from postlens.streaming import ingest
 
 # --- search with fixed arguments ---------------------------------------------------------------------
@@ -90,13 +90,7 @@ def _rows(rows) -> str:
     return ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
 
 
-_SELECTION = f"""
-, plans(plan_id, since, min_upvotes, lim) as (values {_rows(
-    (p, AS_OF - m * fixed.SECONDS_PER_MONTH, u, n) for p, _, _, _, m, u, n in SEARCH_PLANS)}),
-asked(plan_id, cpos, subreddit) as (values {_rows(
-    (p, i, name.replace('r/', '')) for p, names, *_ in SEARCH_PLANS for i, name in enumerate(names))}),
-kw(plan_id, term) as (values {_rows((p, k.lower()) for p, _, ks, *_ in SEARCH_PLANS for k in ks)}),
-ex(plan_id, term) as (values {_rows((p, k.lower()) for p, _, _, xs, *_ in SEARCH_PLANS for k in xs)}),
+_SEARCHES_OF_PLANS = """
 items as (select *, lower(concat(title, ' ', selftext)) as low from raw),
 pass1 as (select * from (
   select p.plan_id, 1 as pass_no, cpos, r.*, p.min_upvotes, p.lim,
@@ -115,6 +109,24 @@ uniq as (select * from (select *, row_number() over (partition by plan_id, id
 judged as (select u.*, exists (select 1 from ex where ex.plan_id = u.plan_id and contains(low, ex.term)) as excluded,
   not exists (select 1 from kw where kw.plan_id = u.plan_id)
     or exists (select 1 from kw where kw.plan_id = u.plan_id and contains(low, kw.term)) as included from uniq u)"""
+_SELECTION = f"""
+, plans(plan_id, since, min_upvotes, lim) as (values {_rows(
+    (p, AS_OF - m * fixed.SECONDS_PER_MONTH, u, n) for p, _, _, _, m, u, n in SEARCH_PLANS)}),
+asked(plan_id, cpos, subreddit) as (values {_rows(
+    (p, i, name.replace('r/', '')) for p, names, *_ in SEARCH_PLANS for i, name in enumerate(names))}),
+kw(plan_id, term) as (values {_rows((p, k.lower()) for p, _, ks, *_ in SEARCH_PLANS for k in ks)}),
+ex(plan_id, term) as (values {_rows((p, k.lower()) for p, _, _, xs, *_ in SEARCH_PLANS for k in xs)}),
+""" + _SEARCHES_OF_PLANS
+_ALL_SELECTION = f"""
+, plans as (select plan_id, {SINCE} as since, 20 as min_upvotes, 40 as lim from prompts),
+asked as (select plan_id, i - 1 as cpos, replace(name, 'r/', '') as subreddit from (
+  select plan_id, unnest(c) as name, generate_subscripts(c, 1) as i from (
+    select plan_id, regexp_extract_all(communities, '[^, ]+') as c from prompts))),
+kw as (select distinct plan_id, lower(trim(t)) as term from (
+  select plan_id, unnest(string_split(concat(must_terms, ',', should_terms), ',')) as t from prompts) where trim(t) <> ''),
+ex as (select distinct plan_id, lower(trim(t)) as term from (
+  select plan_id, unnest(string_split(exclude_terms, ',')) as t from prompts) where trim(t) <> ''),
+""" + _SEARCHES_OF_PLANS
 
 
 @query("e5_posts_of_plan_communities", _SELECTION + " select plan_id, id, subreddit, created_utc from pass1", ("raw",))
@@ -143,6 +155,17 @@ def select_posts(c: Inputs):
     return found.select("plan_id", "id", "community", "created_utc", "upvotes", "source")
 
 
+@query("select_posts_all_prompts", _ALL_SELECTION + """
+select plan_id, id, concat('r/', subreddit) as community, cast(created_utc as bigint) as created_utc,
+  cast(coalesce(score, 0) as int) as upvotes,
+  case pass_no when 1 then 'community_search' else 'keyword_search' end as source
+from judged where included and not excluded""", ("raw", "prompts"))
+def select_posts_all(c: Inputs):
+    """The posts of a plan for every prompt of the table, all at once."""
+    found = select.select_posts(c.raw, c.all_search_plans, c.synonyms, AS_OF)
+    return found.select("plan_id", "id", "community", "created_utc", "upvotes", "source")
+
+
 @query("select_posts_of_stored_table", _SELECTION + """
 select plan_id, id, concat('r/', subreddit) as community, cast(created_utc as bigint) as created_utc,
   md5(trim(regexp_replace(selftext, '\\s+', ' ', 'g'))) as text, cast(coalesce(score, 0) as int) as upvotes
@@ -249,7 +272,7 @@ _FALLBACK_VALUES = ", ".join(
 )
 
 
-@query("f2_discover", _SEARCH_PROMPTS + _FOUND + f""",
+_DISCOVERY = f""",
 pieces as (select plan_id, pos, 0 as cpos, lower(term) as piece from english
   union all select plan_id, pos, generate_subscripts(items, 1), unnest(items) from (
     select plan_id, pos, string_split(lower(term), ' ') as items from english)),
@@ -260,12 +283,21 @@ offers as (select plan_id, arg_min(community, (pos, cpos, spos, npos)) as commun
 chosen as (select plan_id, pos, community from ranked where pos <= 8 union all
   select plan_id, pos, community from offers where pos <= 8 and plan_id not in (select plan_id from counts))
 select p.plan_id, coalesce(string_agg(community, '|' order by pos), '') as communities
-from prompts p left join chosen c on p.plan_id = c.plan_id group by p.plan_id""")
+from prompts p left join chosen c on p.plan_id = c.plan_id group by p.plan_id"""
+
+
+@query("f2_discover", _SEARCH_PROMPTS + _FOUND + _DISCOVERY)
 def f2(c: Inputs):
     found = discover.discover(c.search_prompts, c.posts, c.synonyms, AS_OF, months=1)
     return found.select("plan_id", F.array_join("communities", "|").alias("communities"))
 
 
+@query("f2_discover_all_prompts", _folded(_FOUND + _DISCOVERY), ("posts", "prompts"))
+def f2_all(c: Inputs):
+    found = discover.discover(c.prompts, c.posts, c.synonyms, AS_OF, months=1)
+    return found.select("plan_id", F.array_join("communities", "|").alias("communities"))
+
+
 # --- sentiment ---------------------------------------------------------------------------------------
 
 _LEX = ", ".join(f"('{w}', {v}::double)" for w, v in fixed.SEED_LEXICON.items())
@@ -453,6 +485,13 @@ def e9(c: Inputs):
     return rows.drop("context").withColumn("lines", F.array_join("lines", "\n"))
 
 
+@query("e9_evidence_rows_all_prompts", _PLAIN + _folded(_MATCHING) + _LINES + f"""
+select plan_id, matched, total, {_NOTE} as coverage_note, lines from counted join lines using (plan_id)""", ("posts", "prompts"))
+def e9_all(c: Inputs):
+    rows = evidence.evidence(recovery_point(_pained(c)), c.evidence_plans_of(c.prompts), c.synonyms)
+    return rows.drop("context").withColumn("lines", F.array_join("lines", "\n"))
+
+
 @query("b19_evidence_context", _EVIDENCE + _LINES + f""",
 musts as (select plan_id, string_agg(x, ', ' order by i) as must from (
   select plan_id, arg_min(x, i) as x, min(i) as i from (select plan_id, unnest(k) as x, generate_subscripts(k, 1) as i from (
@@ -623,8 +662,90 @@ def j8(c: Inputs):
     return posts.select("id", "cluster")
 
 
-# The labels depend on random starts; what SQL can state is that all posts have one, within bounds.
-@query("j4_kmeans_clusters", "select count(*) as points, true as labels_within_bounds from posts")
+def _lloyd_ctes(name: str, k: int, rounds: int) -> str:
+    """``{name}_label(id, cluster)`` of ``pt(id)`` and ``vec(id, term, x)``: centres far apart, then rounds of means."""
+
+    def distances(centres: str) -> str:
+        return f"""select p.id, c.cluster, round(greatest(0, p.sq + c.sq - 2 * coalesce(dot, 0)), 9) as d
+  from sq p cross join (select n.cluster, coalesce(sum(x * x), 0) as sq from (select unnest(range({k})) as cluster) n
+    left join {centres} e on n.cluster = e.cluster group by n.cluster) c
+  left join (select v.id, e.cluster, sum(v.x * e.x) as dot from vec v join {centres} e using (term) group by all) t
+    on t.id = p.id and t.cluster = c.cluster"""
+
+    parts = [f"{name}_c0 as materialized (select cluster, term, x from far join vec using (id) where cluster < {k})"]
+    for r in range(rounds + 1):
+        parts.append(f"{name}_a{r} as materialized (select id, arg_min(cluster, (d, cluster)) as cluster from ({distances(f'{name}_c{r}')}) group by id)")
+        parts.append(f"""{name}_c{r + 1} as materialized (
+  select cluster, term, sum(x) / any_value(n) as x from {name}_a{r} join vec using (id) join (
+    select cluster, count(*) as n from {name}_a{r} group by cluster) using (cluster) group by cluster, term
+  union all select cluster, term, x from {name}_c{r} where cluster not in (select cluster from {name}_a{r}))""")
+    parts.append(f"{name}_label as materialized (select id, cluster::int as cluster from {name}_a{rounds})")
+    return ",\n".join(parts)
+
+
+def _far_ctes(k: int) -> str:
+    """``far(id, cluster)``: the first point by id, then always the one farthest from those before."""
+    to = "round(greatest(0, p.sq + c.sq - 2 * coalesce(sum(v.x * w.x), 0)), 9)"
+    parts = ["sq as materialized (select id, coalesce(sum(x * x), 0) as sq from pt left join vec using (id) group by id)",
+             "f0 as materialized (select min(id) as id from pt)"]
+    for i in range(1, k):
+        before = f"join m{i - 1} b using (id)" if i > 1 else ""
+        least = "least(b.d, e.d)" if i > 1 else "e.d"
+        parts.append(f"""m{i} as materialized (select id, {least} as d from (
+  select p.id, {to} as d from sq p cross join (select sq.id, sq.sq from sq join f{i - 1} using (id)) c
+  left join vec v on v.id = p.id left join vec w on w.id = c.id and w.term = v.term group by p.id, p.sq, c.sq) e {before})""")
+        parts.append(f"f{i} as materialized (select arg_min(id, (-d, id)) as id from m{i})")
+    parts.append("far(id, cluster) as materialized (" + " union all ".join(f"select id, {i} from f{i}" for i in range(k)) + ")")
+    return ",\n".join(parts)
+
+
+_POST_POINTS = _VOCAB + ", pt as (select id from posts), vec as materialized (select id, term, tfidf as x from tfidf), "
+
+
+@query("j4_kmeans_from_far_points", _POST_POINTS + _far_ctes(6) + ", " + _lloyd_ctes("k6", 6, 3) + """
+select id, cluster from k6_label""")
+def j4_far(c: Inputs):
+    """The cluster of every post: six centres far apart, three rounds."""
+    termed = features.with_terms(_texts(c).select("id", "text"), STOP)
+    vectors = recovery_point(features.TfIdf.fit(termed).transform(termed).select("id", "features"))
+    centres = cluster.fit_from_far(vectors, 6, rounds=3)
+    return cluster.labelled(cluster.points(vectors, "features", "id"), centres).select("id", "cluster")
+
+
+_KS = (2, 3, 4)
+_VECTOR_POINTS = """with pt as (select vec_id as id from embeddings), vec as materialized (
+  select vec_id as id, generate_subscripts(embedding, 1) as term, unnest(embedding)::double as x from embeddings), """
+
+
+def _score_ctes(name: str) -> str:
+    """``{name}_score(score)``: the silhouette over squared distances, from sizes, means and mean squares of clusters."""
+    return f"""{name}_of as materialized (select cluster, count(*) as n, avg(sq) as sq from {name}_label join sq using (id) group by cluster),
+{name}_mean as materialized (select cluster, term, sum(x) / any_value(n) as x from {name}_label join vec using (id) join {name}_of using (cluster) group by all),
+{name}_d as materialized (select l.id, l.cluster as own, o.cluster, n, greatest(0, s.sq + o.sq - 2 * coalesce(dot, 0)) as d
+  from {name}_label l join sq s using (id) cross join {name}_of o
+  left join (select v.id, m.cluster, sum(v.x * m.x) as dot from vec v join {name}_mean m using (term) group by all) t
+    on t.id = l.id and t.cluster = o.cluster),
+{name}_ab as (select id, max(case when n > 1 then d * n / (n - 1) end) filter (cluster = own) as a, min(d) filter (cluster <> own) as b
+  from {name}_d group by id),
+{name}_score as materialized (select round(avg(case when a is null then 0 else (b - a) / greatest(a, b) end), 9) as score from {name}_ab)"""
+
+
+@query("j6_best_k_from_far_points", _VECTOR_POINTS + _far_ctes(max(_KS)) + ", " + ", ".join(
+    _lloyd_ctes(f"k{k}", k, 2) + ", " + _score_ctes(f"k{k}") for k in _KS) + ", scores as (" + " union all ".join(
+    f"select {k} as k, score from k{k}_score" for k in _KS) + "), best as (select arg_max(k, (score, -k)) as k from scores) " + " union all ".join(
+    f"select id as vec_id, cluster, {k}::int as k from k{k}_label where (select k from best) = {k}" for k in _KS), ())
+def j6_far(c: Inputs):
+    """The k of the best silhouette and the cluster of every vector."""
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = c.table("embeddings").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding")).alias("features"))
+    centres = cluster.best_k_from_far(vectors, _KS[0], _KS[-1], rounds=2)
+    found = cluster.labelled(cluster.points(vectors, "features", "id"), centres)
+    return found.select(F.col("id").alias("vec_id"), "cluster", F.lit(len(centres)).alias("k"))
+
+
+# The labels of random starts are no matter of SQL; see the two queries above for labels that are compared.
+@query("j4_kmeans_clusters")
 def j4(c: Inputs):
     termed = features.with_terms(_texts(c).select("id", "text"), STOP)
     vectors = recovery_point(features.TfIdf.fit(termed).transform(termed).select("id", "features"))
@@ -634,7 +755,7 @@ def j4(c: Inputs):
     )
 
 
-@query("j6_best_k", "select count(*) as points, true as labels_within_bounds, true as k_within_bounds from posts")
+@query("j6_best_k")
 def j6(c: Inputs):
     posts, k = cluster.clustered(_texts(c).select("id", "text"), stop_words=STOP)
     return posts.agg(
@@ -643,7 +764,30 @@ def j6(c: Inputs):
     )
 
 
-@query("f9_cluster_report")
+def _report(cluster_of: str, k: int) -> str:
+    """``report(line_no, line)`` of the scored posts in the given clusters."""
+    grouped = lambda sql: sql.replace("from posts", "from grouped")
+    return _PLAIN + f", grouped as (select * replace (cast({cluster_of} as varchar) as community) from pained)" + grouped(
+        _TOP_TERMS) + grouped(_GAPS) + f""",
+gaps as (select community, gap, row_number() over (partition by community order by min((nth, k))) as pos from phrases group by community, gap),
+best as (select *, row_number() over (partition by community order by pain_score desc, id) as rank from grouped),
+body as (
+  select community, 0 as kind, 0 as pos, concat('## Cluster ', community, ' — size ', count(*), ' — avg pain ', printf('%.2f', avg(pain_score))) as line
+  from grouped group by community
+  union all select community, 1, 0, concat('**Top terms:** ', string_agg(term, ', ' order by rank)) from ranks where rank <= 10 group by community
+  union all select community, 2, 0, '**Gap hints:**' from gaps group by community
+  union all select community, 2, pos, concat('- ', gap) from gaps where pos <= 10
+  union all select community, 3, 0, '**Painful posts:**' from best group by community
+  union all select community, 3, rank, concat('- [', title, '](', url, ')  (↑', upvotes, ', 💬', num_comments, ', pain ', pain_score, ')')
+  from best where rank <= 5
+  union all select community, 4, 0, '' from grouped group by community),
+report as (
+  select (community::int * 1000 + 999 + row_number() over (partition by community order by kind, pos))::int as line_no, line from body
+  union all select unnest([0, 1, 2, 3])::int, unnest(['# Pain Map', concat('- Items: **', n, '**'), '- Clusters: **{k}**', ''])
+  from (select count(*) as n from grouped))"""
+
+
+@query("f9_cluster_report", _report(r"regexp_extract(community, '\d+')", 20) + " select line_no, line from report")
 def f9(c: Inputs):
     grouped = recovery_point(_pained(c).withColumn("cluster", F.regexp_extract("community", r"\d+", 0).cast("int")))
     summaries = summarise.cluster_summaries(grouped, stop_words=STOP)
@@ -673,6 +817,33 @@ def m1(c: Inputs):
     return c.spark.read.parquet(f"{folder}/out").select("id", "community", "sentiment", "pain_score")
 
 
+@query("m1_stream_with_ledger", _PLAIN + """
+select id, community, sentiment, pain_score from pained where upvotes >= 20""")
+def m1_once(c: Inputs):
+    """Two runs of a stream, the second with every item again: the ledger of the sink leaves those out."""
+    folder = _folder(c, "ledger")
+    raw = c.posts.select(
+        "id", F.replace("community", F.lit("r/"), F.lit("")).alias("subreddit"),
+        F.col("created_utc").cast("double").alias("created_utc"), "title", "selftext", F.col("url").alias("full_link"),
+        F.col("upvotes").cast("long").alias("score"), F.col("num_comments").cast("long").alias("num_comments"),
+    )
+    for part in (raw.where("score % 2 = 0"), raw):
+        part.write.mode("append").json(f"{folder}/in")
+        stream = ingest.read_stream(c.spark, f"{folder}/in")
+        ingest.write_once(stream, c.lexicon, f"{folder}/out", f"{folder}/state", 20, rules=False).awaitTermination()
+    return c.spark.read.parquet(f"{folder}/out/posts").select("id", "community", "sentiment", "pain_score")
+
+
+@query("b13_fetch_stamp", "select count(*) as posts, 1::bigint as stamps, 0::bigint as missing, true as recent from raw", ("raw",))
+def b13(c: Inputs):
+    """All posts of one query have one stamp, that of its start."""
+    posts = to_posts(c.raw, "query")
+    return posts.agg(
+        F.count("*").alias("posts"), F.count_distinct("fetched_at").alias("stamps"), F.count_if(F.col("fetched_at").isNull()).alias("missing"),
+        F.every(F.col("fetched_at") > F.current_timestamp() - F.expr("interval 1 day")).alias("recent"),
+    )
+
+
 # --- sources and sinks that write ----------------------------------------------------------------------
 
 @query("a1_a2_jsonl_round_trip", "select id, subreddit, created_utc, selftext, score, num_comments from raw", ("raw",))
@@ -714,7 +885,8 @@ def a9(c: Inputs):
     return lines.withColumn("line_no", F.row_number().over(Window.orderBy("line_no")) + 998)
 
 
-@query("a11_report_sink")
+@query("a11_report_sink", _report("upvotes % 6", 6) + """
+select unnest(string_split(line, chr(10))) as value from report""")
 def a11(c: Inputs):
     grouped = recovery_point(_pained(c).withColumn("cluster", F.col("upvotes") % 6))
     folder = _folder(c, "report")

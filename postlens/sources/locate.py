@@ -6,9 +6,8 @@ and its number in it, which the reader knows without reading anything else.
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +27,7 @@ def located(df: DataFrame) -> DataFrame:
 def _located(df: DataFrame) -> DataFrame | None:
     if set(LOCATOR) <= set(df.columns):
         return df
-    logger = logging.getLogger("DataFrameQueryContextLogger")
+    logger = PySparkLogger.getLogger("DataFrameQueryContextLogger")
     quiet, logger.disabled = logger.disabled, True  # a plan without files is no error here
     try:
         return _named(df)

@@ -186,6 +186,50 @@ def test_best_k_and_its_guards(spark):
     assert k == 1 and alone.count() == 60
 
 
+def _far_and_lloyd(rows, k, rounds):
+    """A plain calculation over ``(id, point)``."""
+    d = lambda p, c: round(sum((a - b) ** 2 for a, b in zip(p, c)), 9)
+    centres = [min(rows)[1]]
+    while len(centres) < k:
+        away = min(rows, key=lambda r: (-min(d(r[1], c) for c in centres), r))
+        if min(d(away[1], c) for c in centres) == 0:
+            break
+        centres.append(away[1])
+    label = lambda p: min(range(len(centres)), key=lambda j: (d(p, centres[j]), j))
+    for _ in range(rounds):
+        groups = [[p for _, p in rows if label(p) == j] for j in range(len(centres))]
+        centres = [[sum(x) / len(g) for x in zip(*g)] if g else c for g, c in zip(groups, centres)]
+    return {i: label(p) for i, p in rows}
+
+
+def test_centres_that_start_far_apart(spark):
+    rng = random.Random(6)
+    rows = [(f"p{i:03}", [0.0 if rng.random() < 0.5 else rng.gauss(4 * (i % 3), 1) for _ in range(6)]) for i in range(80)]
+    rows += [(f"q{i}", [0.0] * 6) for i in range(4)] + [("r0", rows[5][1]), ("r1", rows[5][1])]
+    sparse = lambda p: Vectors.sparse(6, [(j, x) for j, x in enumerate(p) if x])
+    for kind in (Vectors.dense, sparse):
+        vectors = spark.createDataFrame([(i, kind(p)) for i, p in rows], ["id", "features"]).repartition(3)
+        for k, rounds in ((1, 2), (4, 0), (5, 3)):
+            centres = cluster.fit_from_far(vectors, k, rounds)
+            found = cluster.labelled(cluster.points(vectors, "features", "id"), centres).collect()
+            assert {r.id: r.cluster for r in found} == _far_and_lloyd(rows, k, rounds)
+    few = spark.createDataFrame([("a", Vectors.dense([1.0])), ("b", Vectors.dense([1.0])), ("c", Vectors.dense([2.0]))], ["id", "features"])
+    assert len(cluster.fit_from_far(few, 3)) == 2 and len(cluster.fit_from_far(few.limit(0), 3)) == 0
+    assert len(cluster.best_k_from_far(few, 2, 3)) == 2
+
+
+def test_clusters_from_far_points(spark):
+    posts = spark.createDataFrame([*_documents(), (None, "w1 w2 w3"), (None, "w1 w2 w3")], "id string, text string")
+    runs = []
+    for parts in (1, 5):
+        found, k = cluster.clustered(posts.repartition(parts), 2, 4, ["the"], min_docs=2, start="far", rounds=5)
+        runs.append(sorted(map(repr, found.select("id", "text", "cluster").collect())))
+        assert found.count() == 62 and 2 <= k <= 4
+    assert runs[0] == runs[1]
+    with pytest.raises(ValueError):
+        cluster.clustered(posts, start="near")
+
+
 def test_clusters_are_repeatable(spark):
     posts = spark.createDataFrame(_documents(), "id string, text string").where("length(text) > 0")
     runs = []

@@ -142,6 +142,26 @@ def test_the_first_copy_counts_even_if_excluded(spark):
     assert ingest.ingest(raw, fixed.lexicon_table(spark), exclude=["bad"]).count() == 0
 
 
+def test_no_id_is_written_twice(spark, tmp_path):
+    """Three runs with ids that come again long after; a batch that is done again changes nothing."""
+    raw = spark.createDataFrame(_raw_rows(60), schemas.RAW_POST).cache()
+    nameless = raw.limit(3).withColumn("id", F.lit(None).cast("string"))
+    lexicon = fixed.lexicon_table(spark)
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for part in range(3):
+        later = raw.where(F.col("num_comments") % 3 == part).unionByName(raw.where("num_comments < 20")).unionByName(nameless)
+        later.withColumn("selftext", F.concat("selftext", F.lit(f" in run {part}"))).coalesce(1).write.mode("append").json(str(source))
+        stream = ingest.read_stream(spark, str(source), 1)
+        ingest.write_once(stream, lexicon, out, str(tmp_path / "state"), 10, exclude=["number 7"]).awaitTermination()
+    ids = lambda name: [r.id for r in spark.read.parquet(f"{out}/{name}").collect()]
+    assert len(ids("posts")) == len(set(ids("posts"))) and len(ids("ledger")) == len(set(ids("ledger")))
+    batch = ingest.ingest(raw, lexicon, 10, exclude=["number 7"])
+    assert {i for i in ids("posts") if i} == {r.id for r in batch.collect()}
+    runs = {r.id: r.selftext[-1] for r in spark.read.parquet(f"{out}/posts").collect() if r.id}
+    first = {r.id: str(0 if r.num_comments < 20 else r.num_comments % 3) for r in raw.collect()}
+    assert runs and all(first[i] == run for i, run in runs.items())
+
+
 def test_stream_equals_batch(spark, tmp_path):
     raw = spark.createDataFrame(_raw_rows(90), schemas.RAW_POST).cache()
     lexicon = fixed.lexicon_table(spark)
