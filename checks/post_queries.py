@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks.inputs import AS_OF, SEARCH_PLANS, SEARCH_PROMPTS, SINCE, STOP, Inputs
 from checks.registry import query
 from checks.term_queries import EXPANSION, token_ctes
-from checks.text_queries import _ENGLISH, TEXT, _quoted
+from checks.text_queries import _ENGLISH, _POST_SQL, TEXT, _quoted
 from postlens import fixed_values as fixed
 from postlens import schemas
 from postlens.config import recovery_point, shared_folder
@@ -18,6 +18,7 @@ from postlens.functions import match
 from postlens.functions import text as t
 from postlens.operators import cluster, coverage, discover, evidence, features, select, sentiment, summarise, termjoin, terms
 from postlens.operators.topn import first_per_key, top_n
+from postlens.plans import flows
 from postlens.sources import readers, writers
 from postlens.sources.posts import newest_first, to_posts
 from postlens.streaming import ingest
@@ -138,6 +139,19 @@ def e5(c: Inputs):
     )
 
 
+@query("e5_communities_of_bucketed_table", _ALL_SELECTION + " select plan_id, id, subreddit, created_utc from pass1", ("raw", "prompts"))
+def e5_bucketed(c: Inputs):
+    """The communities of a plan for every prompt, joined with a table in buckets: its rows are not shuffled for that."""
+    name = f"raw_{uuid4().hex}"
+    writers.write_bucketed_table(c.raw, name, _folder(c, "buckets"), buckets=16, slices=4)
+    searches = select.Searches.of(c.all_search_plans, AS_OF)
+    found = select.community_pass(readers.read_table(c.spark, name), searches, slices=4, max_broadcast=0)
+    return found.select(
+        "plan_id", "id", F.replace("community", F.lit("r/"), F.lit("")).alias("subreddit"),
+        F.col("created_utc").cast("double").alias("created_utc"),
+    )
+
+
 @query("i1_union_of_passes", _SELECTION + """
 select plan_id, pass_no::int as pass_no, id, cast(created_utc as bigint) as created_utc from both_passes""", ("raw",))
 def i1(c: Inputs):
@@ -764,10 +778,10 @@ def j6(c: Inputs):
     )
 
 
-def _report(cluster_of: str, k: int) -> str:
-    """``report(line_no, line)`` of the scored posts in the given clusters."""
+def _report(cluster_of: str, k: int, before: str = "") -> str:
+    """``report(line_no, line)`` of the scored posts in the given clusters, which may need more tables ``before``."""
     grouped = lambda sql: sql.replace("from posts", "from grouped")
-    return _PLAIN + f", grouped as (select * replace (cast({cluster_of} as varchar) as community) from pained)" + grouped(
+    return _PLAIN + before + f", grouped as (select * replace (cast({cluster_of} as varchar) as community) from pained)" + grouped(
         _TOP_TERMS) + grouped(_GAPS) + f""",
 gaps as (select community, gap, row_number() over (partition by community order by min((nth, k))) as pos from phrases group by community, gap),
 best as (select *, row_number() over (partition by community order by pain_score desc, id) as rank from grouped),
@@ -794,6 +808,32 @@ def f9(c: Inputs):
     return summarise.report_lines(summaries, grouped, 20)
 
 
+# Clusters of the scored posts themselves: six centres far apart, three rounds.
+_FAR_OF_SCORED = ", found as materialized (with posts as (select * from pained)" + _POST_POINTS + _far_ctes(6) + ", " + _lloyd_ctes(
+    "k6", 6, 3) + " select id, cluster from k6_label)"
+_FAR_REPORT = _report("(select cluster from found where found.id = pained.id)", 6, _FAR_OF_SCORED) + " select line_no, line from report"
+_FAR = {"kmin": 6, "kmax": 6, "rules": False, "stop_words": STOP, "start": "far", "rounds": 3}
+
+
+@query("f9_report_of_found_clusters", _FAR_REPORT)
+def f9_found(c: Inputs):
+    """All posts scored, clustered and reported."""
+    _, _, report = flows.analyse(c.posts, c.lexicon, **_FAR)
+    return report
+
+
+@query("research_of_a_plan", _SELECTION + f""", selected as ({_POST_SQL} from judged
+  where plan_id = {SEARCH_PLANS[0][0]} and included and not excluded)
+select line_no, line from (with posts as (select * from selected) {_FAR_REPORT})""", ("raw",))
+def research(c: Inputs):
+    """From a plan and raw items to the report: searched, filtered, scored, clustered, summarised."""
+    asked = c.search_plans.where(F.col("plan_id") == SEARCH_PLANS[0][0]).withColumnRenamed("filters", "asked")
+    plan = c.evidence_plans.drop("communities", "params").join(asked, "plan_id").withColumn("filters", F.col("filters").withField(
+        "keywords", F.col("asked.keywords")).withField("exclude", F.col("asked.exclude"))).drop("asked")
+    _, _, report, _ = flows.research(c.raw, plan, c.synonyms, c.lexicon, AS_OF, **_FAR)
+    return report
+
+
 # --- streaming ---------------------------------------------------------------------------------------
 
 def _folder(c: Inputs, purpose: str) -> str:

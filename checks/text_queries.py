@@ -78,13 +78,15 @@ def b2(c: Inputs):
     return c.raw.select("id", t.permalink(F.col("full_link"), F.col("subreddit"), F.col("id")).alias("url"))
 
 
-@query("b3_raw_to_post", rf"""
+_POST_SQL = rf"""
 select id, concat('r/', subreddit) as community, cast(created_utc as bigint) as created_utc,
        trim(regexp_replace(title, '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g')) as title,
        trim(regexp_replace(selftext, '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g')) as selftext,
        {_LINK} as url, cast(coalesce(score, 0) as int) as upvotes,
-       cast(coalesce(num_comments, 0) as int) as num_comments, 'community_search' as source
-from raw""", ("raw",))
+       cast(coalesce(num_comments, 0) as int) as num_comments, 'community_search' as source"""
+
+
+@query("b3_raw_to_post", f"{_POST_SQL} from raw", ("raw",))
 def b3(c: Inputs):
     return source.to_posts(c.raw, select.COMMUNITY_SOURCE).drop("fetched_at")
 

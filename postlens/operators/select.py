@@ -21,6 +21,7 @@ from postlens.operators.terms import prompt_terms, selection_terms
 from postlens.operators.topn import first_per_key, top_n, top_slices
 from postlens.sources.locate import Late
 from postlens.sources.posts import in_window, to_posts
+from postlens.sources.writers import SLICE
 
 COMMUNITY_SOURCE = "community_search"
 KEYWORD_SOURCE = "keyword_search"
@@ -111,16 +112,24 @@ def _within_limit(found: DataFrame, groups: list[str], limit: int) -> DataFrame:
 _HIT = ["plan_id", "pass_no", "community_pos", *_RANKED]
 
 
-def community_hits(items: Late, searches: Searches) -> DataFrame:
-    """Narrow rows of each plan's communities."""
+def community_hits(items: Late, searches: Searches, slices: int = 0, max_broadcast: int = MAX_INLINE_ROWS) -> DataFrame:
+    """Narrow rows of each plan's communities.
+
+    Up to ``max_broadcast`` asked communities (counted) are sent to every task. More are joined; of a table that
+    ``write_bucketed_table`` made with so many ``slices``, the rows are joined where they are, bucket by bucket.
+    """
     asked = searches.plans.select(
         "plan_id", "since", "min_upvotes", "limit", F.posexplode("communities").alias("community_pos", "asked")
     ).withColumn("subreddit", F.replace("asked", F.lit("r/"), F.lit("")))
     asked = asked.drop("asked")
-    if asked.limit(MAX_INLINE_ROWS + 1).count() <= MAX_INLINE_ROWS:
+    keys = ["subreddit"]
+    if asked.limit(max_broadcast + 1).count() <= max_broadcast:
         # So few that every task can hold them: the posts, of which few communities have most, are not shuffled.
         asked = F.broadcast(asked)
-    found = in_window(items.rows, after=searches.since).select(*items.carried, *_RANKED).join(asked, "subreddit")
+    elif slices:
+        asked = asked.withColumn(SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        keys.append(SLICE)
+    found = in_window(items.rows, after=searches.since).select(*items.carried, *_RANKED, *keys[1:]).join(asked, keys)
     kept = _within_limit(found, ["plan_id", "community_pos"], searches.limit)
     return kept.withColumn("pass_no", F.lit(1)).select(*_HIT, *items.carried)
 
@@ -139,8 +148,8 @@ def keyword_hits(items: Late, searches: Searches, synonyms: DataFrame) -> DataFr
     return kept.withColumns({"pass_no": F.lit(2), "community_pos": F.lit(0)}).select(*_HIT, *items.carried)
 
 
-def both_hits(items: Late, searches: Searches, synonyms: DataFrame) -> DataFrame:
-    return community_hits(items, searches).unionByName(keyword_hits(items, searches, synonyms))
+def both_hits(items: Late, searches: Searches, synonyms: DataFrame, slices: int = 0) -> DataFrame:
+    return community_hits(items, searches, slices).unionByName(keyword_hits(items, searches, synonyms))
 
 
 def _posts(items: Late, hits: DataFrame) -> DataFrame:
@@ -148,10 +157,10 @@ def _posts(items: Late, hits: DataFrame) -> DataFrame:
     return to_posts(items.fetch(hits), source)
 
 
-def community_pass(raw: DataFrame, searches: Searches) -> DataFrame:
-    """Posts of each plan's communities."""
+def community_pass(raw: DataFrame, searches: Searches, slices: int = 0, max_broadcast: int = MAX_INLINE_ROWS) -> DataFrame:
+    """Posts of each plan's communities; see ``community_hits``."""
     items = Late(raw, _WIDE)
-    return _posts(items, community_hits(items, searches))
+    return _posts(items, community_hits(items, searches, slices, max_broadcast))
 
 
 def keyword_pass(raw: DataFrame, searches: Searches, synonyms: DataFrame) -> DataFrame:
@@ -188,16 +197,18 @@ def unique_posts(items: Late, hits: DataFrame) -> DataFrame:
 
 
 def select_posts(raw: DataFrame, plans: DataFrame, synonyms: DataFrame, as_of: int,
-                 counters: tuple[Observation, Observation] | None = None) -> DataFrame:
+                 counters: tuple[Observation, Observation] | None = None, slices: int = 0) -> DataFrame:
     """Posts of each plan: searched, de-duplicated, without excluded terms, with included ones.
 
+    ``slices`` are those of a table by ``write_bucketed_table``, and 0 for any other.
+
     Two ``counters`` tell, after the query has run and without another pass, how many rows all plans have together: the
     first ``community_rows`` and ``keyword_rows``, the second ``unique_rows``, ``excluded_rows`` and ``kept_rows``. The
     first is filled when this function returns.
     """
     searches = Searches.of(plans, as_of)
     items = Late(raw, _WIDE)
-    hits = both_hits(items, searches, synonyms)
+    hits = both_hits(items, searches, synonyms, slices)
     if counters:
         hits = hits.observe(counters[0], *(F.count_if(F.col("pass_no") == n).alias(c) for n, c in _PASSES.items()))
     stages = judged(unique_posts(items, hits), searches)

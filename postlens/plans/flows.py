@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from postlens.config import recovery_point
 from postlens.operators import cluster, evidence, select, sentiment, summarise
 
 
@@ -18,7 +19,10 @@ def analyse(posts: DataFrame, lexicon: DataFrame, kmin: int = 6, kmax: int = 12,
 
 
 def research(raw: DataFrame, plan: DataFrame, synonyms: DataFrame, lexicon: DataFrame, as_of: int, **options):
-    """Everything for a plan table of one plan: analysed posts, summaries, report lines, evidence row."""
-    posts = select.select_posts(raw, plan, synonyms, as_of).drop("plan_id")
+    """Everything for a plan table of one plan: analysed posts, summaries, report lines, evidence row.
+
+    The selected posts are stored once: clusters, summaries and evidence read them several times.
+    """
+    posts = recovery_point(select.select_posts(raw, plan, synonyms, as_of).drop("plan_id"))
     analysed, summaries, report = analyse(posts, lexicon, **options)
     return analysed, summaries, report, evidence.evidence(analysed, plan, synonyms)

@@ -26,6 +26,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_table(spark: SparkSession, name: str) -> DataFrame:
+    """A table of the catalog, which knows the buckets that its rows are in."""
+    return spark.table(name)
+
+
 def empty_posts(spark: SparkSession, schema: T.StructType = schemas.ANALYSED_POST) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import Observation
@@ -13,6 +14,7 @@ from postlens.operators import coverage, discover, evidence, select, termjoin, t
 from postlens.operators.topn import first_per_key, top_n
 from postlens.plans import planning
 from postlens.sources import documents, readers, writers
+from postlens.sources.locate import Late
 
 
 @pytest.fixture(scope="module")
@@ -252,6 +254,41 @@ def test_select_posts_of_a_stored_table(spark, synonyms, tmp_path):
         assert ids(select.search_communities(stored, *asked)) == ids(select.search_communities(raw, *asked))
 
 
+def test_many_communities_of_a_bucketed_table(spark, tmp_path):
+    """Beyond the bound of a broadcast, posts in buckets are joined without being shuffled, and the rows are the same."""
+    rng = random.Random(5)
+    names = [f"s{i}" for i in range(300)]
+    # One community holds a third of all rows; some rows have no id or none of the asked communities.
+    rows = [
+        (None if i % 17 == 0 else f"p{i}", "s0" if i % 3 == 0 else rng.choice([*names, "elsewhere", None]), AS_OF - 10.0 * i,
+         f"title {i}", "text", None, rng.randrange(60), 1)
+        for i in range(3000)
+    ]
+    raw = _raw(spark, rows)
+    plans = _plans(spark, [(p, [f"r/{rng.choice(names)}" for _ in range(110)], (1, 10, 15), ([], [])) for p in range(200)])
+    writers.write_bucketed_table(raw, "many_communities", str(tmp_path / "raw"), buckets=6, slices=3)
+    stored, searches = readers.read_table(spark, "many_communities"), select.Searches.of(plans, AS_OF)
+    assert searches.plans.selectExpr("sum(size(communities))").first()[0] > select.MAX_INLINE_ROWS
+    files = [p.name for p in (tmp_path / "raw").rglob("*.parquet")]
+    assert len(files) <= 6 * len(list((tmp_path / "raw").glob("created_month=*")))
+    found = select.community_pass(stored, searches, slices=3)
+    key = lambda r: (r.plan_id, r.community_pos, r.community, r.id or "", r.title, r.created_utc, r.upvotes)
+    assert sorted(map(key, found.collect())) == sorted(map(key, select.community_pass(raw, searches, max_broadcast=10**6).collect()))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = select.community_hits(Late(stored, select._WIDE), searches, slices=3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SelectedBucketsCount: 6 out of 6" in plan
+    # The asked communities are shuffled to the buckets, the posts are not.
+    assert len(re.findall(r"Exchange hashpartitioning\(subreddit", plan)) == 1
+    assert len(re.findall("SortMergeJoin|ShuffledHashJoin", plan)) == 1
+
+
 def test_select_posts_without_plans(spark, synonyms):
     assert select.select_posts(_raw(spark, []), _plans(spark, []), synonyms, AS_OF).count() == 0
 
