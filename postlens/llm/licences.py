@@ -102,6 +102,10 @@ CORPUS_SAMPLE, MAX_FEATURES, VARIATIONS = 2_000, 4_000, 30
 WINDOW = 80
 #: Shares of a template's n-grams (or of the paragraph's, where it is shorter) that confirm a prediction.
 CONFIRMED = 0.6
+#: Width of lines that may go on in the next one.
+_WRAPPED = 40, 160
+#: Comment marks and white space at either end of a line.
+_MARKS = re.compile(r"""^(?:\s|/\*+|\*+/|//+|\*+|\#+|--+|;+|%+|<!--|-->|\"{3}|'{3}|(?i:rem|dnl)\s)+|(?:\s|\*+/|\*+|\#+|-->|\"{3}|'{3})+$""")
 _TOKEN = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -246,10 +250,33 @@ def best_template(words: list[str]) -> tuple[str, float]:
     return max(((f, likeness(words, f)) for f in TEMPLATES), key=lambda x: x[1])
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, list[str]]]:
-    """Number and words of each line; a long line comes in overlapping windows under one number."""
+def unwrapped(text: str) -> Iterator[tuple[int, str]]:
+    """Number of the first line, and text, of each paragraph.
+
+    A line of the width of wrapped text that ends within a sentence goes on in the next one; blank lines, and lines with
+    nothing but comment marks, end a paragraph. Comment marks around a line are no part of it.
+    """
+    start, held = 0, []
     for number, line in enumerate(text.split("\n")):
-        words = words_of(line)
+        bare = _MARKS.sub("", line)
+        if held and not bare:
+            yield start, " ".join(held)
+            held = []
+        if not bare:
+            continue
+        start = start if held else number
+        held.append(bare)
+        if not _WRAPPED[0] <= len(line.strip()) <= _WRAPPED[1] or bare[-1] in ".!?:":
+            yield start, " ".join(held)
+            held = []
+    if held:
+        yield start, " ".join(held)
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, list[str]]]:
+    """Number and words of each paragraph; a long one comes in overlapping windows under one number."""
+    for number, paragraph in unwrapped(text):
+        words = words_of(paragraph)
         if len(words) <= WINDOW:
             if words:
                 yield number, words

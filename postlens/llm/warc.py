@@ -3,11 +3,15 @@
 Archives are written by the text sink: a record ends with two line breaks, which are the sink's line separator. A block
 longer than ``segment`` bytes is cut into continuation records, so a bound on the records of a file bounds its size
 and one archive fits into a task. Continuations may lie in any archive: they are grouped by the id of their origin.
+An archive is unpacked and read record by record, so a task holds its bytes as stored and one record at a time. What
+cannot be read is a row with an error, and reading goes on at the next record.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from uuid import uuid4
@@ -22,6 +26,8 @@ from postlens.llm.common import checkpointed, shared_folder, written
 SEGMENT, RECORDS_PER_FILE, CHUNK = 16_384, 4_096, 4_096
 #: Payloads from this size on are stored once.
 REVISIT_FROM = 1_000
+#: Bytes that are unpacked at once, and bytes that a header may have.
+_PIECE, _LONGEST_HEAD = 1 << 18, 1 << 20
 _END = b"\r\n\r\n"
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -153,32 +159,117 @@ def write_pages(
 # Reading ---------------------------------------------------------------------------------------------------------
 
 
-def _plain(data: bytes) -> bytes:
-    """The bytes of an archive, of which gzip members are unpacked."""
+def _plain(data: bytes) -> Iterator[bytes]:
+    """The bytes of an archive piece by piece, of which gzip members are unpacked. Damaged members end it."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    parts = []
-    while data:
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(parts)
+        yield from (data[i : i + _PIECE] for i in range(0, len(data), _PIECE))
+        return
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(data) or not member.eof:
+        if member.eof:
+            member = zlib.decompressobj(31)
+        piece = data[at : at + _PIECE]
+        try:
+            out = member.decompress(piece, _PIECE)
+        except zlib.error:
+            return
+        at += len(piece) - len(member.unused_data if member.eof else member.unconsumed_tail)
+        if out:
+            yield out
+        elif not piece:
+            return  # the last member is cut off
+
+
+class _Window:
+    """The part of an archive that is being read."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.data = pieces, bytearray()
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        self.data += piece or b""
+        return piece is not None
+
+    def holds(self, n: int) -> bool:
+        while len(self.data) < n and self.more():
+            pass
+        return len(self.data) >= n
+
+    def find(self, mark: bytes, start: int = 0, within: int | None = None) -> int:
+        """Where the mark is from ``start`` on, at ``within`` at most; -1 if it is not there."""
+        while (at := self.data.find(mark, start)) < 0:
+            start = max(start, len(self.data) - len(mark) + 1)
+            if within is not None and start > within or not self.more():
+                return -1
+        return at if within is None or at <= within else -1
+
+    def skip_to_record(self, start: int = 0) -> None:
+        """Drop what is before the next record that begins after ``start``; nothing that is passed over is held."""
+        del self.data[:start]
+        mark = _END + b"WARC/"
+        while (at := self.data.find(mark)) < 0:
+            del self.data[: max(0, len(self.data) - len(mark) + 1)]
+            if not self.more():
+                self.data.clear()
+                return
+        del self.data[: at + 4]
+
+
+def read_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields (names in lower case), block, and what is wrong, of each record of an archive.
+
+    A record without a usable length, or whose block does not end where its length says, has no block; reading goes on
+    at the next line break before a version line. Bytes between records are reported as one record without fields.
+    """
+    window = _Window(pieces)
+    while window.holds(1):
+        if not (window.holds(5) and window.data.startswith(b"WARC/")):
+            yield {}, b"", "no record"
+            window.skip_to_record()
+            continue
+        end = window.find(_END, within=_LONGEST_HEAD)
+        if end < 0:
+            yield {}, b"", "header without end"
+            window.skip_to_record(5)
+            continue
+        lines = window.data[:end].decode("utf-8", "replace").split("\r\n")[1:]
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = _whole(fields.get("content-length"), 1 << 40)
+        if size is None or size < 0:
+            yield fields, b"", "header: content-length"
+            window.skip_to_record(end)
+            continue
+        start = end + 4
+        if not window.holds(start + size + 4) or window.data[start + size : start + size + 4] != _END:
+            yield fields, b"", "cut off"
+            window.skip_to_record(end)
+            continue
+        block = bytes(window.data[start : start + size])
+        del window.data[: start + size + 4]
+        yield fields, block, None
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.find(_END, at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start, size = end + 4, int(fields["content-length"])
-        if data[start + size : start + size + 4] != _END:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, data[start : start + size]
-        at = start + size + 4
+    """Header fields and block of each whole record of an archive in memory."""
+    return ((fields, block) for fields, block, error in read_records(_plain(data)) if error is None)
+
+
+def _whole(value: str | None, below: int) -> int | None:
+    """The whole number in a header field; None where there is none, or one out of bounds."""
+    if value is None or not re.fullmatch(r"-?[0-9]{1,19}", value):
+        return None
+    return int(value) if -below <= int(value) < below else None
+
+
+def _sha1(value: str | None) -> str | None:
+    """A SHA-1 in a header field in lower-case hex, also if it is in base 32; None for other kinds of digest."""
+    kind, mark, digest = (value or "").partition(":")
+    if kind.lower() != "sha1" or not mark:
+        return None
+    if re.fullmatch("[A-Za-z2-7]{32}", digest):
+        return base64.b32decode(digest.upper()).hex()
+    return digest.lower()
 
 
 def _name(value: str | None) -> str | None:
@@ -192,12 +283,12 @@ def _finished(row: dict, block: bytes, payloads: bool) -> dict:
     try:
         payload = http_payload(block)
     except ValueError as e:
-        return row | {"error": f"framing: {e}"}
+        return row | {"payload": None, "error": f"framing: {e}"}
     digest = hashlib.sha1(payload).hexdigest()
     wrong = row["digest"] is not None and row["digest"] != digest
     return row | {
         "payload": payload if payloads else None, "payload_bytes": len(payload), "digest": digest,
-        "error": "digest" if wrong else None,
+        "error": "digest" if wrong else row["error"],
     }
 
 
@@ -208,25 +299,37 @@ _SCHEMA = pa.schema(
 )
 
 
+def _row(fields: dict[str, str], error: str | None, place: str) -> dict:
+    """A row of a record's header; a number that cannot be read is null, and an error."""
+    numbers = {
+        name: _whole(fields.get(name), below)
+        for name, below in (("warc-segment-number", 1 << 31), ("warc-segment-total-length", 1 << 62), ("page-id", 1 << 63))
+    }
+    bad = [name for name, value in numbers.items() if value is None and name in fields]
+    own = _name(fields.get("warc-record-id"))
+    return {
+        "record_id": own, "type": fields.get("warc-type"),
+        # Records without any id are kept apart, and are spread, by where they are.
+        "origin": _name(fields.get("warc-segment-origin-id")) or own or place,
+        "segment": numbers["warc-segment-number"], "total": numbers["warc-segment-total-length"],
+        "uri": fields.get("warc-target-uri"), "page_id": numbers["page-id"], "refers_to": _name(fields.get("warc-refers-to")),
+        "digest": _sha1(fields.get("warc-payload-digest")), "error": error or (f"header: {', '.join(bad)}" if bad else None),
+    }
+
+
 def _scanned(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 out: list[dict] = []
                 size = 0
-                for fields, block in parsed(_plain(batch.column(0)[i].as_py())):
-                    number = fields.get("warc-segment-number")
-                    own, total = _name(fields.get("warc-record-id")), fields.get("warc-segment-total-length")
-                    page = fields.get("page-id")
-                    row = {
-                        "record_id": own, "type": fields.get("warc-type"),
-                        "origin": _name(fields.get("warc-segment-origin-id")) or own,
-                        "segment": number and int(number), "total": total and int(total),
-                        "uri": fields.get("warc-target-uri"), "page_id": page and int(page),
-                        "refers_to": _name(fields.get("warc-refers-to")),
-                        "digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
-                    }
-                    out.append(row | {"payload": block} if number else _finished(row, block, payloads))
+                path = batch.column(1)[i].as_py()
+                for k, (fields, block, error) in enumerate(read_records(_plain(batch.column(0)[i].as_py()))):
+                    row = _row(fields, error, f"{path}#{k}")
+                    if error or "warc-segment-number" in fields and row["segment"] is None:
+                        out.append(row | {"segment": None, "payload": None, "payload_bytes": None})
+                    else:
+                        out.append(row | {"payload": block} if row["segment"] is not None else _finished(row, block, payloads))
                     size += len(out[-1].get("payload") or b"") + 500
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(out, _SCHEMA)
@@ -242,7 +345,8 @@ def _together(rows: list[dict], payloads: bool) -> list[dict]:
     parts: dict[int, bytes] = {}
     for r in rows:
         parts.setdefault(r["segment"], r["payload"])
-    head = rows[0] | {"payload": None, "payload_bytes": None, "segment": len(parts), "error": None}
+    head = rows[0] | {"payload": None, "payload_bytes": None, "segment": len(parts)}
+    head["error"] = next((r["error"] for r in rows if r["error"]), None)
     total = next((r["total"] for r in reversed(rows) if r["total"] is not None), None)
     block = b"".join(parts.values())
     if list(parts) != list(range(1, len(parts) + 1)) or total is None:
@@ -278,9 +382,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """The records of all archives in a folder, segments put together, framing decoded (columns: ``RECORD``).
 
     ``error`` is null, or says what is wrong with a record: a segment missing, a length or digest that differs, broken
-    framing. A file that is no WARC archive fails the job. Without ``payloads`` only their sizes and digests are kept.
+    framing, a bad number in its header, no usable length, a block that is cut off. Bytes that are no record are a row with
+    the error ``no record``, so a file that is no archive has one; an empty file has no rows. A gzip member that is damaged
+    ends its archive. Digests of other kinds than SHA-1 (hex or base 32) are not compared. Without ``payloads`` only their
+    sizes and digests are kept. An archive must fit into a task as it is stored, unpacked it need not.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content", "path")
     rows = files.mapInArrow(_scanned(payloads), RECORD)
     rows = rows.repartition("origin").sortWithinPartitions("origin", "segment")
     return rows.mapInArrow(_reassembled(payloads), RECORD)

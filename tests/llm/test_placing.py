@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import gzip
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -83,6 +85,54 @@ def test_damage_is_reported(spark, tmp_path):
     assert [r.error for r in warc.resolved(records).where("record_type = 'revisit'").collect()] == ["reference"]
 
 
+def test_damaged_headers_are_rows(spark, tmp_path):
+    """Every damaged record is one row with its error; the records around it are read."""
+    def record(name, lines, block=b"HTTP/1.1 200 OK\r\n\r\nab", length=None):
+        own = "".join(f"{x}\r\n" for x in [f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Type: response", *lines])
+        size = f"Content-Length: {len(block)}\r\n" if length is None else length
+        return f"WARC/1.0\r\n{own}{size}\r\n".encode() + block + b"\r\n\r\n"
+
+    sha1 = base64.b32encode(hashlib.sha1(b"ab").digest()).decode()
+    parts = [
+        record("a", []), record("b", [], length=""), record("c", [], length="Content-Length: many\r\n"), record("d", ["Page-Id: seven"]),
+        record("e", ["WARC-Segment-Number: x"]), record("f", ["Page-Id: -3", f"WARC-Payload-Digest: sha1:{sha1}"]),
+        record("g", [], length="Content-Length: 999999\r\n"), record("h", ["WARC-Payload-Digest: sha256:00"]), b"some bytes\r\n\r\n",
+        record("i", ["WARC-Segment-Number: 1", "WARC-Segment-Total-Length: 99999999999999999999"]), record("j", [])[:-9],
+    ]
+    expected = {
+        "a": None, "b": "header: content-length", "c": "header: content-length", "d": "header: page-id", "e": "header: warc-segment-number",
+        "f": None, "g": "cut off", "h": None, None: "no record", "i": "segment missing", "j": "cut off",
+    }
+    data = b"".join(parts)
+    packed = b"".join(map(gzip.compress, parts))
+    for name, content in (("x.warc", data), ("y.warc.gz", packed), ("z.warc.gz", packed[:-15]), ("empty.warc", b""), ("text", b"hello")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_bytes(content)
+    for folder in ("x.warc", "y.warc.gz"):
+        rows = warc.read_archives(spark, str(tmp_path / folder)).collect()
+        assert {r.record_id: r.error for r in rows} == expected and len(rows) == len(parts)
+        assert {r.record_id: r.page_id for r in rows if r.record_id in ("a", "d", "f")} == {"a": None, "d": None, "f": -3}
+        assert {bytes(r.payload) for r in rows if r.error is None} == {b"ab"}
+        assert warc.resolved(warc.read_archives(spark, str(tmp_path / folder), payloads=False)).count() == len(parts)
+    assert {r.record_id for r in warc.read_archives(spark, str(tmp_path / "z.warc.gz")).collect()} >= set("abcdefghi")
+    assert warc.read_archives(spark, str(tmp_path / "empty.warc")).count() == 0
+    assert [r.error for r in warc.read_archives(spark, str(tmp_path / "text")).collect()] == ["no record"]
+
+
+def test_archives_are_unpacked_piece_by_piece():
+    """100 MB in one gzip member or in many are read with a few megabytes."""
+    block = bytes(1 << 20)
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    for data in (gzip.compress(record) * 100, gzip.compress(record * 100)):
+        tracemalloc.start()
+        found = sum(len(b) for _, b, error in warc.read_records(warc._plain(data)) if error is None)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == 100 << 20 and peak < 12 << 20
+    plain = warc._plain(record * 3 + b"x" * 5_000_000)
+    assert [(len(b), error) for _, b, error in warc.read_records(plain)] == [(1 << 20, None)] * 3 + [(0, "no record")]
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import collections
+import itertools
+import math
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -44,6 +49,41 @@ def test_quality_learns_nothing_from_the_held_out(spark):
     assert plain == other
 
 
+def _plain_features(text):
+    """The features of a text by plain loops, without the code under test."""
+    data = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data.lower()) if w]
+    n = len(words)
+    if not n:
+        return [0.0] * len(quality.FEATURES)
+    share = lambda k: math.log1p(100 * k / (n + 30))
+    kinds = [share(sum(data.count(bytes([b])) for b in members)) for members in quality._KINDS.values()]
+    runs = [len(list(g)) for _, g in itertools.groupby(words)]
+    variety = math.log1p(len(set(words))) / math.log1p(n)
+    size = len(data) / n
+    return [*kinds, math.log1p(n), size, share(n - len(runs)), share(max(runs) - 1), variety, float(size < 4), float(size > 12)]
+
+
+def test_quality_scores_equal_a_plain_calculation(spark):
+    """Score and threshold from the weights by plain loops: repeated labels, tied texts and odd texts included."""
+    docs = _graded(spark, 200).collect()
+    rows = [(r.doc_id, r.text, r.quality) for r in docs] + [(200, docs[0].text, 0), (201, docs[0].text, 1), (202, "a  a\ta | B!", 0), (203, "", 1)]
+    rows += [(204, None, 0), (205, "é ü " * 2000, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(4, 0), (4, 0), (5, None), (6, 7), (999, 1), (None, 0)], "doc_id long, quality int")
+    model = quality.fit(table.select("doc_id", quality.features("text").alias("features")), labels)
+    raw = {i: sum(w * x for w, x in zip(model.weights, _plain_features(text))) for i, text, _ in rows}
+    for r in quality.ranked(table.drop("quality"), labels).collect():
+        score = 1 / (1 + math.exp(model.threshold - raw[r.doc_id]))
+        assert abs(r.score - score) < 1e-9 and (abs(score - 0.5) < 1e-9 or r.predicted == (score >= 0.5))
+    # The threshold leaves the share of worse labels below it, as far as ties allow.
+    known = [(raw[i], q) for i, q in labels.toLocalIterator() if q in (0, 1) and i in raw and zlib.crc32(str(i).encode()) % 3 != 1]
+    worse = sum(q == 0 for _, q in known)
+    below = sum(x < model.threshold - 1e-12 for x, _ in known)
+    ties = collections.Counter(round(x, 9) for x, _ in known)
+    assert worse <= below + 1e-9 < worse + max(ties.values())
+
+
 def test_quality_odd_rows(documents, spark):
     rows = [(1, None), (1, ""), (2, " "), (None, "a b"), (3, "w " * 30000), (4, "##"), (4, "##")]
     labels = spark.createDataFrame([(1, None), (2, 7), (99, 1), (None, 0)], "doc_id long, quality int")
@@ -81,6 +121,43 @@ def test_unknown_words_back_off_to_shorter_n_grams(spark):
     assert language.keep_known(_languages(spark).union(spark.createDataFrame([(1, "..", "aa")], "doc_id long, text string, lang string"))).count() == 300
 
 
+def test_language_scores_equal_a_plain_calculation(spark):
+    """Counts, smoothing, backing off and sums by plain loops over a few documents, words unseen in training included."""
+    rng = random.Random(9)
+    stems = {"aa": "lorem ipsum dolor amet sit".split(), "bb": "casa verde luna mar sol".split(), "cc": "haus baum mond see wind".split()}
+    rows = [(i, " ".join(rng.choice(stems[lang]) + rng.choice(["", "s", "en"]) for _ in range(rng.randrange(1, 9))) + " 4!", lang)
+            for i, lang in enumerate(rng.choices(sorted(stems), k=90))]
+    rows += [(90, "Lunar baumhaus ipsumque", "aa"), (91, None, "aa"), (92, "12 -", "bb"), (93, "xyzzy", None), (94, "casa " * 3, "und"), (None, "sol", "bb")]
+    learned = [(text, lang) for i, text, lang in rows if text is not None and lang not in (None, "und") and (i is None or zlib.crc32(str(i).encode()) % 3 != 1)]
+    words = lambda text: re.findall(r"[^\W\d_]+", text.lower())
+    pieces = lambda word, k: [f"_{word}_"[i : i + k] for i in range(len(word) + 3 - k)] if k else [word]
+    counts = collections.Counter((k, p, lang) for text, lang in learned for w in words(text) for k in range(6) for p in pieces(w, k))
+    known = {(k, p) for k, p, _ in counts}
+    size = collections.Counter(k for k, _ in known)
+    total = collections.Counter()
+    for (k, _, lang), n in counts.items():
+        total[k, lang] += n
+
+    def log_share(word, lang):
+        for k in (0, 5, 4, 3, 2, 1):
+            some = [p for p in pieces(word, k) if (k, p) in known]
+            if some:
+                return sum(math.log((counts[k, p, lang] + 0.5) / (total[k, lang] + 0.5 * size[k])) for p in some) / len(some)
+        return 0.0
+
+    found = language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(found) == len(rows)
+    by_id = {r.doc_id: r for r in found}
+    for i, text, _ in rows:
+        if not words(text or ""):
+            assert (by_id[i].lang_pred, by_id[i].score) == ("und", 0.0)
+            continue
+        sums = {lang: sum(log_share(w, lang) for w in words(text)) for lang in sorted(stems)}
+        best = max(sums, key=sums.get)
+        share = 1 / sum(math.exp(x - sums[best]) for x in sums.values())
+        assert abs(by_id[i].score - share) < 1e-9 and (by_id[i].lang_pred == best or share < 0.5 + 1e-9)
+
+
 def _letters(i):
     return "".join(chr(97 + i // 26**k % 26) for k in range(4))
 
@@ -160,6 +237,29 @@ def test_licences_unknown_and_none(model, documents):
     assert licences.scanned(documents([]), model).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- ", "<!-- "])
+def test_wrapped_headers_are_found_whole(model, mark):
+    """The notices of every family, wrapped at 70 columns as comments, among other text: no piece of them is unknown."""
+    pairs = {i for g, i in model.features.items() if " " in g}
+    for family, texts in licences.TEMPLATES.items():
+        lines = [line for text in texts for line in [*textwrap.wrap(text, 70), ""]]
+        body = "\n".join(["some house", *(f"{mark}{line}".rstrip() for line in lines), "walking to the green house"])
+        assert {f["family"] for f in licences.findings(model, pairs, body)} == {family}
+        # One after the other in one paragraph.
+        body = "\n".join(f"{mark}{line}" for line in textwrap.wrap(" ".join(t for t in texts if len(t) > 70), 70))
+        assert {f["family"] for f in licences.findings(model, pairs, body)} <= {family}
+
+
+def test_paragraphs_of_wrapped_lines():
+    text = f"/* {'one ' * 12}\n * two three\n *\n * four\n */\nshort\nline\n\n{'five ' * 10}end.\n{'six ' * 12}\n   \nseven\n{'eight ' * 200}\nnine"
+    found = [(number, sorted(set(p.split()))) for number, p in licences.unwrapped(text)]
+    assert found == [
+        (0, ["one", "three", "two"]), (3, ["four"]), (5, ["short"]), (6, ["line"]), (8, ["end.", "five"]), (9, ["six"]),
+        (11, ["seven"]), (12, ["eight"]), (13, ["nine"]),
+    ]
+    assert list(licences.unwrapped("")) == [] and list(licences.unwrapped("\n # \n//\n")) == []
+
+
 def test_a_model_from_a_corpus(documents):
     fitted = licences.fit(documents([(i, f"a paragraph of text number {i} with words") for i in range(30)] + [(40, None)]))
     assert licences.NONE in fitted.classes and 0 < fitted.threshold <= 1
