@@ -1,15 +1,16 @@
 """N-gram Jaccard join: all links between documents whose sets of word shingles are similar, and their components.
 
 The method is an index of prefix shingles whose lists are ordered by position, together with answers derived from those
-of a very similar set. Step 2 skips lists by position; step 3 pairs all stars of a list and filters the pairs by position:
+of a very similar set. Both steps skip parts of a list by position, without looking at the pairs in them:
 
 1. Every document becomes a set of 64-bit shingle hashes; equal sets are one set from here on. A sketch of fixed size
    counts all shingles, and each set orders its shingles from rare to frequent.
 2. Only a prefix of that order is indexed: similar sets share a shingle of their prefixes. Lists with a single set are
    dropped. In a list, a set is tried first with the *pivot*: the set of about its size that has the shingle earliest.
    Two positions bound the overlap, so most pairs are skipped without being looked at.
-3. Sets linked to a pivot form a *star* with known distances to its centre. For two stars in one list only the centres
-   are compared. The distance of the centres bounds that of all members (the Jaccard distance is a metric): often all
+3. Sets linked to a pivot form a *star* with known distances to its centre. A long list is cut into *blocks* by size. The
+   position of an entry bounds the sizes it can be linked with, so it meets only the blocks of those sizes, and there only
+   the entries whose own positions admit its size. For two stars that meet only the centres are compared. The distance of the centres bounds that of all members (the Jaccard distance is a metric): often all
    are linked or none can be. For the rest, a set's overlaps with all members of a star are derived from its overlap
    with the centre and the few shingles in which a member differs from the centre.
 
@@ -34,6 +35,8 @@ _U = np.uint64
 SKETCH_BITS, FILTER_BITS = 18, 23
 #: A list with more entries than this is split; so is a pivot with more partners.
 SPLIT_LIST, SPLIT_PIVOT = 100_000, 4_000
+#: A list with more entries than this is cut into blocks, so many for each factor in size that links may bridge.
+LONG_LIST, BLOCKS_PER_CLASS = 64, 2
 #: The split of a list that is in one piece.
 WHOLE = -1
 #: Marks a shingle of the pivot that its partner lacks.
@@ -58,6 +61,17 @@ class Similarity:
         p = self.percent
         return f"(({p} * ({n}) + {99 + p}) div {100 + p})"
 
+    def partner_sizes_sql(self) -> tuple[str, str]:
+        """The least and the largest size of a set that one with ``n`` shingles, ``rest`` from the shared one on, can be linked with."""
+        p = self.percent
+        return f"(({p} * n + 99) div 100)", f"least(100 * n div {p}, {100 + p} * rest div {p} - n)"
+
+    def block_sql(self, n: str) -> str:
+        """The block of a size; blocks go up with sizes."""
+        if self.percent == 100:
+            return f"int({n})"
+        return f"int(floor(ln({n}) * {float(BLOCKS_PER_CLASS / -np.log(self.percent / 100))!r}D))"
+
     def possible(self, n_a, rest_a, n_b, rest_b):
         """For arrays: sizes and positions allow a link. ``rest`` counts the shingles from the shared one on."""
         p = self.percent
@@ -249,15 +263,20 @@ def _kept_sets(width: int, wanted, part: bool):
         for batch in _pieces(batches, 0):
             place = batch.column(1).to_numpy() % (1 << FILTER_BITS)
             asked = pa.array(((bits[place >> 6] >> (place & 63)) & 1).astype(bool))
-            found = [s for s in shingle_sets(texts(batch.column(0).filter(asked)), width) if len(s)]
+            found = shingle_sets(texts(batch.column(0).filter(asked)), width)
+            full = [len(s) > 0 for s in found]
+            found = [s for s in found if len(s)]
             if not found:
                 continue
             sids, sizes = [set_id(s) for s in found], [len(s) for s in found]
             if part:
                 found = [(s[: np.searchsorted(s, _U(1 << 62))] >> _U(30)).astype(np.uint32) for s in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["sid", "n", "shingles"],
+                [
+                    pa.array(sids, pa.int64()), batch.column(1).filter(asked).filter(pa.array(full)), pa.array(sizes, pa.int32()),
+                    pa.array([s.tobytes() for s in found], pa.binary()),
+                ],
+                ["sid", "place", "n", "shingles"],
             )
 
     return run
@@ -356,10 +375,10 @@ class _Join:
         pairs = settled(pairs.groupBy("a", "b").agg(F.max("reach").alias("reach")))
         named = self.rows.join(self._sids(pairs), "sid").groupBy("sid").agg(F.min("row").alias("row"))
         named = settled(named)
-        parts = self._together(pairs, self._filter(named), True)
+        parts = self._together(pairs, named, True)
         hopeful = settled(parts.mapInArrow(_hopeful, "a long, b long, reach double"))
-        wanted = self._filter(named.join(self._sids(hopeful), "sid"))
-        found = self._together(hopeful, wanted, False).mapInArrow(
+        named = settled(named.join(self._sids(hopeful), "sid"))
+        found = self._together(hopeful, named, False).mapInArrow(
             _overlaps(2 * self.limit + 1e-9), "a long, b long, n_a int, n_b int, both int, diff array<bigint>"
         )
         return checkpointed(found.withColumn("d", F.expr("1 - both / (n_a + n_b - both)")))
@@ -371,8 +390,14 @@ class _Join:
     def _filter(self, named: DataFrame):
         return self.spark.sparkContext.broadcast(_wanted(named))
 
-    def _together(self, pairs: DataFrame, wanted, part: bool) -> DataFrame:
-        """Each pivot's set (or part of it) in front of those of its partners; a pivot with many partners, several times."""
+    def _together(self, pairs: DataFrame, named: DataFrame, part: bool) -> DataFrame:
+        """Each pivot's set (or part of it) in front of those of its partners; a pivot with many partners, several times.
+
+        A set is taken from the row ``named`` for it, however many rows have it. The bitmap of these rows keeps most other
+        rows from being shuffled; those that it lets pass meet no need.
+        """
+        wanted = self._filter(named)
+        place = named.select("sid", F.xxhash64("row").alias("place"))
         ways = pairs.groupBy("b").agg(F.expr(f"1 + count(1) div {SPLIT_PIVOT}").alias("ways"))
         pairs = pairs.join(ways, "b").withColumn("split", F.pmod(F.xxhash64("a"), "ways").cast("int"))
         needs = pairs.select(F.col("a").alias("sid"), F.col("b").alias("key"), "split", F.col("a").alias("partner"), "reach")
@@ -381,9 +406,9 @@ class _Join:
             .select(F.col("b").alias("sid"), F.col("b").alias("key"), "split", "partner", "reach")
         )
         sets = self.docs.select("text", F.xxhash64("row").alias("place")).mapInArrow(
-            _kept_sets(self.width, wanted, part), "sid long, n int, shingles binary"
+            _kept_sets(self.width, wanted, part), "sid long, place long, n int, shingles binary"
         )
-        dealt = needs.join(sets, "sid").repartition(self.tasks, "key", "split")
+        dealt = needs.join(place, "sid").join(sets, ["sid", "place"]).repartition(self.tasks, "key", "split")
         dealt = dealt.sortWithinPartitions("key", "split", F.asc_nulls_first("partner"))
         return dealt.select("key", "partner", "reach", "n", "shingles")
 
@@ -413,20 +438,15 @@ class _Join:
                 F.coalesce("star", "sid").alias("star"), F.coalesce("far", F.lit(0.0)).alias("far"),
             )
         )
-        mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        placed = settled(placed.join(mixed.select("token"), "token"))
+        mixed = placed.groupBy("token").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("length")
+        ).where("low < high")
+        placed = settled(placed.join(mixed.select("token", "length"), "token"))
         # Members of one star and size are one entry of a list.
-        entries = placed.groupBy("token", "star", "n").agg(F.min("root").alias("root"), F.max("rest").alias("rest"))
-        x, y = entries.alias("x"), entries.alias("y")
-        meet = F.expr(
-            "x.token = y.token and x.star < y.star and x.root <> y.root"
-            f" and 100 * x.n >= {p} * y.n and 100 * y.n >= {p} * x.n"
-            f" and least(x.rest, y.rest) >= {self.similarity.overlap_sql('x.n + y.n')}"
-        )
-        met = x.join(y, meet).select(
-            F.col("x.star").alias("a"), F.col("y.star").alias("b"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n_y")
+        entries = placed.groupBy("token", "star", "n").agg(
+            F.min("root").alias("root"), F.max("rest").alias("rest"), F.first("length").alias("length")
         )
-        met = settled(met.distinct())
+        met = settled(self.meeting(entries).select("a", "b", "n_x", "n_y").distinct())
         if met.isEmpty():
             return links
         members = settled(placed.select("star", "sid", "n", "far").distinct())
@@ -459,6 +479,32 @@ class _Join:
         )
         return links.unionByName(self.derived(tested, near, members, met))
 
+    def meeting(self, entries: DataFrame, filtered: bool = True) -> DataFrame:
+        """Pairs of entries ``token, star, n, root, rest, length`` that may be linked, as ``token, a, b, n_x, n_y``.
+
+        Of a long list, the entry x goes to the cells (block of its size, block of a size it admits), and y to the cells
+        (block of a size it admits, block of its size): they meet in one cell if their blocks admit each other, else in none.
+        What is left to the filter is the difference between a size and its block. A short list is one cell.
+        """
+        p, block = self.similarity.percent, self.similarity.block_sql
+        low, high = self.similarity.partner_sizes_sql()
+        entries = entries.where(f"{low} <= {high}")  # the others are too far back to be linked with any set
+        short = f"length <= {LONG_LIST}"
+        own = F.expr(f"if({short}, 0, {block('n')})")
+        admitted = F.explode(F.expr(f"if({short}, array(0), sequence({block(low)}, {block(high)}))"))
+        x = entries.select("*", own.alias("row")).select("*", admitted.alias("column")).alias("x")
+        y = entries.select("*", own.alias("column")).select("*", admitted.alias("row")).alias("y")
+        meet = "x.token = y.token and x.row = y.row and x.column = y.column and x.star < y.star"
+        if filtered:
+            meet += (
+                f" and x.root <> y.root and 100 * x.n >= {p} * y.n and 100 * y.n >= {p} * x.n"
+                f" and least(x.rest, y.rest) >= {self.similarity.overlap_sql('x.n + y.n')}"
+            )
+        return x.join(y, F.expr(meet)).select(
+            F.col("x.token").alias("token"), F.col("x.star").alias("a"), F.col("y.star").alias("b"), F.col("x.n").alias("n_x"),
+            F.col("y.n").alias("n_y"),
+        )
+
     def derived(self, tested: DataFrame, near: DataFrame, members: DataFrame, met: DataFrame) -> DataFrame:
         """Links of the tested sets with members of a star, from their overlap with its centre and two differences.
 

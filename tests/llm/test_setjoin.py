@@ -89,6 +89,55 @@ def test_split_lists_and_pivots_lose_nothing(documents, monkeypatch):
     assert found(setjoin.similar_groups(documents(rows), 4, 85)) == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_blocks_of_lists_lose_no_pair(spark, monkeypatch, percent):
+    """Every pair that sizes and positions allow meets exactly once, whether its list is cut into blocks or not."""
+    rng = random.Random(percent)
+    join = setjoin._Join.__new__(setjoin._Join)
+    join.similarity = setjoin.Similarity(percent)
+    entries = [
+        (token, star, n, rng.randrange(9), rng.randrange(max(1, n * percent // 100 - 3), n + 1), size)
+        for token, size in ((1, 300), (2, 40), (3, 2)) for star in range(size) for n in [rng.choice([1, 2, 7, 100, 101, rng.randrange(1, 900)])]
+    ]
+    kind = "token long, star long, n int, root long, rest int, length long"
+    expected = sorted(
+        (x[0], x[1], y[1], x[2], y[2]) for x in entries for y in entries
+        if x[0] == y[0] and x[1] < y[1] and x[3] != y[3] and 100 * min(x[2], y[2]) >= percent * max(x[2], y[2])
+        and (100 + percent) * min(x[4], y[4]) >= percent * (x[2] + y[2])
+    )
+    for long_list in (0, 64, 10_000):
+        monkeypatch.setattr(setjoin, "LONG_LIST", long_list)
+        assert sorted(map(tuple, join.meeting(spark.createDataFrame(entries, kind)).collect())) == expected
+
+
+def test_blocks_skip_most_pairs_of_a_long_list(spark):
+    """A passage that unlinked sets of many sizes share at many positions: few pairs meet that sizes and positions rule out."""
+    join = setjoin._Join.__new__(setjoin._Join)
+    join.similarity = setjoin.Similarity(85)
+    for size in (500, 4000):
+        rng = random.Random(1)
+        sizes = [rng.randrange(40, 40 + size) for _ in range(size)]
+        entries = [(1, i, n, i, n if i % 2 else rng.randrange(n * 85 // 100, n) + 1, size) for i, n in enumerate(sizes)]
+        rows = spark.createDataFrame(entries, "token long, star long, n int, root long, rest int, length long")
+        met, allowed = (join.meeting(rows, filtered=f).count() for f in (False, True))
+        assert met < size * (size - 1) / 2 * 0.15 and met < 3 * allowed
+
+
+def test_one_copy_of_a_hot_set_is_compared(documents, monkeypatch):
+    """Although the bitmap lets all rows pass, a set that many rows have comes out of one of them."""
+    monkeypatch.setattr(setjoin, "_wanted", lambda ids: np.full(1 << (setjoin.FILTER_BITS - 6), -1, np.int64))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(300)] + [(300 + i, " ".join([*base, *"xyz"[: i + 1]])) for i in range(3)] + ODD
+    docs = documents(rows).select(F.col("doc_id").alias("row"), "text")
+    join = setjoin._Join(docs, 4, 85)
+    sids = {r.n: r.sid for r in join.rows.where("row >= 299 and row < 303").collect()}
+    pairs = docs.sparkSession.createDataFrame([(sids[58], sids[57], 1.0), (sids[59], sids[57], 1.0)], "a long, b long, reach double")
+    named = join.rows.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"))
+    assert join._together(pairs, named, False).count() == 3
+    assert join.compared(pairs).count() == 2
+    assert found(setjoin.similar_groups(documents(rows), 4, 85)) == brute(rows, 4, 85)
+
+
 def test_a_long_list_in_pieces_keeps_single_entries(monkeypatch):
     import pyarrow as pa
 
