@@ -115,22 +115,24 @@ _HIT = ["plan_id", "pass_no", "community_pos", *_RANKED]
 def community_hits(items: Late, searches: Searches, slices: int = 0, max_broadcast: int = MAX_INLINE_ROWS) -> DataFrame:
     """Narrow rows of each plan's communities.
 
-    Up to ``max_broadcast`` asked communities (counted) are sent to every task. More are joined; of a table that
-    ``write_bucketed_table`` made with so many ``slices``, the rows are joined where they are, bucket by bucket.
+    Rows are ranked once per community, however many plans ask for it: of the rows since a moment, the newest are the newest
+    of all. Only ranked rows meet the plans. Up to ``max_broadcast`` names of communities (counted) are sent to every task.
+    More are joined; of a table that ``write_bucketed_table`` made with so many ``slices``, bucket by bucket.
     """
     asked = searches.plans.select(
         "plan_id", "since", "min_upvotes", "limit", F.posexplode("communities").alias("community_pos", "asked")
-    ).withColumn("subreddit", F.replace("asked", F.lit("r/"), F.lit("")))
-    asked = asked.drop("asked")
-    keys = ["subreddit"]
-    if asked.limit(max_broadcast + 1).count() <= max_broadcast:
-        # So few that every task can hold them: the posts, of which few communities have most, are not shuffled.
-        asked = F.broadcast(asked)
+    ).withColumn("subreddit", F.replace("asked", F.lit("r/"), F.lit(""))).drop("asked")
+    names, keys = asked.select("subreddit").distinct(), ["subreddit"]
+    if names.limit(max_broadcast + 1).count() <= max_broadcast:
+        names = F.broadcast(names)
     elif slices:
-        asked = asked.withColumn(SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        names = names.withColumn(SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
         keys.append(SLICE)
-    found = in_window(items.rows, after=searches.since).select(*items.carried, *_RANKED, *keys[1:]).join(asked, keys)
-    kept = _within_limit(found, ["plan_id", "community_pos"], searches.limit)
+    found = in_window(items.rows, after=searches.since).select(*items.carried, *_RANKED, *keys[1:]).join(names, keys, "left_semi")
+    ranked = top_n(found.drop(*keys[1:]), ["subreddit"], newest(), searches.limit, salt_on="id")
+    kept = ranked.join(asked, "subreddit").where(
+        (F.col("created_utc") > F.col("since")) & (F.col("rank") <= F.col("limit")) & _enough(F.col("min_upvotes"))
+    )
     return kept.withColumn("pass_no", F.lit(1)).select(*_HIT, *items.carried)
 
 
