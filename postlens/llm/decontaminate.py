@@ -4,8 +4,9 @@ The windows of the benchmark (13 words, normalised) are a hash set that is broad
 document would hash each word 13 times, so a window is scanned where its *anchor*, its longest word, occurs: a set of
 literals finds the documents and the places. Each window found there is looked up by hash and verified word by word.
 
-A benchmark beyond the checked bounds is neither broadcast nor made literals: all windows of the documents are then
-joined with those of the benchmark by two 64-bit hashes. Both ways give the same rows.
+A benchmark beyond the checked bounds is neither broadcast nor made literals: the hashes of all windows of the documents
+are then joined with those of the benchmark, and what they find is verified word by word in the texts. Both ways give the
+same rows.
 """
 
 from __future__ import annotations
@@ -90,29 +91,40 @@ def _near_anchors(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _all_windows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The same rows for a benchmark of any size."""
-    rows = rows.select("id", "row", exact_words(F.col("text")).alias("w"))
+    """The same rows for a benchmark of any size.
+
+    Only ids, places and hashes of the documents' windows are shuffled. Places found go back to the rows by id and hash of
+    the text; the words there must be those of the window, so no hit rests on a hash.
+    """
+    rows = rows.withColumn("body", F.xxhash64("text"))
     lengths = [r["len"] for r in wanted.select("len").distinct().collect()]  # at most the window's size of them
 
     def of_length(n: int) -> Column:
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n))
         return F.coalesce(
-            F.transform(
-                starts,
-                lambda s: F.struct(s.alias("start"), F.lit(n).alias("len"), *_hashes(F.slice("w", s + 1, n))),
-            ),
+            F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("len"), *_hashes(F.slice("w", s + 1, n)))),
             F.array().cast("array<struct<start:int,len:int,h1:bigint,h2:bigint>>"),
         )
 
-    alone = rows.select(
-        "id", "row", F.size("w").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"),
-        F.lit(None).cast("array<string>").alias("items"),
+    scanned = rows.select("id", "body", exact_words(F.col("text")).alias("w"))
+    places = F.concat(*map(of_length, lengths)) if lengths else of_length(1)
+    scanned = scanned.select("id", "body", F.explode(places).alias("s")).select("id", "body", "s.*")
+    hits = scanned.join(wanted.select("h1", "h2", "words", "items"), ["h1", "h2"])
+    hits = hits.groupBy(F.col("id").alias("of"), F.col("body").alias("of_body")).agg(
+        F.collect_set(F.struct("start", "len", "words", "items")).alias("places")
+    )
+    rows = rows.join(hits, F.col("id").eqNullSafe(F.col("of")) & F.col("body").eqNullSafe(F.col("of_body")), "left")
+    rows = rows.select("id", "row", "places", exact_words(F.col("text")).alias("w"))
+    same = F.filter("places", lambda p: F.slice("w", p["start"] + 1, p["len"]) == p["words"])
+    nothing = F.struct(
+        F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"),
+        F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<string>").alias("items"),
     )
-    if not lengths:
-        return alone
-    scanned = rows.select("id", "row", F.size("w").alias("n_words"), F.explode(F.concat(*map(of_length, lengths))).alias("s"))
-    hits = scanned.select("id", "row", "n_words", "s.*").join(wanted.select("h1", "h2", "items"), ["h1", "h2"])
-    return alone.unionByName(hits.select("id", "row", "n_words", "start", "len", "items"))
+    found = F.concat(F.array(nothing), F.coalesce(same, F.array().cast(
+        "array<struct<start:int,len:int,words:array<string>,items:array<string>>>"
+    )))
+    rows = rows.select("id", "row", F.size("w").alias("n_words"), F.explode(found).alias("p"))
+    return rows.select("id", "row", "n_words", "p.start", "p.len", "p.items")
 
 
 def contamination(

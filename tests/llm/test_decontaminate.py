@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from documents_fixture import documents  # noqa: F401
 from postlens.llm import decontaminate as d
@@ -61,6 +62,16 @@ def test_contamination_matches_brute_force(spark, documents, bound):
     assert sorted(map(tuple, found), key=repr) == brute(rows, items)
 
 
+def test_hits_of_a_large_benchmark_do_not_rest_on_hashes(spark, documents, monkeypatch):
+    rows, items = cases()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    few = lambda w: (F.pmod(F.xxhash64(w), F.lit(5)).alias("h1"), F.lit(1).alias("h2"))
+    monkeypatch.setattr(d, "_hashes", few)
+    rows = [(i, text) for i, text in rows if len(text or "") < 2000]
+    found = d.contamination(documents(rows), benchmark, max_windows=0).drop("hits").collect()
+    assert sorted(map(tuple, found), key=repr) == brute(rows, items)
+
+
 @pytest.mark.parametrize("bound", [d.MAX_WINDOWS, 0])
 def test_empty_tables(spark, documents, bound):
     nothing = spark.createDataFrame([], "item_id long, text string")
