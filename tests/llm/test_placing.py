@@ -238,29 +238,56 @@ def test_batches(spark, documents, monkeypatch):
     assert packing.packed(documents([(1, None)]), packing.word_count(F.col("text"))).first().batch_id == 0
 
 
+def test_rows_without_id_are_not_one_slice(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_PER_TASK", 40)
+    rows = spark.createDataFrame([(None, 7)] * 900 + [(i, 7) for i in range(100)], "doc_id long, n long")
+    out = packing.packed(rows, F.col("n"), budget=70)
+    found = out.collect()
+    assert sorted((r.batch_id, r.place) for r in found) == [(b, p) for b in range(100) for p in range(10)]
+    assert "monotonically_increasing_id" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _cosines(rows, k):
-    good = []
-    for i, v in rows:
-        if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v):
-            good.append((i, np.array(v, float)))
+    good = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)]
     out = []
     for q, x in good:
-        if q % 50 == 0:
-            near = [(-float(x @ y) / (np.linalg.norm(x) * np.linalg.norm(y)), i) for i, y in good if i != q and len(y) == len(x)]
-            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(near)[:k], 1)]
-    return sorted(out)
-
-
-def test_nearest_match_brute_force(spark):
+        if q is not None and q % 50 == 0:
+            near = [
+                (-float(x @ y) / (np.linalg.norm(x) * np.linalg.norm(y)), i is None, i or 0)
+                for i, y in good if i != q and len(y) == len(x)
+            ]
+            out += [(q, rank, None if none else i, -s) for rank, (s, none, i) in enumerate(sorted(near)[:k], 1)]
+    return sorted(out, key=lambda x: x[:2])
+
+
+@pytest.mark.parametrize("carried", [32, 1])
+def test_nearest_match_brute_force(spark, monkeypatch, carried):
+    monkeypatch.setattr(neighbours, "_CARRIED", carried)
     draw = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in draw.normal(size=17) * (10.0 if i % 7 else 1e-3)]) for i in range(400)]
     rows += [(i + 400, [2 * x for x in rows[i][1]]) for i in range(0, 60, 7)]  # ties
     rows += [(1001, None), (1002, []), (1003, [0.0] * 17), (1004, [float("nan")] * 17), (1005, [None] + [1.0] * 16), (None, [1.0] * 17)]
     rows += [(1050, [1.0, 0.0, 0.0]), (1051, [1.0, 1.0, 0.0]), (1100, [1.0])]
+    rows += [(None, [2 * x for x in rows[i][1]]) for i in (0, 0, 49, 50, 100)]  # near, without id
     for kind in ("double", "float"):
         table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumns({"block": F.lit(1), "id": F.lit(2), "dim": F.lit(3)})
         found = neighbours.nearest(table, F.col("vec_id") % 50 == 0, 5, query_block=3, vector_block=64).collect()
-        expected = _cosines(rows, 5)
-        assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(found)] == [x[:3] for x in expected]
-        assert [r.score for r in sorted(found)] == pytest.approx([x[3] for x in expected], abs=1e-12)
+        found, expected = sorted(found, key=lambda r: r[:2]), _cosines(rows, 5)
+        assert [(r.query_id, r["rank"], r.vec_id) for r in found] == [x[:3] for x in expected]
+        assert [r.score for r in found] == pytest.approx([x[3] for x in expected], abs=1e-12)
     assert neighbours.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_a_carried_bar_spares_recomputation():
+    draw = np.random.default_rng(4)
+
+    def side(first, vectors):
+        codes, scales, errors = neighbours.quantised(vectors)
+        ids = np.arange(first, first + len(vectors))
+        return {"ids": ids, "named": np.ones(len(ids), bool), "codes": codes, "scales": scales, "errors": errors, "vectors": vectors}
+
+    q, tiles = side(0, draw.normal(size=(64, 32))), [side(1000 * i, draw.normal(size=(500, 32))) for i in range(1, 9)]
+    heaps = [[] for _ in q["ids"]]
+    carried = [neighbours.search_tile(q, v, 5, heaps) for v in tiles]
+    alone = [neighbours.search_tile(q, v, 5, [[] for _ in q["ids"]]) for v in tiles]
+    assert carried[0] == alone[0] and 3 * sum(carried[4:]) < sum(alone[4:])
