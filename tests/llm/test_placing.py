@@ -215,6 +215,12 @@ def test_long_texts_have_the_least_padding_too(spark, monkeypatch, most, padding
     assert len(found) == 90 and sum(r.padding for r in found) == padding
 
 
+def test_bounds_do_not_depend_on_the_number_of_lengths(spark):
+    """Beyond 50,000 distinct lengths the bounds still have the least padding: the lengths are halved."""
+    rows = spark.range(1, 50_101).select((F.col("id") + 1_000_000).alias("n"))
+    assert packing.bucket_bounds(rows, "n", 2) == [1_025_050, 1_050_100]
+
+
 def test_batches(spark, documents, monkeypatch):
     monkeypatch.setattr(packing, "_PER_TASK", 40)
     rng = random.Random(7)
