@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.text import match_text
-from postlens.operators.termjoin import group_posts
+from postlens.operators.termjoin import Matches
 from postlens.sources.posts import in_window
 
 
@@ -28,7 +28,7 @@ def search_checks(posts: DataFrame, strategies: DataFrame, since: int) -> DataFr
     """
     recent = in_window(posts, after=since).withColumn("text", match_text(F.col("title"), F.col("selftext")))
     search = ["plan_id", "strategy"]
-    items = group_posts(recent, strategies, search, ["id"]).groupBy(*search).agg(F.count("*").alias("items"))
+    items = Matches(recent, strategies, search, ["id"]).counts("items")
     wanted = strategies.select(*search).distinct()
     plans = wanted.groupBy("plan_id").agg(F.count("*").alias("searches"))
     first = items.groupBy("plan_id").agg(F.min("strategy").alias("first"))

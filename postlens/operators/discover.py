@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postlens import fixed_values as fixed
 from postlens.functions.lists import cap, first_of_each
 from postlens.functions.text import community_tag, fold, match_text, window_start
-from postlens.operators.termjoin import group_posts
+from postlens.operators.termjoin import Matches
 from postlens.operators.terms import prompt_terms, strategy_terms
 from postlens.operators.topn import top_n
 from postlens.sources.posts import in_window
@@ -26,8 +26,8 @@ def strategy_counts(posts: DataFrame, strategies: DataFrame, since: int, depth:
     """``(plan_id, community, n)`` over the newest ``depth`` matches of the first strategy that finds any."""
     search = ["plan_id", "strategy"]
     recent = in_window(posts, after=since).withColumn("text", match_text(F.col("title"), F.col("selftext")))
-    found = group_posts(recent, strategies, search, ["id", "community", "created_utc"])
-    newest = top_n(found, search, [F.desc("created_utc"), F.asc("id")], depth, salt_on="id")
+    found = Matches(recent, strategies, search, ["id", "community", "created_utc"])
+    newest = found.first([F.desc("created_utc"), F.asc("id")], depth, salt_on="id")
     # Posts without a community lead nowhere, but take part in the search.
     per_search = community_counts(newest.where("community <> 'r/'"), search)
     first = per_search.groupBy("plan_id").agg(F.min("strategy").alias("strategy"))

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from postlens import fixed_values as fixed
 from postlens.functions.lists import dedupe, join_or, or_empty
 from postlens.functions.text import two_places
-from postlens.operators.termjoin import group_posts
+from postlens.operators.termjoin import Matches
 from postlens.operators.terms import filter_lists, focus_terms
-from postlens.operators.topn import top_n
 from postlens.sources.readers import with_text
 
 SAMPLES = 8
@@ -56,15 +55,15 @@ def sample_line(title: Column, url: Column, pain: Column) -> Column:
     return F.concat(linked, F.when(pain.isNotNull(), F.concat(F.lit(" (pain "), two_places(pain), F.lit(")"))).otherwise(""))
 
 
-def matches(posts: DataFrame, focus: DataFrame) -> DataFrame:
-    """``plan_id`` and sample columns for each post that contains a focus term; no terms, no rows."""
+def matches(posts: DataFrame, focus: DataFrame) -> Matches:
+    """Each post that contains a focus term of a plan, as sample columns by ``plan_id``; no terms, no rows."""
     terms = focus.select("plan_id", F.explode(F.array_distinct("focus_terms")).alias("term"))
-    return group_posts(with_text(posts), terms, "plan_id", _SAMPLE)
+    return Matches(with_text(posts), terms, "plan_id", _SAMPLE)
 
 
-def counted(matched: DataFrame, posts: DataFrame, plans: DataFrame) -> DataFrame:
+def counted(matched: Matches, posts: DataFrame, plans: DataFrame) -> DataFrame:
     """``(plan_id, matched, total)``. The total is one row, joined as such."""
-    hits = matched.groupBy("plan_id").agg(F.count("*").alias("matched"))
+    hits = matched.counts("matched")
     total = posts.agg(F.count("*").alias("total"))
     return (
         plans.select("plan_id")
@@ -73,13 +72,13 @@ def counted(matched: DataFrame, posts: DataFrame, plans: DataFrame) -> DataFrame
     )
 
 
-def samples(matched: DataFrame, posts: DataFrame, plans: DataFrame, n: int = SAMPLES) -> DataFrame:
+def samples(matched: Matches, posts: DataFrame, plans: DataFrame, n: int = SAMPLES) -> DataFrame:
     """``(plan_id, lines)``: the most painful matched posts, or of all posts for a plan without a match.
 
     The posts offered to such plans are the same n rows for all of them, so they are ranked once.
     """
     order = [F.desc("pain_score"), F.asc("id")]
-    own = top_n(matched, ["plan_id"], order, n)
+    own = matched.first(order, n)
     line = sample_line(F.col("title"), F.col("url"), F.col("pain_score"))
 
     def listed(df: DataFrame, *groups: str) -> DataFrame:

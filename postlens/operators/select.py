@@ -1,7 +1,8 @@
 """Post selection: community pass, keyword pass, union, first-wins de-duplication, filters.
 
-Of a stored table all passes rank narrow rows: id, time, score and where the item is. Titles and texts are fetched once,
-for the rows that are left, and take part in no sort. Items of any other plan carry them along; see ``sources.locate``.
+All passes rank narrow rows: id, time, score and where the item is. Titles and texts are fetched once, for the rows that are
+left. Searches of a table of plans store the items of any other plan first; searches with fixed arguments carry their texts
+along. See ``sources.locate``.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from postlens.config import MAX_INLINE_ROWS, written
 from postlens.functions import match
 from postlens.functions.lists import cap, dedupe, json_list, or_empty
 from postlens.functions.text import match_text, window_start
-from postlens.operators.termjoin import group_posts
+from postlens.operators.termjoin import Matches
 from postlens.operators.terms import prompt_terms, selection_terms
 from postlens.operators.topn import first_per_key, top_n, top_slices
-from postlens.sources.locate import Late
+from postlens.sources.locate import Late, placed
 from postlens.sources.posts import in_window, to_posts
 from postlens.sources.writers import SLICE
 
@@ -102,10 +103,10 @@ class Searches:
         return Searches(clean, widest.since or as_of, widest.limit or 0)
 
 
-def _within_limit(found: DataFrame, groups: list[str], limit: int) -> DataFrame:
-    """The newest rows of each search up to its plan's limit, then those with enough score."""
-    ranked = top_n(found.where(F.col("created_utc") > F.col("since")), groups, newest(), limit, salt_on="id")
-    return ranked.where((F.col("rank") <= F.col("limit")) & _enough(F.col("min_upvotes")))
+def _items(raw: DataFrame) -> Late:
+    """Items whose texts are fetched late, as a row may be found by any number of plans: what is no stored table is stored."""
+    items = Late(raw, _WIDE)
+    return items if items.stored else Late(placed(raw, _WIDE), _WIDE)
 
 
 #: What both passes hand on besides what an item carries: which search found a row.
@@ -143,10 +144,11 @@ def keyword_hits(items: Late, searches: Searches, synonyms: DataFrame) -> DataFr
     texts = in_window(items.rows, after=searches.since).select(
         *items.carried, *_RANKED, match_text(F.col("title"), F.col("selftext")).alias("text")
     )
-    found = group_posts(texts, terms, "plan_id", [*items.carried, *_RANKED]).join(
-        searches.plans.select("plan_id", "since", "min_upvotes", "limit"), "plan_id"
+    # The newest rows of the widest window: a plan's own window and limit hold the first of them.
+    found = Matches(texts, terms, "plan_id", [*items.carried, *_RANKED]).first(newest(), searches.limit, salt_on="id")
+    kept = found.join(searches.plans.select("plan_id", "since", "min_upvotes", "limit"), "plan_id").where(
+        (F.col("created_utc") > F.col("since")) & (F.col("rank") <= F.col("limit")) & _enough(F.col("min_upvotes"))
     )
-    kept = _within_limit(found, ["plan_id"], searches.limit)
     return kept.withColumns({"pass_no": F.lit(2), "community_pos": F.lit(0)}).select(*_HIT, *items.carried)
 
 
@@ -161,18 +163,18 @@ def _posts(items: Late, hits: DataFrame) -> DataFrame:
 
 def community_pass(raw: DataFrame, searches: Searches, slices: int = 0, max_broadcast: int = MAX_INLINE_ROWS) -> DataFrame:
     """Posts of each plan's communities; see ``community_hits``."""
-    items = Late(raw, _WIDE)
+    items = _items(raw)
     return _posts(items, community_hits(items, searches, slices, max_broadcast))
 
 
 def keyword_pass(raw: DataFrame, searches: Searches, synonyms: DataFrame) -> DataFrame:
     """Posts that contain a search term of the plan."""
-    items = Late(raw, _WIDE)
+    items = _items(raw)
     return _posts(items, keyword_hits(items, searches, synonyms))
 
 
 def both_passes(raw: DataFrame, searches: Searches, synonyms: DataFrame) -> DataFrame:
-    items = Late(raw, _WIDE)
+    items = _items(raw)
     return _posts(items, both_hits(items, searches, synonyms))
 
 
@@ -209,7 +211,7 @@ def select_posts(raw: DataFrame, plans: DataFrame, synonyms: DataFrame, as_of: i
     first is filled when this function returns.
     """
     searches = Searches.of(plans, as_of)
-    items = Late(raw, _WIDE)
+    items = _items(raw)
     hits = both_hits(items, searches, synonyms, slices)
     if counters:
         hits = hits.observe(counters[0], *(F.count_if(F.col("pass_no") == n).alias(c) for n, c in _PASSES.items()))
@@ -264,6 +266,6 @@ def funnel(hits: DataFrame, stages: DataFrame) -> DataFrame:
 def selection_funnel(raw: DataFrame, plans: DataFrame, synonyms: DataFrame, as_of: int) -> DataFrame:
     """Rows per plan at each step of ``select_posts``. The searches run once: their narrow hits are stored."""
     searches = Searches.of(plans, as_of)
-    items = Late(raw, _WIDE)
+    items = _items(raw)
     hits = written(both_hits(items, searches, synonyms), "hits")
     return funnel(hits, judged(unique_posts(items, hits), searches))

@@ -99,6 +99,48 @@ def test_every_way_of_matching_keeps_each_row(spark):
         assert sorted(map(tuple, found), key=repr) == expected
 
 
+def test_counts_and_first_rows_are_those_of_all_rows(spark, monkeypatch):
+    """Many groups: bits of terms are counted in tiles, only the first rows of a term meet the groups."""
+    monkeypatch.setattr(termjoin, "_TILE_ROWS", 30)
+    monkeypatch.setattr(termjoin, "_TILE_GROUPS", 5)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdeß ") for _ in range(n))
+    posts = [(None if i % 9 == 0 else f"p{i % 40}", rng.randrange(6), i, text(rng.randrange(50))) for i in range(120)] + [("n", 1, 999, None)]
+    wanted = [(None if g == 3 else g, g % 2, text(rng.randrange(1, 4))) for g in range(12) for _ in range(5)] + [(50, 0, "zzzz")]
+    posts_df = spark.createDataFrame(posts, "id string, at int, nth int, text string")
+    terms_df = spark.createDataFrame(wanted, "plan_id long, strategy int, term string")
+    search, order = ["plan_id", "strategy"], [F.desc("at"), F.asc_nulls_first("id"), F.asc("nth")]
+    for options in ({}, {"max_literals": 0}, {"max_groups": 0}, {"max_literals": 0, "max_broadcast": 0}):
+        found = termjoin.Matches(posts_df, terms_df, search, ["id", "at", "nth"], **options)
+        rows = found.rows().collect()
+        expected = sorted(((r.plan_id, r.strategy, n) for r, n in _tally(rows)), key=repr)
+        assert sorted(map(tuple, found.counts().collect()), key=repr) == expected and expected
+        firsts = {(r.plan_id, r.strategy, r["rank"]): (r.id, r.at, r.nth) for r in found.first(order, 4).collect()}
+        best = {}
+        for r in sorted(rows, key=lambda r: (-r.at, r.id is not None, r.id or "", r.nth)):
+            rank = 1 + sum(1 for p, s, _ in best if (p, s) == (r.plan_id, r.strategy))
+            if rank <= 4:
+                best[r.plan_id, r.strategy, rank] = (r.id, r.at, r.nth)
+        assert firsts == best
+
+
+def _tally(rows):
+    groups = itertools.groupby(sorted(rows, key=lambda r: repr(r[:2])), key=lambda r: repr(r[:2]))
+    return [(members[0], len(members)) for members in (list(m) for _, m in groups)]
+
+
+def test_a_row_that_many_plans_find_is_ranked_without_its_text(spark, synonyms):
+    """Of items that are no stored table, too: what 300 plans find is ranked by where it is."""
+    raw = spark.createDataFrame([(f"p{i}", "a", float(i), "big red thing", "x" * 50, None, 30, 0) for i in range(20)], "id string, subreddit string, created_utc double, title string, selftext string, full_link string, score long, num_comments long")
+    plans = spark.range(300).selectExpr(
+        "id as plan_id", "array() as communities", "named_struct('months', 1, 'min_upvotes', 0, 'limit', 3) as params",
+        "named_struct('keywords', array('red thing'), 'exclude', array()) as filters")
+    hits = select.both_hits(select._items(raw), select.Searches.of(plans, 1_000_000), synonyms)
+    assert "selftext" not in hits.columns and hits.count() == 900
+    found = select.select_posts(raw, plans, synonyms, 1_000_000).groupBy("plan_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    assert {tuple(r.ids) for r in found.collect()} == {("p17", "p18", "p19")} and found.count() == 300
+
+
 def test_full_plans(spark):
     prompts = spark.createDataFrame(
         [(1, "trend of cats", "auto", ["k", "K", " "]), (2, "cats", "faq", []), (3, "dogs", "auto", None)],
