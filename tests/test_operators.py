@@ -13,7 +13,7 @@ from postlens import schemas
 from postlens.operators import coverage, discover, evidence, select, termjoin, terms
 from postlens.operators.topn import first_per_key, top_n
 from postlens.plans import planning
-from postlens.sources import documents, readers, writers
+from postlens.sources import documents, locate, readers, writers
 from postlens.sources.locate import Late
 
 
@@ -129,6 +129,15 @@ def _tally(rows):
     return [(members[0], len(members)) for members in (list(m) for _, m in groups)]
 
 
+def test_many_ranked_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("id", "concat('t', id) as title").write.parquet(str(tmp_path / "t"))
+    rows = locate.located(spark.read.parquet(str(tmp_path / "t")))
+    ranked = rows.select(*locate.LOCATOR, F.explode(F.sequence(F.lit(1), F.lit(30))).alias("plan_id"))
+    found = locate.fetched(rows, ranked, ["title"], max_fetched=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and found.count() == 1500
+
+
 def test_a_row_that_many_plans_find_is_ranked_without_its_text(spark, synonyms):
     """Of items that are no stored table, too: what 300 plans find is ranked by where it is."""
     raw = spark.createDataFrame([(f"p{i}", "a", float(i), "big red thing", "x" * 50, None, 30, 0) for i in range(20)], "id string, subreddit string, created_utc double, title string, selftext string, full_link string, score long, num_comments long")
