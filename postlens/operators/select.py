@@ -103,6 +103,12 @@ class Searches:
         return Searches(clean, widest.since or as_of, widest.limit or 0)
 
 
+def _within_limit(found: DataFrame, groups: list[str], limit: int) -> DataFrame:
+    """The newest rows of each search up to its plan's limit, then those with enough score."""
+    ranked = top_n(found.where(F.col("created_utc") > F.col("since")), groups, newest(), limit, salt_on="id")
+    return ranked.where((F.col("rank") <= F.col("limit")) & _enough(F.col("min_upvotes")))
+
+
 def _items(raw: DataFrame) -> Late:
     """Items whose texts are fetched late, as a row may be found by any number of plans: what is no stored table is stored."""
     items = Late(raw, _WIDE)
@@ -144,11 +150,11 @@ def keyword_hits(items: Late, searches: Searches, synonyms: DataFrame) -> DataFr
     texts = in_window(items.rows, after=searches.since).select(
         *items.carried, *_RANKED, match_text(F.col("title"), F.col("selftext")).alias("text")
     )
-    # The newest rows of the widest window: a plan's own window and limit hold the first of them.
+    # The newest rows of the widest window: a plan's own window and limit hold the first of them. They are ranked again with
+    # the plans, as a plan id that comes twice shares its limit.
     found = Matches(texts, terms, "plan_id", [*items.carried, *_RANKED]).first(newest(), searches.limit, salt_on="id")
-    kept = found.join(searches.plans.select("plan_id", "since", "min_upvotes", "limit"), "plan_id").where(
-        (F.col("created_utc") > F.col("since")) & (F.col("rank") <= F.col("limit")) & _enough(F.col("min_upvotes"))
-    )
+    found = found.drop("rank").join(searches.plans.select("plan_id", "since", "min_upvotes", "limit"), "plan_id")
+    kept = _within_limit(found, ["plan_id"], searches.limit)
     return kept.withColumns({"pass_no": F.lit(2), "community_pos": F.lit(0)}).select(*_HIT, *items.carried)
 
 

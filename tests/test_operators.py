@@ -148,6 +148,9 @@ def test_a_row_that_many_plans_find_is_ranked_without_its_text(spark, synonyms):
     assert "selftext" not in hits.columns and hits.count() == 900
     found = select.select_posts(raw, plans, synonyms, 1_000_000).groupBy("plan_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     assert {tuple(r.ids) for r in found.collect()} == {("p17", "p18", "p19")} and found.count() == 300
+    # A plan that comes twice shares its limit of three rows.
+    twice = select.keyword_hits(select._items(raw), select.Searches.of(plans.union(plans), 1_000_000), synonyms)
+    assert twice.count() == 900 and twice.select("id").distinct().count() == 2
 
 
 def test_full_plans(spark):
