@@ -4,12 +4,13 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
-from postlens.operators import cluster, features, sentiment, summarise
+from postlens.operators import cluster, features, sentiment, summarise, wordcount
 from postlens.plans import flows
 
 LEXICON = {"good": 1.9, "bad": -2.5, "awful": -3.0, "but": 0.1, "rather": 0.2, "hardly": -0.4}
@@ -84,6 +85,36 @@ def test_tfidf_matches_its_formula(spark):
     assert found == pytest.approx(expected)
 
 
+def test_vocabulary_counts_pairs_of_possible_winners_only(spark, monkeypatch):
+    docs = [*_documents(), ("d1", "w1 w1 w1 w2"), (None, None), ("e", "w1\u00e9 w1\u00e9"), *_documents(20, 3)]
+    termed = features.with_terms(spark.createDataFrame(docs, "id string, text string").repartition(3), ["the"])
+    counted = []
+    plain = features.pair_counts
+    monkeypatch.setattr(features, "pair_counts", lambda df, words, known: counted.append(known) or plain(df, words, known))
+    whole = features.term_counts(termed)
+    for min_docs, max_share, size in ((2, 0.7, 9), (5, 0.3, 40), (1, 1.0, 10_000), (0, 1.0, 1), (3, 0.0, 5)):
+        limits = {"min_docs": min_docs, "max_share": max_share, "size": size}
+        expected = sorted(map(tuple, features.vocabulary(whole, len(docs), **limits).collect()))
+        for max_known in (200_000, 2):
+            found = features.fitted_vocabulary(termed, len(docs), max_known=max_known, **limits)
+            assert sorted(map(tuple, found.select("term", "docs", "total").collect())) == expected
+    assert 0 < len(counted[0]) < 15 and counted[1] is None
+    del counted[:]
+    assert features.fitted_vocabulary(termed, len(docs), min_docs=10**9).count() == 0 and not counted
+    # Terms that are not those of the words any more are counted as they are.
+    own = termed.withColumn("terms", F.array(F.lit("x y")))
+    assert [tuple(r) for r in features.fitted_vocabulary(own, len(docs), max_share=1.0).collect()] == [("x y", len(docs), len(docs))]
+
+
+def test_words_are_counted_in_tables_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(wordcount, "WORDS_AT_ONCE", 4)
+    rows = [["a", "b"], None, [], ["a"] * 9, ["b", "a", "b"], ["c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["w"])
+    tables = list(wordcount.gathered(iter([batch.slice(0, 2), batch.slice(2)]), "w"))
+    assert [row for t in tables for row in t.column("w").to_pylist()] == rows
+    assert all(t.num_rows == 1 or sum(len(w or []) for w in t.column("w").to_pylist()) <= 4 for t in tables)
+
+
 def test_top_terms_do_not_depend_on_the_name_of_the_group(spark):
     posts = spark.createDataFrame(_documents(), "id string, text string").withColumn("cluster", F.length("text") % 2)
     by_cluster = summarise.top_terms(posts, stop_words=["the"]).collect()
