@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -249,6 +250,16 @@ def test_centres_that_start_far_apart(spark):
     assert len(cluster.best_k_from_far(few, 2, 3)) == 2
 
 
+def test_rounds_from_far_points_move_sums_not_entries(spark):
+    rows = [(f"p{i:03}", Vectors.dense([float(i % 7), 1.0, 0.0])) for i in range(200)]
+    points = cluster.points(spark.createDataFrame(rows, ["id", "features"]).repartition(4), "features", "id")
+    centres = np.array([[0.0, 1.0, 0.0], [6.0, 1.0, 0.0]])
+    sums = cluster._sums(points, centres).collect()
+    assert len(sums) <= 4 * 2 * (3 + 1) and sum(r.x for r in sums if r.i == -1) == 200
+    assert sum(r.x for r in sums if r.i == 0) == sum(i % 7 for i in range(200))
+    assert {r.distance for r in cluster._farthest(points, centres).collect()} == {9.0}
+
+
 def test_clusters_from_far_points(spark):
     posts = spark.createDataFrame([*_documents(), (None, "w1 w2 w3"), (None, "w1 w2 w3")], "id string, text string")
     runs = []
