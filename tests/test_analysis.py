@@ -319,6 +319,18 @@ def test_analyse_end_to_end(spark):
     assert sum(line.startswith("- [title number") for line in lines) == sum(len(r.sample_posts) for r in sizes)
 
 
+def test_top_terms_shuffle_sums_of_tasks(spark):
+    posts = spark.createDataFrame([(i % 2, "w1 w2 w2") for i in range(100)], "cluster int, text string").repartition(4)
+    words = posts.select("cluster", features.unigrams(F.col("text"), ["the"]).alias("terms"))
+    groups = spark.createDataFrame([(0, 0), (1, 1)], "_group int, _number int")
+    weights = np.array([[3.0, 2.0], [1.0, 0.0]])
+    found = summarise._shares_in_tasks(words, "cluster", pa.array(["w1", "w2"]), weights, groups)
+    sums = {(r.cluster, r.term): r.share for r in found.collect()}
+    assert sums == pytest.approx({(0, "w1"): 50 * 0.6, (0, "w2"): 50 * 0.8, (1, "w1"): 50.0})
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert summarise.top_terms(posts, stop_words=["the"]).count() == 4
+
+
 def test_analyse_nothing(spark):
     analysed, summaries, report = flows.analyse(_posts(spark, 0), fixed.lexicon_table(spark), 2, 3)
     lines = [r.line for r in report.orderBy("line_no").collect()]
