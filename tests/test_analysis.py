@@ -319,6 +319,15 @@ def test_analyse_end_to_end(spark):
     assert sum(line.startswith("- [title number") for line in lines) == sum(len(r.sample_posts) for r in sizes)
 
 
+def test_analysed_posts_are_stored(spark):
+    """Summaries read columns of stored rows; they do not look for the clusters again."""
+    analysed, _, _ = flows.analyse(
+        _posts(spark, 60), fixed.lexicon_table(spark), 2, 3, stop_words=["in"], min_docs=2, start="far", rounds=1
+    )
+    plan = analysed.select("id", "cluster")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ReadSchema: struct<id:string,cluster:int>" in plan
+
+
 def test_top_terms_shuffle_sums_of_tasks(spark):
     posts = spark.createDataFrame([(i % 2, "w1 w2 w2") for i in range(100)], "cluster int, text string").repartition(4)
     words = posts.select("cluster", features.unigrams(F.col("text"), ["the"]).alias("terms"))
