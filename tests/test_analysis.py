@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -260,6 +261,16 @@ def test_rounds_from_far_points_move_sums_not_entries(spark):
     assert {r.distance for r in cluster._farthest(points, centres).collect()} == {9.0}
 
 
+def test_best_runs_are_fitted_side_by_side(spark):
+    rng = random.Random(8)
+    thin = lambda: Vectors.sparse(50, {rng.randrange(50): 1.0, 3: rng.random()})
+    vectors = spark.createDataFrame([(thin(),) for _ in range(60)], ["features"])
+    alone = [KMeans(k=3, seed=42 + run, maxIter=9).fit(vectors).summary.trainingCost for run in range(4)]
+    assert cluster._solver(vectors, "features") == "row"
+    assert cluster.fit_kmeans(vectors, 3, n_init=4, max_iter=9).summary.trainingCost == pytest.approx(min(alone))
+    assert [len(m.clusterCenters()) for m in cluster._best_fits(vectors, [2, 4], n_init=2, max_iter=5)] == [2, 4]
+
+
 def test_clusters_from_far_points(spark):
     posts = spark.createDataFrame([*_documents(), (None, "w1 w2 w3"), (None, "w1 w2 w3")], "id string, text string")
     runs = []
