@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,12 +82,21 @@ def texts(column: pa.Array) -> list[bytes | None]:
 
 def by_bytes(texts_: list[bytes | None], limit: int) -> Iterator[slice]:
     """Consecutive slices whose texts have at most ``limit`` bytes together, or a single longer text."""
-    start = size = 0
-    for i, text in enumerate(texts_):
-        n = len(text or b"")
+    return _by_size((len(text or b"") for text in texts_), limit)
+
+
+def pieces_of(column: pa.Array, limit: int = 4 << 20) -> Iterator[slice]:
+    """The same slices of a string column of an Arrow batch, whose texts stay in Arrow."""
+    return _by_size(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit)
+
+
+def _by_size(sizes: Iterable[int], limit: int) -> Iterator[slice]:
+    start = size = end = 0
+    for i, n in enumerate(sizes):
         if i > start and size + n > limit:
             yield slice(start, i)
             start, size = i, 0
         size += n
-    if start < len(texts_):
-        yield slice(start, len(texts_))
+        end = i + 1
+    if start < end:
+        yield slice(start, end)

@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import checkpointed, held_out
+from postlens.llm.common import checkpointed, held_out, pieces_of
 
 #: About this many documents of each language are learned from.
 SAMPLE_PER_LANGUAGE = 2_000
@@ -148,22 +149,27 @@ def _least_counts(rows) -> dict[int, int]:
 
 def _model(languages: list[str], kept: pa.Table, totals) -> Model:
     """Add-half smoothing: an entry that a language lacks counts as half an occurrence."""
-    place = {lang: i for i, lang in enumerate(languages)}
     total = {(r["lang"], r["ord"]): r["total"] for r in totals}
     tables: dict[int, dict[str, int]] = {}
-    at: dict[int, tuple[list[int], list[int], list[int]]] = {}
+    at: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for batch in kept.to_batches(max_chunksize=10_000):
-        for order, gram, langs, ns in zip(*(c.to_pylist() for c in batch.columns)):
+        orders, grams, langs, ns = batch.columns
+        entries = []
+        for order, gram in zip(orders.to_pylist(), grams.to_pylist()):
             table = tables.setdefault(order, {})
-            rows, columns, counts = at.setdefault(order, ([], [], []))
-            rows.extend([table.setdefault(gram, len(table))] * len(langs))
-            columns.extend(place[lang] for lang in langs)
-            counts.extend(ns)
+            entries.append(table.setdefault(gram, len(table)))
+        lengths = pc.list_value_length(langs).to_numpy()
+        order_of, rows = np.repeat(orders.to_numpy(), lengths), np.repeat(np.array(entries, np.int64), lengths)
+        columns = pc.index_in(langs.flatten(), value_set=pa.array(languages, langs.type.value_type)).to_numpy()
+        counts = ns.flatten().to_numpy()
+        for order in np.unique(order_of).tolist():
+            own = order_of == order
+            at.setdefault(order, []).append((rows[own], columns[own], counts[own]))
     scores = {}
     for order, table in tables.items():
         floor = np.array([total.get((lang, order), 0) + 0.5 * len(table) for lang in languages])
         n = np.zeros((len(table), len(languages)))
-        rows, columns, counts = at.pop(order)
+        rows, columns, counts = (np.concatenate(x) for x in zip(*at.pop(order)))
         n[rows, columns] = counts
         scores[order] = np.log((n + 0.5) / floor)
     return Model(languages, tables, scores)
@@ -181,7 +187,7 @@ def predictor(spark, model: Model):
         scores = model.scores.get(0, np.zeros((0, len(model.languages))))
         langs: list[str] = []
         sure: list[float] = []
-        for t in text.to_pylist():
+        for t in (t for x in pieces_of(text) for t in text.slice(x.start, x.stop - x.start).to_pylist()):
             words = words_of(t) if t else []
             # Some numerals count as word characters, but are no letters.
             if not model.languages or not any(c.isalpha() for w in words for c in w):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import by_bytes, checkpointed, held_out, texts
+from postlens.llm.common import by_bytes, checkpointed, held_out, pieces_of, texts
 from postlens.llm.shingles import word_hashes
 
 #: Bounds of the sample that weights are fitted on: labelled documents of each class, and pairs.
@@ -79,7 +79,8 @@ def text_features(texts_: list[bytes | None]) -> np.ndarray:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def features(text: pa.Array) -> pa.Array:
-    values = text_features(texts(text))
+    pieces = [text_features(texts(text.slice(x.start, x.stop - x.start))) for x in pieces_of(text)]
+    values = np.concatenate(pieces) if pieces else text_features([])
     offsets = np.arange(0, values.size + 1, len(FEATURES), dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
@@ -134,11 +135,11 @@ def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     place = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000))
     share = {c: int(1_000_000 * min(1.0, SAMPLE_PER_CLASS / n)) for c, n in sizes.items()}
     sample = known.where(place < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).select("label", "features")
-    rows = sample.collect()
+    rows = sample.toArrow()
+    values, label = rows["features"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)), rows["label"].to_numpy()
     # In an order of their own: tasks may end in any.
-    worse_rows, better_rows = (
-        np.array(sorted(r["features"] for r in rows if r["label"] == c)).reshape(-1, len(FEATURES)) for c in (0, 1)
-    )
+    order = np.lexsort(values.T[::-1])
+    worse_rows, better_rows = (values[order[label[order] == c]] for c in (0, 1))
     model = Ranking(bradley_terry(better_rows, worse_rows).tolist())
     worse = sizes[0] / (sizes[0] + sizes[1])
     # Halfway between the scores on either side of the quantile, so that no document lies on the threshold.

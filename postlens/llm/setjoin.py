@@ -20,13 +20,14 @@ Nothing is capped: each step skips only pairs that cannot be links, or whose set
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import by_bytes, checkpointed, settled, spare_name, texts, written
+from postlens.llm.common import checkpointed, pieces_of, settled, spare_name, texts, written
 from postlens.llm.components import components
 from postlens.llm.shingles import mix, set_id, shingle_sets
 
@@ -41,7 +42,7 @@ LONG_LIST, BLOCKS_PER_CLASS = 64, 2
 WHOLE = -1
 #: Marks a shingle of the pivot that its partner lacks.
 _LACKS = _U(0x5DEECE66D1234567)
-_BLOCKS = 8
+_BLOCKS = 64
 _ROWS = 100_000
 
 
@@ -88,7 +89,7 @@ class Similarity:
 def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The rows in batches whose texts (of one column) have about 4 MB, or which are one longer text."""
     for batch in batches:
-        for part in by_bytes(texts(batch.column(column)), 4 << 20):
+        for part in pieces_of(batch.column(column)):
             yield batch.slice(part.start, part.stop - part.start)
 
 
@@ -125,37 +126,60 @@ def _profile(width: int):
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _totals(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            values = np.frombuffer(data, np.uint32 if len(data) == 4 << SKETCH_BITS >> 3 else np.int64)
+            values = np.frombuffer(data, np.uint32 if len(data) == 4 * (1 << SKETCH_BITS) // _BLOCKS else np.int64)
             total[block] = total.get(block, 0) + values.astype(np.int64)
-    if total:
+    return total
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if total := _totals(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
             ["n", "sketch"],
         )
 
 
-def _sketch(profile: DataFrame, tasks: int) -> np.ndarray:
-    """How often shingles of each hash range occur: summed in tasks, then the few sums here (2 MB each, 8 at most)."""
-    parts = profile.where("sketch is not null").select("n", "sketch")
-    parts = parts.repartition(tasks).mapInArrow(_summed, "n int, sketch binary")
-    parts = parts.repartition(8).mapInArrow(_summed, "n int, sketch binary")
-    counts = np.zeros((_BLOCKS, (1 << SKETCH_BITS) // _BLOCKS), np.int64)
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of whole blocks: 64 times the logarithm of each count, and those counts that may split a list."""
+    for block, counts in _totals(batches).items():
+        heavy = np.flatnonzero(counts >= 2 * SPLIT_LIST)
+        yield _batch(
+            n=np.array([block], np.int32), level=[(np.log2(counts + 1.0) * 64).astype(np.uint16).tobytes()],
+            place=[heavy + block * len(counts)], count=[counts[heavy]],
+        )
+
+
+def _sketch(profile: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often shingles of each hash range occur, as a level, and the ranges of lists that are split, with their splits.
+
+    Tasks sum the blocks, whose parts are dealt by block in two rounds. Only levels (half a MB) and heavy ranges come here.
+    """
+    parts = profile.where("sketch is not null").select("n", "sketch", F.pmod(F.spark_partition_id(), F.lit(isqrt(tasks))).alias("part"))
+    parts = parts.repartition(tasks, "n", "part").select("n", "sketch").mapInArrow(_summed, "n int, sketch binary")
+    parts = parts.repartition(min(tasks, _BLOCKS), "n").mapInArrow(_levels, "n int, level binary, place array<long>, count array<long>")
+    level = np.zeros((_BLOCKS, (1 << SKETCH_BITS) // _BLOCKS), np.uint16)
+    places, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for row in parts.collect():
-        counts[row["n"]] += np.frombuffer(row["sketch"], np.int64)
-    return counts.ravel()
+        level[row["n"]] = np.frombuffer(row["level"], np.uint16)
+        places.append(np.array(row["place"], np.int64))
+        counts.append(np.array(row["count"], np.int64))
+    place, count = np.concatenate(places), np.concatenate(counts)
+    usual = round(2 ** (float(np.median(level)) / 64)) - 1
+    ways = (count - 2 * usual) // SPLIT_LIST
+    return level.ravel(), place[ways > 1], ways[ways > 1]
 
 
 def _prefixes(width: int, similarity: Similarity, sketch):
     """Index entries: shingle, split, set, and size and position in one number. A task skips sets it has had before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        level = (np.log2(counts + 1.0) * 64).astype(np.uint64) << _U(52)
-        splits = np.maximum(1, (counts - 2 * int(np.median(counts))) // SPLIT_LIST)
+        level, heavy, ways = sketch.value
+        splits = np.ones(len(level), np.int64)
+        splits[heavy] = ways
         shift = _U(64 - SKETCH_BITS)
         seen: set[int] = set()
         for batch in _pieces(batches, 0):
@@ -168,7 +192,7 @@ def _prefixes(width: int, similarity: Similarity, sketch):
                 if len(seen) < 1_000_000:
                     seen.add(sid)
                 p = similarity.prefix(n)
-                key = level[(shingles >> shift).astype(np.int64)] | (shingles >> _U(12))
+                key = (level[(shingles >> shift).astype(np.int64)].astype(np.uint64) << _U(52)) | (shingles >> _U(12))
                 first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
                 tokens.append(shingles[first[np.lexsort((shingles[first], key[first]))]])
                 sids.append(np.full(p, sid, np.int64))
@@ -246,9 +270,10 @@ def _wanted(ids: DataFrame) -> np.ndarray:
         ids.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, int(pmod(xxhash64(row), 64)))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
     )
+    # One job, and no more than 2 MB: a job for each partition would keep the driver busier than the words do.
+    found = words.toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for row in words.toLocalIterator():
-        out[row["word"]] = row["bits"]
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 

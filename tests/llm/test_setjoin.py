@@ -184,3 +184,58 @@ def test_one_row_of_each_group_stays(spark):
     assert setjoin.one_of_each_group(docs.limit(0)).count() == 0
     nameless = spark.createDataFrame([(None, text)] * 3, "doc_id long, text string")
     assert setjoin.one_of_each_group(nameless).count() == 1
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Seven shuffle partitions that stay apart, whatever little they hold."""
+    values = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_the_bitmap_takes_a_job_not_one_for_each_partition(spark, many_partitions):
+    ids = [*range(0, 5000, 7), None]
+    df = spark.createDataFrame([(i,) for i in ids], "row long")
+    context = spark.sparkContext
+    context.setJobGroup("bitmap", "the bitmap of wanted rows")
+    try:
+        bits = setjoin._wanted(df)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("bitmap")) <= 2  # its shuffle and its rows
+    places = [r.h for r in df.select(F.xxhash64("row").alias("h")).collect()]
+    expected = np.zeros(1 << (setjoin.FILTER_BITS - 6), np.uint64)
+    for h in places:
+        expected[(h % (1 << setjoin.FILTER_BITS)) >> 6] |= np.uint64(1 << (h & 63))
+    assert (bits.view(np.uint64) == expected).all()
+    assert not setjoin._wanted(df.limit(0)).any()
+
+
+def test_the_driver_gets_levels_of_the_sketch_not_parts_of_it(spark, many_partitions, monkeypatch):
+    texts = [" ".join(f"w{i} v{j}" for j in range(40)) for i in range(60)] + ["a b c d"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(5)
+    join = setjoin._Join(docs, 4, 85)
+    got = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: got.extend(rows := collect(self)) or rows)
+    level, heavy, ways = setjoin._sketch(join.profile, join.tasks)
+    assert sum(len(x) for r in got for x in r if isinstance(x, (bytes, bytearray))) == 2 << setjoin.SKETCH_BITS
+    shingle = np.concatenate(shingles.shingle_sets([t.encode() for t in texts], 4))
+    counts = np.bincount((shingle >> np.uint64(64 - setjoin.SKETCH_BITS)).astype(np.int64), minlength=1 << setjoin.SKETCH_BITS)
+    assert (level == (np.log2(counts + 1.0) * 64).astype(np.uint16)).all()
+    assert not len(heavy) and not len(ways)
+
+
+def test_the_sketch_names_lists_that_are_split(spark):
+    size = (1 << setjoin.SKETCH_BITS) // setjoin._BLOCKS
+    block = np.full(size, 3, np.int64)
+    block[5], block[9] = 2 * setjoin.SPLIT_LIST + 20, 2 * setjoin.SPLIT_LIST - 1
+    blocks = [(k, bytearray((block if k == 2 else np.full(size, 3, np.int64)).tobytes())) for k in range(setjoin._BLOCKS)]
+    level, heavy, ways = setjoin._sketch(spark.createDataFrame(blocks, "n int, sketch binary"), 3)
+    assert heavy.tolist() == [2 * size + 5] and ways.tolist() == [2]
+    assert level[0] == 128 and level[2 * size + 5] == level[2 * size + 9] == int(64 * np.log2(2 * setjoin.SPLIT_LIST))
