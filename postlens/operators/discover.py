@@ -27,9 +27,9 @@ def strategy_counts(posts: DataFrame, strategies: DataFrame, since: int, depth:
     search = ["plan_id", "strategy"]
     recent = in_window(posts, after=since).withColumn("text", match_text(F.col("title"), F.col("selftext")))
     found = Matches(recent, strategies, search, ["id", "community", "created_utc"])
-    newest = found.first([F.desc("created_utc"), F.asc("id")], depth, salt_on="id")
+    newest = found.first_counts([F.desc("created_utc"), F.asc("id")], depth, "community", salt_on="id")
     # Posts without a community lead nowhere, but take part in the search.
-    per_search = community_counts(newest.where("community <> 'r/'"), search)
+    per_search = newest.where("community <> 'r/'")
     first = per_search.groupBy("plan_id").agg(F.min("strategy").alias("strategy"))
     return per_search.join(first, ["plan_id", "strategy"]).select("plan_id", "community", "n")
 
